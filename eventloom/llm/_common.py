@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def passing(keys: DataFrame, key: str, bits: int = 23) -> Callable[[Column], Column]:
+    """A test that every value of keys[key] passes, and few others: a bitmap of hashes.
+
+    The bitmap has 2^bits bits whatever the number of keys, so the driver gets at most
+    2^bits / 64 longs; with ever more keys it lets more and more through and stays right.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("int")
+    words = keys.select(slot(F.col(key)).alias("_s")).groupBy(F.expr("_s div 64").alias("_w"))
+    bitmap = np.zeros(1 << (bits - 6), "<u8")
+    for r in words.agg(F.expr("bit_or(shiftleft(1L, _s % 64))").alias("_b")).collect():
+        bitmap[r["_w"]] = r["_b"] % (1 << 64)
+    data = F.lit(bytearray(bitmap.tobytes()))
+
+    def test(c: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(data, F.shiftright(slot(c), 3) + 1, F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, F.pmod(slot(c), F.lit(8))).bitwiseAND(F.lit(1)) == 1
+
+    return test
