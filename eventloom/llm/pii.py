@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm._common import cut
+from eventloom.llm._common import cut, passing
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The contract's patterns; possessive loops and look-behind change no match, only the work on long runs.
@@ -149,33 +149,30 @@ def disclosing_terms(
     met = cut(seen.select("id", "body", "entity", F.explode(near).alias("t")).select("id", "body", "entity", "t.*").distinct(), "met")
 
     doc = F.struct("id", "body")
-    pairs = met.groupBy("entity", "term").agg(F.count_distinct(doc).alias("n_both"), F.count_distinct("body").alias("texts"))
-    pairs = cut(pairs.where(F.col("texts") >= min_texts), "pairs")
     none = "id {}, body bigint, start bigint, end bigint, term string, risk double".format(spans.schema["id"].dataType.simpleString())
+    n_docs = docs.count()
+    total = F.lit(float(n_docs))
+
+    def risk(n_term: Column) -> Column:
+        pmi = F.ln(F.col("n_both") * total / (F.col("n_entity") * n_term))
+        return F.when(F.col("n_entity") < n_docs, pmi / F.ln(total / F.col("n_entity")))
+
+    # A term stands in at least as many documents as have it near any entity: what that already rules out needs no
+    # look at the corpus, so common words are no candidates.
+    near_any = met.groupBy("term").agg(F.count_distinct(doc).alias("n_near"))
+    entities = spans.withColumn("entity", entity).groupBy("entity").agg(F.count_distinct(doc).alias("n_entity"))
+    pairs = met.groupBy("entity", "term").agg(F.count_distinct(doc).alias("n_both"), F.count_distinct("body").alias("texts"))
+    pairs = pairs.where(F.col("texts") >= min_texts).join(entities, "entity").join(near_any, "term")
+    pairs = cut(pairs.where(risk(F.col("n_near")) >= generalise_at).select("entity", "term", "n_both", "n_entity"), "pairs")
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], none)
-    entities = spans.withColumn("entity", entity).groupBy("entity").agg(F.count_distinct(doc).alias("n_entity"))
 
     # Document frequencies of the candidate terms over the whole corpus.
-    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(1 << FILTER_BITS)).cast("int")
-    bits = pairs.select(slot(F.col("term")).alias("s")).groupBy(F.expr("s div 8").cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1, s % 8))").alias("b"))
-    bitmap = bytearray(1 << (FILTER_BITS - 3))
-    for r in bits.collect():  # at most 2^17 rows, whatever the corpus
-        bitmap[r["at"]] = r["b"]
-    at = slot(F.col("term"))
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(bitmap)), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    passes = F.call_function("shiftright", byte, F.pmod(at, F.lit(8))).bitwiseAND(F.lit(1)) == 1
+    passes = passing(pairs, "term", FILTER_BITS)(F.col("term"))
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     words = _keyed(docs, id_col, text_col).select(F.explode(found).alias("term")).where(passes)
     terms = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_docs = docs.count()
-    if n_docs < 2:
-        return docs.sparkSession.createDataFrame([], none)
-
-    total = F.lit(float(n_docs))
-    pmi = F.ln(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    risk = F.when(F.col("n_entity") < n_docs, pmi / F.ln(total / F.col("n_entity")))
-    risky = pairs.join(entities, "entity").join(terms, "term").select("entity", "term", risk.alias("risk")).where(F.col("risk") >= generalise_at)
+    risky = pairs.join(terms, "term").select("entity", "term", risk(F.col("n_term")).alias("risk")).where(F.col("risk") >= generalise_at)
     marked = met.join(risky, ["entity", "term"])
     marked = marked.groupBy("id", "body", F.col("t_start").alias("start"), F.col("t_end").alias("end"), "term").agg(F.max("risk").alias("risk"))
     base = spans.select(F.col("id").alias("_id"), F.col("body").alias("_body"), F.col("start").alias("_start"), F.col("end").alias("_end"))
