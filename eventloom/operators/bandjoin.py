@@ -92,7 +92,7 @@ def violations(spikes: DataFrame, window: float) -> DataFrame:
     """n_violations per unit: unordered pairs of its events closer than the window, borders weighted."""
     a = spikes.groupBy("sorting", "unit_id", F.col("sample_index").alias("t1")).agg(F.count(F.lit(1)).alias("m1"))
     b = a.select(F.col("sorting").alias("s2"), F.col("unit_id").alias("u2"), F.col("t1").alias("t2"), F.col("m1").alias("m2"))
-    pairs = band_join(a, b, "t1", "t2", math.ceil(window), on=[("sorting", "s2"), ("unit_id", "u2")]).where("t1 <= t2")
+    pairs = band_join(a, b, "t1", "t2", math.ceil(window), on=[("sorting", "s2"), ("unit_id", "u2")]).where("t1 < t2 or (t1 = t2 and m1 > 1)")
     n = F.when(F.col("t1") == F.col("t2"), F.col("m1") * (F.col("m1") - 1) / 2).otherwise(F.col("m1") * F.col("m2"))
     weight = window_weight(F.col("t2") - F.col("t1"), window) if window > 0 else F.lit(0.0)
     found = pairs.groupBy("sorting", "unit_id").agg(F.sum(n * weight).alias("n_violations"))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from eventloom.meta import UNIT
 from eventloom.operators.bandjoin import PAIR, correlogram
 from eventloom.functions.stats import gaussian_kernel
 
-TRAIN = Window.partitionBy(*UNIT).orderBy("sample_index")
+
+def train() -> WindowSpec:
+    return Window.partitionBy(*UNIT).orderBy("sample_index")
 
 
 def unit_counts(spikes: DataFrame, units: DataFrame | None = None) -> DataFrame:
@@ -24,7 +26,7 @@ def unit_counts(spikes: DataFrame, units: DataFrame | None = None) -> DataFrame:
 
 def intervals(spikes: DataFrame) -> DataFrame:
     """isi: the time from each event to the one before it in its train; first events have none."""
-    return spikes.withColumn("isi", F.col("sample_index") - F.lag("sample_index").over(TRAIN)).where("isi is not null")
+    return spikes.withColumn("isi", F.col("sample_index") - F.lag("sample_index").over(train())).where("isi is not null")
 
 
 def isi_histogram(spikes: DataFrame, bin_size: int, max_time: int) -> DataFrame:
@@ -53,11 +55,11 @@ def drop_duplicates(spikes: DataFrame, censored: float, method: str = "keep_firs
     keep_first: all with an interval <= censored go, kept or not before them.
     random: of events in a run that is linked by short intervals, one stays, by a hash of its time.
     """
-    close = F.coalesce(F.col("sample_index") - F.lag("sample_index").over(TRAIN) <= censored, F.lit(False))
+    close = F.coalesce(F.col("sample_index") - F.lag("sample_index").over(train()) <= censored, F.lit(False))
     marked = spikes.withColumn("_close", close)
     if method == "keep_first":
         return marked.where(~F.col("_close")).drop("_close")
-    runs = marked.withColumn("_run", F.sum(F.when(F.col("_close"), 0).otherwise(1)).over(TRAIN.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.withColumn("_run", F.sum(F.when(F.col("_close"), 0).otherwise(1)).over(train()))
     grouped = runs.groupBy(*UNIT, "_run")
     if method == "random":
         return grouped.agg(F.min_by("sample_index", F.xxhash64("sample_index")).alias("sample_index")).drop("_run")
@@ -81,7 +83,7 @@ def consensus(spikes: DataFrame, keys: list[str], window: int, at_least: Column)
     """
     order = Window.partitionBy(*keys).orderBy("sample_index")
     new = F.coalesce(F.col("sample_index") - F.lag("sample_index").over(order) > window, F.lit(True)).cast("int")
-    runs = spikes.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = spikes.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
     groups = runs.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("size"), F.sum("sample_index").alias("total"), F.max(at_least).alias("least"))
     mean = F.bround(F.col("total") / F.col("size"))
     return groups.where("size >= least").select(*keys, mean.cast("bigint").alias("sample_index"), "size")
@@ -125,6 +127,6 @@ def smoothed_rate(events: DataFrame, keys: list[str], start: int, stop: int, ste
     first = F.greatest(F.lit(0), F.ceil((F.col("sample_index") - F.lit(reach) - start) / F.lit(step)))
     last = F.least(F.lit((stop - start - 1) // step), F.floor((F.col("sample_index") + F.lit(reach) - start) / F.lit(step)))
     points = events.withColumn("_first", first.cast("bigint")).withColumn("_last", last.cast("bigint")).where("_first <= _last")
-    points = points.withColumn("at", F.explode(F.sequence("_first", "_last")) * step + start)
+    points = points.withColumn("_k", F.explode(F.sequence("_first", "_last"))).withColumn("at", F.col("_k") * step + start)
     z = (F.col("sample_index") - F.col("at")) / F.lit(float(sigma))
     return points.groupBy(*keys, "at").agg((F.sum(F.exp(-z * z / 2)) / F.lit(sigma * math.sqrt(2 * math.pi))).alias("rate"))
