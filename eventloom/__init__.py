@@ -1 +1,18 @@
 """Analytics over labelled point events, on Spark."""
+
+from __future__ import annotations
+
+import os
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, as well as from their own path."""
+    folder = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if folder not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([folder, *paths])

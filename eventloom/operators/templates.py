@@ -108,7 +108,7 @@ def peak_shifts(templates: DataFrame, before: int, threshold: float = 0.5, check
         F.min(F.when(F.col("v") == F.col("top"), F.col("a"))).alias("highest"),
     )
     start = first.select(*UNIT, F.coalesce("local", "highest").alias("start"))
-    near = wave.join(start, [*UNIT]).where(F.col("sample").between(F.col("start"), F.col("start") + F.greatest(F.lit(check_next - 1), F.lit(0))))
+    near = wave.join(start, [*UNIT]).where(F.col("sample").between(F.col("start"), F.col("start") + check_next))
     at = F.max(F.struct("v", (-F.col("sample")).alias("back")))
     return near.groupBy(*UNIT).agg(at.alias("at")).select(*UNIT, (-F.col("at.back") - before).cast("int").alias("shift"))
 

@@ -500,7 +500,7 @@ def topk_channels(spark: SparkSession, sf: str) -> DataFrame:
   SELECT *, max(v) OVER (PARTITION BY unit_id) AS top, lag(v) OVER (PARTITION BY unit_id ORDER BY sample) AS a, lead(v) OVER (PARTITION BY unit_id ORDER BY sample) AS b FROM w
 ), s AS (
   SELECT unit_id, coalesce(min(sample) FILTER (v > a AND v > b AND v >= 0.5 * top), min(sample) FILTER (v = top)) AS start FROM l GROUP BY ALL
-) SELECT unit_id, (arg_max(sample, (v, -sample)) - 3)::INT AS shift FROM w JOIN s USING (unit_id) WHERE sample BETWEEN start AND start + 1 GROUP BY ALL"""
+) SELECT unit_id, (arg_max(sample, (v, -sample)) - 3)::INT AS shift FROM w JOIN s USING (unit_id) WHERE sample BETWEEN start AND start + 2 GROUP BY ALL"""
 )
 def peak_shift(spark: SparkSession, sf: str) -> DataFrame:
     return waves.peak_shifts(surrogate.templates(spark, sf), 3, 0.5, 2).select("unit_id", "shift")
