@@ -88,7 +88,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     covered = covered_lines(docs, id_col, text_col, lines).select(F.col("id").alias("_id"), F.col("body").alias("_body"), F.col("covered").alias("_covered"))
     kept = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")])
-    joined = kept.join(covered, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_body")), "left")
+    # Merged at any size: texts move once, in proportion to the input, however many documents are covered.
+    joined = kept.join(covered.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_body")), "left")
     split, cover = F.split(F.col(text_col), "\r?\n", -1), F.col("_covered")
     edge = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(cover, i - 1)["to"])
     upto = lambda i: F.when(i == F.size(cover), F.size(split)).otherwise(F.get(cover, i)["from"])
