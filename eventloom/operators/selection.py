@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,6 +119,27 @@ def dense_ids(units: DataFrame) -> DataFrame:
     return units.select(*UNIT, (F.row_number().over(Window.orderBy(*UNIT)) - 1).cast("long").alias("new_id"))
 
 
+def frame_slice(data: Dataset, start: int, stop: int) -> Dataset:
+    """The events from start on and before stop, on a clock that begins at start; units stay."""
+    inside = data.spikes.where((F.col("sample_index") >= start) & (F.col("sample_index") < stop))
+    meta = replace(data.meta, t_max=stop - start)
+    return data.replace(spikes=inside.withColumn("sample_index", F.col("sample_index") - start), meta=meta)
+
+
+def channel_slice(data: Dataset, channels: list[int]) -> Dataset:
+    """The dataset of some channels, numbered anew in the order given."""
+    wanted = F.array(*map(F.lit, channels)).cast("array<int>")
+    out = {"meta": replace(data.meta, n_channels=len(channels))}
+    if data.recording is not None:
+        out["recording"] = data.recording.withColumn("samples", F.transform("samples", lambda row: F.transform(wanted, lambda c: F.get(row, c))))
+    place = F.array_position(wanted, F.col("channel").cast("int")) - 1
+    if data.templates is not None:
+        out["templates"] = data.templates.where(F.col("channel").isin(channels)).withColumn("channel", place.cast("int"))
+    if data.channels is not None:
+        out["channels"] = data.channels.where(F.col("channel").isin(channels)).withColumn("channel", place.cast("int"))
+    return data.replace(**out)
+
+
 def sanity_check(data: Dataset) -> DataFrame:
     """(violation, n): how many events break which invariant of a dataset."""
     t = F.col("sample_index")

@@ -564,6 +564,84 @@ def filtered_template(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("unit_id", "sample", "channel", r6("value").alias("value"))
 
 
+FRAMES_SQL = """f AS (
+  SELECT vec_id * 8 + k // 8 AS frame, (k % 8)::INT AS channel, v FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings)
+), e AS (
+  SELECT label::BIGINT AS unit_id, vec_id * 8 + 3 AS t FROM embeddings WHERE vec_id % 3 = 0
+), middle AS (
+  SELECT channel, median(v) AS m, stddev(v) AS sd FROM f GROUP BY ALL
+), noise AS (
+  SELECT channel, any_value(sd) AS sd, median(abs(v - m)) / 0.6744897501960817::DOUBLE AS noise FROM f JOIN middle USING (channel) GROUP BY ALL
+)"""
+BEST_SQL = f"""{PEAKS_SQL}, {FRAMES_SQL}, best AS (SELECT unit_id, channel FROM ranked WHERE rank = 1), amp AS (
+  SELECT e.unit_id, t, v AS amplitude FROM e JOIN best USING (unit_id) JOIN f ON f.frame = t AND f.channel = best.channel
+)"""
+
+
+def _recorded(spark: SparkSession, sf: str):
+    from eventloom.meta import RecordingMeta, dataset
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 3 = 0")
+    events = rows.select(F.lit("T").alias("sorting"), F.col("label").cast("long").alias("unit_id"), (F.col("vec_id") * 8 + 3).alias("sample_index"))
+    chunks = surrogate.recording(spark, sf)
+    chunks = chunks.withColumn("samples", F.col("samples").cast("array<array<double>>"))
+    return dataset(events, RecordingMeta(30_000.0, 1 << 40), recording=chunks, templates=graph.settle(surrogate.templates(spark, sf), "templates"))
+
+
+@query(f"WITH {BEST_SQL} SELECT unit_id, t::BIGINT AS sample_index, round(amplitude, 6) AS amplitude FROM amp")
+def spike_amplitude(spark: SparkSession, sf: str) -> DataFrame:
+    return waves.spike_amplitudes(_recorded(spark, sf)).select("unit_id", "sample_index", r6("amplitude").alias("amplitude"))
+
+
+@query(f"WITH {BEST_SQL} SELECT unit_id, round(stddev(amplitude) / any_value(sd), 6) AS sd_ratio FROM amp JOIN best USING (unit_id) JOIN noise USING (channel) GROUP BY ALL")
+def sd_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return waves.sd_ratios(_recorded(spark, sf)).select("unit_id", r6("value").alias("sd_ratio"))
+
+
+@query(
+    f"""WITH {BEST_SQL}, swing AS (SELECT unit_id, channel, max(value) - min(value) AS swing FROM templates GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY swing DESC, channel) AS k FROM swing)
+SELECT unit_id, round(swing / noise, 6) AS snr FROM top JOIN noise USING (channel) WHERE k = 1"""
+)
+def signal_to_noise(spark: SparkSession, sf: str) -> DataFrame:
+    return waves.signal_to_noise(_recorded(spark, sf)).select("unit_id", r6("value").alias("snr"))
+
+
+@query()
+def sampled_spikes(spark: SparkSession, sf: str) -> DataFrame:
+    kept = waves.sampled_spikes(surrogate.detectors(spark, sf).spikes, 50)
+    return kept.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_spikes"))
+
+
+@query(f"WITH {SPIKES_SQL} SELECT sorting, unit_id, count(*)::BIGINT AS n_spikes, sum(sample_index - 100000)::BIGINT AS total FROM spikes WHERE sample_index >= 100000 AND sample_index < 300000 GROUP BY ALL")
+def frame_slice(spark: SparkSession, sf: str) -> DataFrame:
+    part = selection.frame_slice(surrogate.detectors(spark, sf), 100_000, 300_000)
+    return part.spikes.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_spikes"), F.sum("sample_index").alias("total"))
+
+
+@query(
+    f"""WITH {SELF_SQL}, p AS (SELECT u1, u2, row_number() OVER (ORDER BY u1, u2) AS k FROM near WHERE s1 = 'A'), w AS (SELECT k, u1 AS unit_id, u2 AS o FROM p UNION ALL SELECT k, u2, u1 FROM p)
+SELECT unit_id, string_agg(o::VARCHAR, ',' ORDER BY k) AS partners FROM w WHERE unit_id < 6 GROUP BY ALL"""
+)
+def redundancies(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    data = surrogate.detectors(spark, sf, "A")
+    pairs = bandjoin.coincidences(data.spikes, WINDOW, same=True).where("u1 < u2")
+    numbered = pairs.select(F.row_number().over(Window.orderBy("u1", "u2")).alias("position"), F.col("u1").alias("a"), F.col("u2").alias("b"))
+    found = graph.redundancies(data.units.where("unit_id < 6").select("unit_id"), numbered)
+    return found.select("unit_id", F.concat_ws(",", F.transform("partners", lambda x: x.cast("string"))).alias("partners"))
+
+
+@query()
+def merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole merge_units step on one detector."""
+    from eventloom.pipeline import Pipeline
+
+    out = Pipeline(surrogate.refractory(spark, sf), {"merge_units": {"all": {"refractory_period": [0.05, 0.2], "correlograms": {"window_ms": 20.0, "bin_ms": 1.0}}}}).run()
+    return out.spikes.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_spikes"))
+
+
 PAUSE_SQL = f"""{SPIKES_SQL}, fast AS (SELECT unit_id FROM counts WHERE sorting = 'A' AND unit_id < 8), slow AS (SELECT unit_id FROM counts WHERE sorting = 'A'), grid AS (
   SELECT f.unit_id AS u1, s.unit_id AS u2, b::INT AS bin FROM fast f JOIN slow s ON f.unit_id <> s.unit_id, range(-12, 12) AS g(b)
 ), lags AS (
