@@ -11,7 +11,7 @@ nearer to its target: the one whose size is nearest to what is missing.
 
 The random numbers come from MD5 of the seed and the id, so reruns agree on any
 cluster.  A source may hold any share of the rows: words are summed first into
-ranges of ranks, and single ranks are compared only within the one range per source
+ranges of ranks, twice, and single ranks are compared only within the one range per source
 in which the sample ends.
 """
 
@@ -25,8 +25,9 @@ from eventloom.llm._common import WORD, cut
 WEIGHTS = (5, 2, 1)
 #: Most times that a document is taken.
 MOST = 3
-#: Ranges of ranks that a source's words are summed into.
-RANGES = 65536
+#: Ranges that ranks are dealt to, and how often the range in which a sample ends is dealt to ranges again.
+RANGES = 1024
+DEPTH = 2
 SALTS = 64
 
 
@@ -70,6 +71,86 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     )
 
 
+def _join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """left with the row of right of its source, whatever share of left one source has: sources are salted."""
+    left = left.withColumn("_salt", F.pmod(F.hash("_id"), F.lit(SALTS)))
+    right = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("_source", "_source2")
+    on = (F.col("_salt") == F.col("_salt2")) & F.col("_source").eqNullSafe(F.col("_source2"))
+    return left.join(right, on, how).drop("_salt", "_salt2", "_source2")
+
+
+def _ranked(rows: DataFrame, plans: DataFrame, seed: int) -> DataFrame:
+    """rows (_id, _source, _size, ...) with the plan of their source and their rank, null if they aren't drawn."""
+    u = uniform(F.col("_id"), seed)
+    rank = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
+    drawn = F.col("_p").between(1e-12, 1 - 1e-12) & (F.col("_size") > 0)
+    return _join(rows, plans).withColumn("_rank", F.when(drawn, rank))
+
+
+def _ends(ranked: DataFrame, depth: int) -> DataFrame:
+    """Per source, the range of ranks in which its sample ends, and the words before it.
+
+    Ranges are narrowed depth times by a factor RANGES, so no window has more than RANGES rows of a source.
+    """
+    place = F.col("_rank") / (1 + F.col("_rank"))
+    part = ranked.where("_rank is not null").withColumn("_before", F.lit(0).cast("bigint"))
+    for level in range(1, depth + 1):
+        part = part.withColumn("_range", F.floor(place * float(RANGES**level)))
+        sums = part.groupBy("_source", "_range").agg(F.sum("_size").alias("_words"), F.first("_rest").alias("_rest"), F.first("_before").alias("_before"))
+        run = Window.partitionBy("_source").orderBy("_range")
+        sums = sums.withColumn("_upto", F.col("_before") + F.sum("_words").over(run)).where("_upto > _rest")
+        end = F.min_by(F.struct("_range", (F.col("_upto") - F.col("_words")).alias("before")), "_range").alias("end")
+        ends = cut(sums.groupBy("_source").agg(end).select("_source", F.col("end._range").alias("_end"), F.col("end.before").alias("_from")), "ends")
+        part = _join(part, ends).where("_range = _end").withColumn("_before", F.col("_from")).drop("_end", "_from")
+    return part
+
+
+KEY = ("_rank", "_size", "_id")
+
+
+def _plan(sized: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per source: target and certain copies; the key at which its sample stops; the one further document."""
+    targets = cut(source_targets(sized.select(F.col("_source").alias("source"), F.col("_size").alias("size")), weights, most), "targets")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    plans = targets.withColumn("_certain", F.floor(ratio)).withColumn("_p", ratio - F.col("_certain"))
+    plans = plans.withColumn("_rest", F.col("target") - F.col("_certain") * F.col("source_size"))
+    plans = plans.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_certain", "_p", "_rest")
+
+    ranked = _ranked(sized, plans, seed)
+    order = Window.partitionBy("_source").orderBy(*KEY)
+    upto = F.col("_before") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = _ends(ranked, DEPTH).withColumn("_upto", upto).groupBy("_source").agg(
+        F.min(F.when(F.col("_upto") > F.col("_rest"), F.struct(*KEY))).alias("_stop"),
+        F.max(F.when(F.col("_upto") <= F.col("_rest"), F.col("_upto"))).alias("reached"),
+        F.first("_before").alias("before"),
+        F.first("_rest").alias("rest"),
+    )
+    stops = cut(last.select("_source", "_stop", (F.col("rest") - F.coalesce("reached", "before")).alias("_gap")), "stops")
+
+    # One more document where it brings the source nearer to its target.
+    miss = F.abs(F.col("_size") - F.col("_gap"))
+    left = _join(ranked, stops).where("_rank is not null").where(~(F.struct(*KEY) < F.col("_stop"))).where(miss < F.col("_gap"))
+    extra = cut(left.groupBy("_source").agg(F.min(F.struct(miss.alias("miss"), *KEY)).alias("_extra")), "extra")
+    return plans, stops, extra
+
+
+def _copies(rows: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame], seed: int) -> DataFrame:
+    """rows (_id, _source, _size, ...) with _source_size, _target and _copies, by joins with one row per source alone."""
+    plans, stops, extra = plan
+    done = _join(_join(_ranked(rows, plans, seed), stops, "left"), extra, "left")
+    sampled = F.col("_rank").isNotNull() & (F.col("_stop").isNull() | (F.struct(*KEY) < F.col("_stop")))
+    hit = (F.col("_extra._rank") == F.col("_rank")) & (F.col("_extra._size") == F.col("_size")) & F.col("_extra._id").eqNullSafe(F.col("_id"))
+    drawn = (sampled | F.coalesce(hit, F.lit(False))).cast("bigint")
+    # A ratio that rounding left just below a whole number takes that whole number.
+    drawn = F.when(F.col("_p") > 1 - 1e-12, F.lit(1)).otherwise(drawn)
+    return done.withColumn("_copies", (F.col("_certain") + drawn).cast("bigint"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
+    return {"_id": F.col(id_col), "_source": F.col(source_col), "_size": size}
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -86,98 +167,33 @@ def mix(
     random numbers; ties of rank go by size.  Null ids share one random number; null sources
     form a source of their own, the last.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    sized = cut(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        ),
-        "sizes",
-    )
-    targets = cut(source_targets(sized, weights, most), "targets")
-
-    # Sources are salted: a hot one is spread over SALTS keys.
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plans = targets.withColumn("certain", F.floor(ratio)).withColumn("p", ratio - F.col("certain"))
-    plans = plans.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
-
-    def join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-        """left with the row of right of its source, whatever share of left one source has."""
-        left = left.withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALTS)))
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "_source")
-        on = (left["_salt"] == right["_salt"]) & left["source"].eqNullSafe(right["_source"])
-        return left.join(right, on, how).drop("_salt", "_source")
-
-    u = uniform(F.col("id"), seed)
-    rank = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    drawn = F.col("p").between(1e-12, 1 - 1e-12) & (F.col("size") > 0)
-    ranked = join(sized, plans).withColumn("rank", F.when(drawn, rank))
-    ranked = ranked.withColumn("range", F.floor(F.col("rank") / (1 + F.col("rank")) * RANGES))
-
-    # The range of ranks in which each source's sample ends, and the words before it.
-    sums = ranked.where("rank is not null").groupBy("source", "range").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    run = Window.partitionBy("source").orderBy("range")
-    sums = sums.withColumn("upto", F.sum("words").over(run)).where("upto > rest")
-    ends = cut(
-        sums.groupBy("source").agg(F.min_by(F.struct("range", (F.col("upto") - F.col("words")).alias("before")), "range").alias("end"))
-        .select("source", F.col("end.range").alias("end_range"), F.col("end.before").alias("before")),
-        "ends",
-    )
-    inside = join(ranked.where("rank is not null"), ends).where("range = end_range")
-    order = Window.partitionBy("source").orderBy("rank", "size", "id")
-    stops = (
-        inside.withColumn("upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("source")
-        .agg(
-            F.min(F.when(F.col("upto") > F.col("rest"), F.struct("rank", "size", "id"))).alias("stop"),
-            F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("reached"),
-            F.first("before").alias("before"),
-            F.first("rest").alias("rest"),
-        )
-        .select("source", "stop", (F.col("rest") - F.coalesce("reached", "before")).alias("gap"))
-    )
-    stops = cut(stops, "stops")
-    placed = join(ranked, stops, "left")
-    key = F.struct("rank", "size", "id")
-    in_sample = F.col("rank").isNotNull() & (F.col("stop").isNull() | (key < F.col("stop")))
-    placed = placed.withColumn("sampled", in_sample)
-
-    # One more document where it brings the source nearer to its target.
-    miss = F.abs(F.col("size") - F.col("gap"))
-    extra = cut(
-        placed.where("rank is not null and not sampled")
-        .where(miss < F.col("gap"))
-        .groupBy("source")
-        .agg(F.min(F.struct(miss.alias("miss"), F.col("rank"), F.col("size"), F.col("id"))).alias("extra")),
-        "extra",
-    )
-    done = join(placed, extra, "left")
-    hit = (F.col("extra.rank") == F.col("rank")) & (F.col("extra.size") == F.col("size")) & F.col("extra.id").eqNullSafe(F.col("id"))
-    copies = F.col("certain") + (F.col("sampled") | F.coalesce(hit, F.lit(False))).cast("bigint")
-    # A ratio that rounding left just below a whole number takes that whole number.
-    copies = F.when(F.col("p") > 1 - 1e-12, F.col("certain") + 1).otherwise(copies)
+    sized = cut(docs.select(*[c.alias(n) for n, c in _sized(docs, id_col, text_col, source_col).items()]), "sizes")
+    done = _copies(sized, _plan(sized, weights, most, seed), seed)
     return done.select(
-        F.col("id").alias(id_col),
-        F.col("source").alias(source_col),
-        "size",
-        "source_size",
-        "target",
-        copies.cast("bigint").alias("copies"),
-        (copies * F.col("size")).cast("bigint").alias("taken"),
+        F.col("_id").alias(id_col),
+        F.col("_source").alias(source_col),
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        F.col("_copies").alias("copies"),
+        (F.col("_copies") * F.col("_size")).alias("taken"),
     )
 
 
-def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs, each as many times as ``mix`` takes it; rows that it doesn't take go.
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    most: int = MOST,
+    seed: int = 7,
+) -> DataFrame:
+    """The rows of docs, each as many times as ``mix`` takes it; rows that it doesn't take, and rows of no words, go.
 
-    Rows that repeat an id are told apart by their size.
+    Texts pass through joins with one row per source and aren't shuffled unless sources outgrow a broadcast.
     """
-    names = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | {k: v for k, v in options.items() if k.endswith("_col")}
-    idn, src, text = names["id_col"], names["source_col"], names["text_col"]
-    takes = mix(docs, **options).where("copies > 0").groupBy(idn, src, "size").agg(F.max("copies").alias("_copies"))
-    takes = cut(takes, "takes").select(F.col(idn).alias("_id"), F.col(src).alias("_src"), F.col("size").alias("_n"), "_copies")
-    n = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
-    on = F.col(idn).eqNullSafe(F.col("_id")) & F.col(src).eqNullSafe(F.col("_src")) & (n == F.col("_n"))
-    rows = docs.join(takes, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return rows.select(*docs.columns)
+    columns = _sized(docs, id_col, text_col, source_col)
+    sized = cut(docs.select(*[c.alias(n) for n, c in columns.items()]), "sizes")
+    done = _copies(docs.withColumns(columns), _plan(sized, weights, most, seed), seed).where("_copies > 0 and _size > 0")
+    return done.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
