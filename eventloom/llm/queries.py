@@ -152,6 +152,70 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+def _op7_matches(kind: str, pattern: str, rank: int) -> str:
+    return f"SELECT id, text, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM d"
+
+
+OP7_SQL = rf"""
+WITH d AS (
+  SELECT doc_id AS id, coalesce(text, '') AS text FROM documents
+), m0 AS (
+  {_op7_matches("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 1)}
+  UNION ALL {_op7_matches("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 2)}
+  UNION ALL {_op7_matches("card", r"[0-9]([\x20-]?[0-9])+", 3)}
+  UNION ALL {_op7_matches("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 4)}
+), m1 AS (
+  SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m0
+), m2 AS (
+  SELECT id, text, kind, rank, ms[i] AS value, regexp_replace(ms[i], '[^0-9]', '', 'g') AS digits, right(ps[i], 64) AS b0, left(ps[i + 1], 64) AS a0,
+    (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM m1
+), base AS (
+  SELECT *, start + length(value) AS stop, CASE kind WHEN 'email' THEN lower(value) WHEN 'ip' THEN value ELSE digits END AS entity,
+    CASE WHEN length(b0) = 64 THEN regexp_replace(b0, '^[\p{{L}}\p{{N}}]+', '') ELSE b0 END AS before,
+    CASE WHEN length(a0) = 64 THEN regexp_replace(a0, '[\p{{L}}\p{{N}}]+$', '') ELSE a0 END AS after
+  FROM m2 WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(value, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(ltrim(x, '0') AS INT), 0) <= 255))
+    WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j:
+      CASE WHEN j % 2 = 1 THEN reverse(digits)[j]::INT WHEN reverse(digits)[j]::INT > 4 THEN 2 * reverse(digits)[j]::INT - 9 ELSE 2 * reverse(digits)[j]::INT END)) % 10 = 0
+    ELSE length(digits) BETWEEN 10 AND 15 END
+), sides AS (
+  SELECT id, text, entity, before AS side, start - length(before) AS first FROM base UNION ALL SELECT id, text, entity, after, stop FROM base
+), t0 AS (
+  SELECT *, regexp_extract_all(side, '[\p{{L}}\p{{N}}]+') AS ms, string_split_regex(side, '[\p{{L}}\p{{N}}]+') AS ps FROM sides
+), t1 AS (
+  SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM t0
+), met AS (
+  SELECT DISTINCT id, text, entity, lower(ms[i]) AS term, length(ms[i]) AS n,
+    (first + list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM t1 WHERE length(ms[i]) >= 4 AND (regexp_matches(ms[i], '^\p{{L}}') OR regexp_full_match(ms[i], '\p{{N}}+'))
+), pairs AS (
+  SELECT entity, term, count(DISTINCT id) AS n_both FROM met GROUP BY ALL HAVING count(DISTINCT text) >= 3
+), entities AS (
+  SELECT entity, count(DISTINCT id) AS n_entity FROM base GROUP BY ALL
+), words AS (
+  SELECT id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) AS term FROM d
+), terms AS (
+  SELECT term, count(*) AS n_term FROM words WHERE term IN (SELECT term FROM pairs) GROUP BY ALL
+), risky AS (
+  SELECT entity, term FROM pairs JOIN entities USING (entity) JOIN terms USING (term), (SELECT count(*) AS n FROM d)
+  WHERE n_entity < n AND ln(n_both * n::DOUBLE / (n_entity * n_term)) / ln(n::DOUBLE / n_entity) >= 0.8
+), added AS (
+  SELECT DISTINCT id, start, start + n AS stop FROM met JOIN risky USING (entity, term)
+  WHERE NOT EXISTS (FROM base b WHERE b.id = met.id AND met.start < b.stop AND b.start < met.start + met.n)
+), spans AS (
+  SELECT id, kind, rank, start, stop FROM base UNION ALL SELECT id, 'term', 5, start, stop FROM added
+), folded AS (
+  SELECT id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (kind <> 'term') AS own,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans FROM spans GROUP BY ALL
+)
+SELECT d.id AS doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN folded ON folded.id = d.id
+"""
+
 OP8_SQL = rf"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '{SPACE}', ' ', 'g') AS body FROM documents
@@ -185,4 +249,4 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op5_mixing": OP5_SQL, "op6_chat": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op3_topk": OP3_SQL, "op5_mixing": OP5_SQL, "op6_chat": OP6_SQL, "op7_pii": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
