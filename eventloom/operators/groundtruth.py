@@ -10,6 +10,7 @@ from eventloom.operators.bandjoin import coincidences
 from eventloom.operators.trains import unit_counts
 
 MATCH_STEPS = (0.95, 0.8, 0.5)
+BLOCKS = 16
 
 
 def truth_metrics(spikes: DataFrame, truth: DataFrame, window: int, t_max: int, chance: bool = True) -> DataFrame:
@@ -21,7 +22,9 @@ def truth_metrics(spikes: DataFrame, truth: DataFrame, window: int, t_max: int,
     both = spikes.select("sorting", "unit_id", "sample_index").union(known)
     pairs = coincidences(both, window).where((F.col("s2") == "\x7ftruth") & (F.col("s1") != "\x7ftruth"))
     units, neurons = unit_counts(spikes), truth.groupBy(F.col("unit_id").alias("neuron")).agg(F.count(F.lit(1)).alias("n_true"))
-    grid = units.withColumn("_k", F.lit(1)).join(neurons.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # The result is a matrix by definition; its columns are dealt to BLOCKS so that its rows are spread evenly.
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    grid = units.withColumn("_b", blocks).join(neurons.withColumn("_b", F.pmod(F.hash("neuron"), F.lit(BLOCKS))), "_b").drop("_b")
     found = pairs.select(F.col("s1").alias("sorting"), F.col("u1").alias("unit_id"), F.col("u2").alias("neuron"), "n_coinc")
     all_ = grid.join(found, [*UNIT, "neuron"], "left").fillna({"n_coinc": 0})
     p = (2 * window + 1) / t_max if chance else 0.0

@@ -520,7 +520,29 @@ def template_diff(spark: SparkSession, sf: str) -> DataFrame:
     return waves.template_differences(found, pairs).select("u1", "u2", r6("difference").alias("difference"))
 
 
-@query()
+@query(
+    f"""WITH {SPIKES_SQL}, o AS (
+  SELECT *, row_number() OVER () AS id FROM spikes WHERE sorting <> 'C'
+), raw AS (
+  SELECT a.sorting AS s1, a.unit_id AS u1, b.sorting AS s2, b.unit_id AS u2, floor((a.sample_index - b.sample_index) / 20.0)::INT AS bin, count(*) AS n
+  FROM o a JOIN o b ON (a.sorting < b.sorting OR (a.sorting = b.sorting AND a.unit_id = b.unit_id AND a.id <> b.id))
+    AND a.sample_index - b.sample_index >= -200 AND a.sample_index - b.sample_index < 200 GROUP BY ALL
+), wanted AS (
+  SELECT DISTINCT s1, u1, s2, u2 FROM raw WHERE s1 <> s2 UNION SELECT sorting, unit_id, sorting, unit_id FROM counts WHERE sorting <> 'C'
+), dense AS (
+  SELECT w.*, b::INT AS bin, coalesce(n, 0) AS n FROM wanted w CROSS JOIN range(-10, 10) AS g(b) LEFT JOIN raw r ON r.s1 = w.s1 AND r.u1 = w.u1 AND r.s2 = w.s2 AND r.u2 = w.u2 AND r.bin = b
+), flat AS (
+  SELECT *, coalesce(n / nullif(avg(n) OVER (PARTITION BY s1, u1, s2, u2), 0), 0) AS h FROM dense
+), auto AS (
+  SELECT s1 AS s, u1 AS u, bin, h, max(h) OVER (PARTITION BY s1, u1) AS top FROM flat WHERE s1 = s2
+), wide AS (
+  SELECT s, u, max(abs(bin)) AS w, any_value(n_spikes) AS n FROM auto JOIN counts ON sorting = s AND unit_id = u WHERE h >= 0.5 * top GROUP BY ALL
+)
+SELECT f.s1, f.u1, f.s2, f.u2, round((avg(abs(f.h - x.h)) * any_value(a.n) + avg(abs(f.h - y.h)) * any_value(b.n)) / (any_value(a.n) + any_value(b.n)), 6) AS difference
+FROM flat f JOIN wide a ON a.s = f.s1 AND a.u = f.u1 JOIN wide b ON b.s = f.s2 AND b.u = f.u2
+JOIN auto x ON x.s = f.s1 AND x.u = f.u1 AND x.bin = f.bin JOIN auto y ON y.s = f.s2 AND y.u = f.u2 AND y.bin = f.bin
+WHERE f.s1 <> f.s2 AND abs(f.bin) <= round((a.w * a.n + b.w * b.n) / (a.n + b.n)::DOUBLE) GROUP BY f.s1, f.u1, f.s2, f.u2"""
+)
 def correlogram_diff(spark: SparkSession, sf: str) -> DataFrame:
     data = surrogate.detectors(spark, sf, "AB")
     across = bandjoin.correlogram(data.spikes, 200, 20)
