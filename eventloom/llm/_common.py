@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,21 +53,30 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def passing(keys: DataFrame, key: str, bits: int = 23) -> Callable[[Column], Column]:
-    """A test that every value of keys[key] passes, and few others: a bitmap of hashes.
+def passing(rows: DataFrame, column: Column, keys: DataFrame, key: str, bits: int = 23, how: str = "left_semi") -> DataFrame:
+    """The rows whose value may be among keys[key] (with how="left_anti" those whose value surely isn't).
 
-    The bitmap has 2^bits bits whatever the number of keys, so the driver gets at most
-    2^bits / 64 longs; with ever more keys it lets more and more through and stays right.
+    A bitmap of hashes lets every value of keys through, and few others.  It is a table of 64-bit words of
+    which there are at most 2^bits / 64 whatever the number of keys, so that bound (2 MB) holds for the broadcast; with ever more keys
+    it lets more and more through and stays right.
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("int")
-    words = keys.select(slot(F.col(key)).alias("_s")).groupBy(F.expr("_s div 64").alias("_w"))
-    bitmap = np.zeros(1 << (bits - 6), "<u8")
-    for r in words.agg(F.expr("bit_or(shiftleft(1L, _s % 64))").alias("_b")).collect():
-        bitmap[r["_w"]] = r["_b"] % (1 << 64)
-    data = F.lit(bytearray(bitmap.tobytes()))
+    words = keys.select(slot(F.col(key)).alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, _slot % 64))").alias("_bits"))
+    bit = F.call_function("shiftright", F.col("_bits"), F.pmod(slot(column), F.lit(64))).bitwiseAND(F.lit(1).cast("bigint"))
+    return rows.join(F.broadcast(words), (F.shiftright(slot(column), 6) == F.col("_word")) & (bit == 1), how)
 
-    def test(c: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(data, F.shiftright(slot(c), 3) + 1, F.lit(1))), 16, 10).cast("int")
-        return F.call_function("shiftright", byte, F.pmod(slot(c), F.lit(8))).bitwiseAND(F.lit(1)) == 1
 
-    return test
+def give_back() -> None:
+    """Returns a worker's free memory to the system: workers outlive their tasks, and share an executor's memory with its JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library may not have it
+        if trim is not None:
+            trim(0)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.llm._common import give_back
+
 
 PROFILE = 400
 TRAIN_DOCS = 3000
@@ -175,6 +177,7 @@ def identify(
             got = [judge(x.as_py()) for x in batch.column(where)]
             columns = [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+        give_back()
 
     kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     from pyspark.sql import types as T

@@ -168,9 +168,9 @@ def disclosing_terms(
         return docs.sparkSession.createDataFrame([], none)
 
     # Document frequencies of the candidate terms over the whole corpus.
-    passes = passing(pairs, "term", FILTER_BITS)(F.col("term"))
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    words = _keyed(docs, id_col, text_col).select(F.explode(found).alias("term")).where(passes)
+    words = _keyed(docs, id_col, text_col).select(F.explode(found).alias("term"))
+    words = passing(words, F.col("term"), pairs, "term", FILTER_BITS)
     terms = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     risky = pairs.join(terms, "term").select("entity", "term", risk(F.col("n_term")).alias("risk")).where(F.col("risk") >= generalise_at)
     marked = met.join(risky, ["entity", "term"])
