@@ -101,18 +101,22 @@ def remove_redundant_units(data: Dataset, params: dict) -> Dataset:
         "adaptive_window_thresh": 0.5,
         "template_diff_thresh": 0.25,
         "num_channels": 5,
+        "max_distance_um": 150.0,
     },
 )
 def merge_units(data: Dataset, params: dict) -> Dataset:
-    """Candidates pass by correlogram, then by template if there are any; then merges that raise the score are made."""
+    """Candidates pass by place (if channels are known), correlogram and template; then merges that raise the score are made."""
     bin_size = max(1, round(data.meta.samples(params["correlograms"]["bin_ms"])))
     bins = max(1, round(data.meta.samples(params["correlograms"]["window_ms"]) / 2 / bin_size))
     counts = graph.settle(trains.unit_counts(data.spikes, data.units), "counts")
     lags = graph.settle(correlogram(data.spikes, bins * bin_size, bin_size, same=True), "correlograms")
     pairs = lags.where("u1 < u2").select("s1", "u1", "s2", "u2").distinct()
+    source = with_templates(data, params["wvf_extraction"])
+    if source.templates is not None and source.channels is not None:
+        places = graph.settle(templates.unit_locations(source.templates, source.channels), "places")
+        pairs = graph.settle(templates.near_pairs(pairs, places, params["max_distance_um"]), "near")
     close = templates.correlogram_differences(lags, pairs, counts, bins, params["adaptive_window_thresh"])
     candidates = graph.settle(close.where(F.col("difference") <= params["corr_diff_thresh"]).select("s1", "u1", "s2", "u2"), "candidates")
-    source = with_templates(data, params["wvf_extraction"])
     if source.templates is not None:
         alike = templates.template_differences(source.templates, candidates, params["num_channels"])
         candidates = graph.settle(alike.where(F.col("difference") <= params["template_diff_thresh"]).select("s1", "u1", "s2", "u2"), "candidates")
@@ -136,6 +140,7 @@ def merge_units(data: Dataset, params: dict) -> Dataset:
         "waveform_validation": {"wvf_extraction": {"ms_before": 1.0, "ms_after": 2.0, "max_spikes_per_unit": 1000, "filter_band": [250, 6000]}, "num_channels": 5},
         "merge_check": {"cross_cont_threshold": 0.10, "max_contamination": 0.10, "max_sd_ratio": 1.05},
         "clean_edges": {"cross_cont_threshold": 0.10, "template_diff_threshold": 0.12, "corr_diff_threshold": 0.06},
+        "graph_folder": None,
     },
     multi=True,
 )
@@ -181,6 +186,8 @@ def merge_sortings(data: Dataset, params: dict) -> Dataset:
     values = quality.select(*UNIT, "value")
     p = metrics.with_p_value(metrics.cross_contaminations(members, meta.t_max, t_c, t_r, clean["cross_cont_threshold"], values, shifts))
     edges = graph.settle(edges.join(p.select("s1", "u1", "s2", "u2", "p_value"), ["s1", "u1", "s2", "u2"], "left"), "edges")
+    if params["graph_folder"]:
+        sinks.save_graph(kept, edges, f"{params['graph_folder']}/similarity_graph")
     audit = [*data.audit]
 
     check = params["merge_check"]
@@ -196,6 +203,8 @@ def merge_sortings(data: Dataset, params: dict) -> Dataset:
         kept, edges = graph.separate_communities(kept, edges, params["min_num_sortings"])
         kept, edges = graph.settle(kept, "kept"), graph.settle(edges, "edges")
 
+    if params["graph_folder"]:
+        sinks.save_graph(kept, edges, f"{params['graph_folder']}/final_graph")
     members = graph.components(kept, edges)
     scores = metrics.unit_scores(data, t_c, t_r, nodes.select(*UNIT, F.col("sd_ratio").alias("value")))
     chosen, choice = merging.merge_components(data, members, shifts, scores, t_c, t_r, params["min_num_sortings"])

@@ -56,6 +56,21 @@ def amplitudes(templates: DataFrame, sign: str = "both", mode: str = "extremum")
     return channel_peaks(templates, sign, mode).groupBy(*UNIT).agg(F.max("peak").alias("value"))
 
 
+def unit_locations(templates: DataFrame, channels: DataFrame) -> DataFrame:
+    """x and y of each unit: the mean place of the channels, weighted by their peaks."""
+    peaks = channel_peaks(templates).join(channels.select("channel", "x", "y"), "channel")
+    total = F.sum("peak")
+    weighted = lambda c: (F.sum(F.col("peak") * F.col(c)) / F.when(total != 0, total)).alias(c)
+    return peaks.groupBy(*UNIT).agg(weighted("x"), weighted("y"))
+
+
+def near_pairs(pairs: DataFrame, locations: DataFrame, distance: float) -> DataFrame:
+    """Pairs (s1, u1, s2, u2) of units at most distance apart."""
+    one, two = locations.toDF("s1", "u1", "x1", "y1"), locations.toDF("s2", "u2", "x2", "y2")
+    far = F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))
+    return pairs.join(one, ["s1", "u1"]).join(two, ["s2", "u2"]).where(far <= distance).select(*pairs.columns)
+
+
 def noise_levels(chunks: DataFrame) -> DataFrame:
     """noise (scaled median absolute deviation) and sd per channel."""
     long = long_recording(chunks)

@@ -629,6 +629,15 @@ def signal_to_noise(spark: SparkSession, sf: str) -> DataFrame:
     return waves.signal_to_noise(_recorded(spark, sf)).select("unit_id", r6("value").alias("snr"))
 
 
+@query(
+    f"""WITH {TEMPLATES_SQL}, p AS (SELECT unit_id, channel, max(abs(value)) AS peak FROM templates GROUP BY ALL)
+SELECT unit_id, round(sum(peak * (channel % 2) * 20) / sum(peak), 6) AS x, round(sum(peak * channel * 10) / sum(peak), 6) AS y FROM p GROUP BY ALL"""
+)
+def unit_location(spark: SparkSession, sf: str) -> DataFrame:
+    channels = spark.range(surrogate.CHANNELS).select(F.col("id").cast("int").alias("channel"), (F.col("id") % 2 * 20.0).alias("x"), (F.col("id") * 10.0).alias("y"))
+    return waves.unit_locations(surrogate.templates(spark, sf), channels).select("unit_id", r6("x").alias("x"), r6("y").alias("y"))
+
+
 @query()
 def sampled_spikes(spark: SparkSession, sf: str) -> DataFrame:
     kept = waves.sampled_spikes(surrogate.detectors(spark, sf).spikes, 50)

@@ -43,7 +43,6 @@ def step(name: str, defaults: dict | None = None, multi: bool = False, exports:
 
 def find(key: str) -> Step:
     """The step of a pipeline key; a numeric suffix _N, which tells repeated steps apart, is left out."""
-    from eventloom import modules  # noqa: F401
     from eventloom.modules import steps  # noqa: F401
 
     name = key if key in STEPS else re.sub(r"_\d+$", "", key)

@@ -29,11 +29,13 @@ def counts(data):
     return sorted((r["sorting"], r["unit_id"], r["count"]) for r in data.spikes.groupBy("sorting", "unit_id").count().collect())
 
 
-def test_merges_planted_units_and_resumes(planted, tmp_path):
+def test_merges_planted_units_and_resumes(spark, planted, tmp_path):
     logs = str(tmp_path / "logs")
-    first = pipeline.Pipeline(planted, STEPS, logs).run()
+    steps = STEPS | {"merge_sortings": {"all": {"graph_folder": str(tmp_path / "graphs")}}}
+    first = pipeline.Pipeline(planted, steps, logs).run()
     assert [(s, u) for s, u, _ in counts(first)] == [("merged_sorting", u) for u in range(3)]
     assert all(n > 380 for _, _, n in counts(first))
+    assert spark.read.parquet(f"{tmp_path}/graphs/final_graph/edges").count() == 9
     again = pipeline.Pipeline(planted.replace(spikes=planted.spikes.limit(0)), STEPS, logs).run()
     assert counts(again) == counts(first)
 
@@ -108,6 +110,18 @@ def test_readers_and_writers(spark, tmp_path):
         sinks.write_tsv(str(tmp_path / "a.tsv"), "a", [1], [])
 
 
+def test_places(spark):
+    from eventloom.operators import templates
+
+    rows = [("a", u, 0, c, v) for u, peaks in enumerate(([4, 0, 0], [3, 1, 0], [0, 0, 5])) for c, v in enumerate(map(float, peaks))]
+    waves = spark.createDataFrame(rows, "sorting string, unit_id long, sample int, channel int, value double")
+    channels = spark.createDataFrame([(c, 0.0, 20.0 * c) for c in range(3)], "channel int, x double, y double")
+    places = templates.unit_locations(waves, channels)
+    assert {r["unit_id"]: r["y"] for r in places.collect()} == {0: 0.0, 1: 5.0, 2: 40.0}
+    pairs = spark.createDataFrame([("a", 0, "a", 1), ("a", 0, "a", 2)], "s1 string, u1 long, s2 string, u2 long")
+    assert [r["u2"] for r in templates.near_pairs(pairs, places, 10).collect()] == [1]
+
+
 def test_raw_recording_and_templates(spark, tmp_path):
     from eventloom.functions.signal import band_pass, filter_recording
     from eventloom.operators import templates
