@@ -14,25 +14,40 @@ two, which need no padding.  Memory is that of the open windows, and nothing is
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import filterfalse
+from collections.abc import Iterator, Sequence
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm._common import give_back
 from eventloom.llm.tokencount import load
 
 CAPACITY = 2048
 END_ID = 1
 MAX_OPEN = 2048
-#: Bytes of words and ids that a worker remembers.
-MEMO_BYTES = 48 << 20
+#: Bytes of words and ids that a task remembers.
+MEMO_BYTES = 96 << 20
+ENTRY_BYTES = 150
+#: Texts given to Arrow at a time.
+CALL_BYTES, CALL_ROWS = 8 << 20, 4096
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are kept as little-endian 32-bit numbers, which this machine's arrays aren't")
+
+#: How this kind of vocabulary marks the last token of a word.
+WORD_END = "</w>"
+#: Up to here, Python and tokenizers agree on what a letter is, whatever their versions of Unicode.
+KNOWN_LETTERS = "\u0500"
+
 #: id, start, ids as little-endian unsigned 32-bit bytes, tokens of the document
 Piece = tuple[object, int, bytes, int]
 
@@ -42,26 +57,102 @@ class WordIds:
 
     Words are parted by ASCII white space.  That is exact for a tokenizer whose
     pre-tokenizer drops white space and whose normaliser doesn't join across it, as
-    word_bpe_49k.json: no token, special or not, then spans two words.
+    word_bpe_49k.json: no token, special or not, then spans two words.  Arrow parts the texts of a call and
+    finds their distinct words; only those are looked up in the memo, and ids are gathered by index.  Where the
+    tokenizer ignores case and sets marks apart, words of letters with at most one comma or period after them
+    are known from their letters (in lower case if they are ASCII).
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.known, self.held = load(path), {}, 0
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.plain = self._parts_plain_words()
+
+    def _parts_plain_words(self) -> bool:
+        """Whether case doesn't matter, letters and marks are apart, and each part ends in one token that says so."""
+
+        def ids(text: str) -> list[int]:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+        same = all(ids(w.upper() + m) == ids(w) + ids(m) for w in ("a", "to", "zygotic") for m in (",", "."))
+        counts = [int(self.ends_word[ids(t)].sum()) for t in ("a", "zygotic", "a zygotic to", ",")]
+        return same and counts == [1, 1, 3, 1]
+
+    def _add(self, words: Sequence[bytes], ids: Sequence[bytes]) -> None:
+        self.known.update(zip(words, ids, strict=True))
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + ENTRY_BYTES * len(words)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.held > MEMO_BYTES:
-            self.known, self.held = {}, 0
+    def _encode_each(self, words: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in words], add_special_tokens=False)
+        self._add(words, [array("I", e.ids).tobytes() for e in found])
+
+    def _encode_letters(self, words: list[bytes]) -> None:
+        """Words of letters: many in one text, parted again at the tokens that end a word.
+
+        A word has one such token at least, so as many as there are words means one in each; if lower case turns
+        a letter into a letter and a mark, there are more, and the words are encoded one by one.
+        """
+        for s in range(0, len(words), 8192):
+            group = words[s : s + 8192]
+            texts = [b" ".join(group[k : k + 64]).decode("utf-8") for k in range(0, len(group), 64)]
+            ids = array("I")
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                ids.extend(e.ids)
+            ends = (np.flatnonzero(self.ends_word[np.frombuffer(ids, "<u4")]) + 1) * 4
+            if len(ends) != len(group):
+                self._encode_each(group)
+                continue
+            data, stops = ids.tobytes(), ends.tolist()
+            self._add(group, [data[x:y] for x, y in zip([0, *stops], stops, strict=False)])
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
         known = self.known
-        words = [x.encode("utf-8").split() for x in texts]
-        new = set()
-        for w in words:
-            new.update(filterfalse(known.__contains__, w))
-        if new:
-            fresh = list(new)
-            for w, e in zip(fresh, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in fresh], add_special_tokens=False), strict=True):
-                known[w] = ids = np.asarray(e.ids, "<u4").tobytes()
-                self.held += len(w) + len(ids) + 150
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+        if self.held > MEMO_BYTES:  # the older half goes
+            for w in list(islice(known, len(known) // 2)):
+                self.held -= len(w) + len(known.pop(w)) + ENTRY_BYTES
+        fresh = list(filterfalse(known.__contains__, words))
+        if fresh and self.plain:
+            others, plain, keys = [b",", b"."], [], []
+            for w in fresh:
+                text = w.decode("utf-8")
+                letters = text[:-1] if text[-1:] in (",", ".") else text
+                if letters.isalpha() and (letters is text or letters.isascii() or max(letters) < KNOWN_LETTERS):
+                    plain.append(w)
+                    keys.append(letters.lower().encode() if letters.isascii() else letters.encode())
+                else:
+                    others.append(w)
+            self._encode_letters(list(filterfalse(known.__contains__, set(keys))))
+            self._encode_each(list(filterfalse(known.__contains__, set(others))))
+            marks = {b",": known[b","], b".": known[b"."]}
+            more = [(w, known[k] + marks.get(w[-1:], b"")) for w, k in zip(plain, keys, strict=True) if w != k]
+            if more:
+                self._add(*zip(*more, strict=True))
+        elif fresh:
+            self._encode_each(fresh)
+        return list(map(known.__getitem__, words))
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        parts = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = parts.flatten().dictionary_encode()
+        words = self._ids_of(coded.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        pool = np.frombuffer(b"".join(words), "<u4")
+        first = np.cumsum(sizes) - sizes
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        n = sizes[index]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.arange(upto[-1]) + np.repeat(first[index] - upto[:-1], n)]
+        ends = upto[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)]
+
+
+def batch_rows(texts: pa.Array, at: int) -> int:
+    """How many texts from row ``at`` on to encode in one call: up to CALL_BYTES of text, one at least."""
+    sizes = np.cumsum(pc.binary_length(texts.slice(at, CALL_ROWS)).fill_null(0).to_numpy(zero_copy_only=False))
+    return max(1, int(np.searchsorted(sizes, CALL_BYTES, "right")))
 
 
 class Packer:
@@ -197,16 +288,20 @@ def pack(
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), words.encode(texts), strict=True):
+            at = 0
+            while at < batch.num_rows:
+                n = batch_rows(batch.column(1), at)
+                part = batch.slice(at, n)
+                at += n
+                for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1)), strict=True):
                     packer.add(doc, ids + end)
                 if len(packer.out) > 4096:
                     yield rows()
         packer.settle()
         if packer.out:
             yield rows()
+        words.known.clear()
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {PIECE}")
