@@ -27,13 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that is removed when the application ends."""
-    path = f"{shared_dir(spark)}/eventloom-{name}-{uuid.uuid4().hex}"
+    """A path in a new folder below the shared one; the folder is removed when the application ends."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.deleteOnExit(target)
-    return path
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/eventloom-{name}-{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{folder.toString()}/table"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
