@@ -19,14 +19,16 @@ from eventloom.operators.bandjoin import PAIR
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the cluster's shared folder (spark.checkpoint.dir), removed when the application ends."""
+    """A path in a new folder below the cluster's shared one (spark.checkpoint.dir), removed when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventloom-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}-{uuid.uuid4().hex}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/eventloom-{name}-{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{folder.toString()}/table"
 
 
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
