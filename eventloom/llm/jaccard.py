@@ -1,0 +1,168 @@
+"""Near-dedup by the Jaccard similarity of word-shingle sets: MinHash bands propose, whole sets decide.
+
+A row's set is the XXH64 (seed 42) of its distinct word shingles; equal sets are one node.  Each node has
+``BANDS`` keys, each of ``ROWS`` minima of its set under fixed permutations.  Two sets of similarity s share
+a key with odds 1 - (1 - s^ROWS)^BANDS: of pairs at 0.8 three in a million are missed, fewer above.  Nodes
+that share a key are compared by their whole sets, which are made again from the texts of these nodes alone.
+
+Nodes of one key form a group; groups of equal members are compared once, and groups of more than ``GROUP``
+nodes are dealt to pairs of parts, so that a task holds at most twice ``GROUP`` sets.  In a group each
+node meets those it isn't linked with yet, and only a forest of the links leaves the task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import islice, repeat
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from eventloom.llm._common import cut, give_back, passing
+from eventloom.llm.simhash import SEED, _mixed, _words, components
+
+BANDS, ROWS = 24, 4
+GROUP = 1024
+BLOCK = 1 << 9
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles: a shorter text is one shingle, one without words none."""
+    import xxhash
+
+    found, tail = [], []
+    for words in _words((text or "").encode("utf-8", "surrogatepass").lower()):
+        words = tail + words
+        if len(words) >= shingle:
+            parts = map(b" ".join, zip(*(islice(words, k, None) for k in range(shingle)), strict=False))
+            found.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64)))
+            tail = words[len(words) - shingle + 1 :]
+        else:
+            tail = words
+    if not found:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tail), SEED)] if tail else [], np.uint64)
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set, one per band; none if it is empty."""
+    n = BANDS * ROWS
+    if not len(hashes):
+        return np.empty(0, np.uint64)
+    numbers = _mixed(2 * n)
+    factors, offsets = numbers[:n] | np.uint64(1), numbers[n:]
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for s in range(0, len(hashes), BLOCK):
+        np.minimum(least, (factors[:, None] * hashes[None, s : s + BLOCK] + offsets[:, None]).min(axis=1), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = (key ^ (column ^ (column >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def linked(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs of a group whose similarity is least or more."""
+    sizes = np.array([len(x) for x in sets])
+    label, a, b = np.arange(len(nodes)), [], []
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    for i in np.argsort(-sizes, kind="stable"):
+        other = label != label[i]
+        if not other.any():
+            break
+        own = sets[i]
+        at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        common = np.bincount(owner[own[at] == every], minlength=len(nodes))
+        for j in np.flatnonzero(other & (common >= least * (sizes[i] + sizes - common))):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                a.append(nodes[i])
+                b.append(nodes[j])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """id, body (a hash of the text), node (one of the shingle set; 0 if empty) and keys of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            nodes, keys, ends = [], [], [0]
+            for text in batch.column(2):
+                own = shingles(text.as_py(), shingle)
+                nodes.append(xxhash.xxh3_64_intdigest(own.tobytes(), SEED) if len(own) else 0)
+                keys.append(band_keys(own))
+                ends.append(ends[-1] + len(keys[-1]))
+            flat = np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, lists], names=["id", "body", "node", "keys"])
+        give_back()
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), body_of(text_col).alias("body"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, body bigint, node bigint, keys array<bigint>")
+
+
+def body_of(text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame:
+    """a, b: edges whose components are those of all found pairs of nodes of similarity least or more; rows: what keyed gave."""
+    keys = rows.select("node", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    shared = cut(shared.select(F.col("key").alias("_key")), "shared")
+    held = passing(keys, F.col("key"), shared, "_key").distinct()
+    held = held.join(shared, F.col("key") == F.col("_key"), "left_semi")
+    groups = held.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes")).select("nodes").distinct()
+    part = lambda k: F.slice("nodes", k * GROUP + 1, F.lit(GROUP))
+    last = F.floor((F.size("nodes") - 1) / GROUP).cast("int")
+    first, second = F.col("first"), F.col("second")
+    groups = groups.withColumn("first", F.explode(F.sequence(F.lit(0), last))).withColumn(
+        "second", F.explode(F.when((first == 0) & (last == 0), F.array(F.lit(0))).when(first == last, F.array().cast("array<int>")).otherwise(F.sequence(first + 1, last)))
+    )
+    members = F.when(first == second, part(first)).otherwise(F.concat(part(first), part(second)))
+    groups = groups.select(members.alias("nodes")).select(F.xxhash64("nodes").alias("group"), F.explode("nodes").alias("node"))
+    groups = cut(groups, "groups")
+
+    wanted = groups.select("node").distinct()
+    bodies = passing(rows.select("node", "body"), F.col("node"), wanted, "node").join(wanted, "node", "left_semi")
+    bodies = cut(bodies.groupBy("node").agg(F.min("body").alias("_body")), "bodies")
+    texts = passing(docs.select(body_of(text_col).alias("body"), F.col(text_col).alias("text")), F.col("body"), bodies, "_body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingles(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["body", "hashes"])
+
+    # One text a body before the sets are made: copies of a text have one set.
+    sets = texts.join(bodies, F.col("body") == F.col("_body"), "left_semi").dropDuplicates(["body"]).mapInArrow(run, "body bigint, hashes binary")
+    sets = sets.join(bodies, F.col("body") == F.col("_body")).select("node", "hashes")
+
+    def link(group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_numpy()
+        found = linked(nodes, [np.frombuffer(x.as_py(), np.uint64) for x in group.column("hashes")], least)
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    return groups.join(sets, "node").groupBy("group").applyInArrow(link, "a bigint, b bigint")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8
+) -> DataFrame:
+    """id, body (xxhash64 of the text, null as empty), component (a node) of each row.
+
+    Words are as in simhash; texts without a word are one node.  Null and repeated ids give a row each.
+    """
+    rows = cut(keyed(docs, id_col, text_col, shingle), "keyed")
+    tree = cut(components(links(docs, rows, text_col, shingle, least)), "tree").toDF("_node", "root")
+    # Only nodes that a bitmap of the linked ones lets through need the join.
+    alone = passing(rows, F.col("node"), tree, "_node", how="left_anti").select("id", "body", F.col("node").alias("component"))
+    maybe = passing(rows, F.col("node"), tree, "_node").join(tree, F.col("node") == F.col("_node"), "left")
+    out = alone.unionByName(maybe.select("id", "body", F.coalesce("root", "node").alias("component")))
+    return out.withColumnRenamed("id", id_col)

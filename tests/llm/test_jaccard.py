@@ -1,0 +1,86 @@
+"""Near duplicates against all pairs of whole shingle sets."""
+
+import random
+import re
+import sys
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+import corpus_pipeline  # noqa: E402
+from eventloom.llm import jaccard  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute_set(text, k=5):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode("utf-8", "surrogatepass").lower())
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)}
+
+
+def brute(rows, least=0.8):
+    """rows: (id, text); the smallest id reachable over pairs of similarity least or more, per id."""
+    sets = [(i, brute_set(t)) for i, t in rows]
+    near = [(i, j) for i, a in sets for j, b in sets if i < j and len(a & b) >= least * len(a | b)]
+    label = {i: i for i, _ in rows}
+    while any(label[i] != label[j] for i, j in near):
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def planted():
+    rng = random.Random(3)
+    texts = []
+    for g in range(12):
+        words = [f"w{g}x{rng.randrange(9000)}" for _ in range(rng.randint(30, 300))]
+        texts.append(" ".join(words))
+        for share in (0.005, 0.01, 0.02, 0.03, 0.05, 0.1):
+            texts.append(" ".join(f"y{rng.randrange(9000)}" if rng.random() < share else w for w in words))
+    return list(enumerate([*texts, "a b", "A  b", "a c", "a", texts[0]]))
+
+
+def groups(docs):
+    names = {}
+    for r in jaccard.near_duplicates(docs).collect():
+        names.setdefault(r["component"], []).append(r["doc_id"])
+    return {i: min(x) for x in names.values() for i in x}
+
+
+def test_against_all_pairs(make_docs):
+    rows = planted()
+    assert groups(make_docs(rows)) == brute(rows)
+
+
+def test_groups_dealt_to_parts(make_docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 2)
+    rows = planted()
+    assert groups(make_docs(rows)) == brute(rows)
+
+
+def test_documents(sf_docs):
+    assert groups(sf_docs) == brute([(r["doc_id"], r["text"]) for r in sf_docs.collect()])
+
+
+def test_stage_removes_near_copies(spark, make_docs):
+    rows = planted()
+    left = corpus_pipeline.drop_near_duplicates(spark, make_docs(rows), SF).collect()
+    assert sorted(r["doc_id"] for r in left) == sorted(set(brute(rows).values()))
+
+
+def test_empty_and_wordless(make_docs):
+    assert jaccard.near_duplicates(make_docs([])).count() == 0
+    found = jaccard.near_duplicates(make_docs([None, "", " \t", "a"])).collect()
+    assert len({r["component"] for r in found if r["doc_id"] < 3}) == 1 and len({r["component"] for r in found}) == 2
+
+
+@pytest.mark.parametrize("part", [40, 1 << 20])
+def test_shingles_of_parts(monkeypatch, part):
+    from eventloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "PART_BYTES", part)
+    text = " ".join(f"w{i % 90}x{i % 7}" for i in range(1200))
+    assert len(jaccard.shingles(text, 5)) == len(brute_set(text)) and np.all(np.diff(jaccard.shingles(text, 5).astype(float)) >= 0)
