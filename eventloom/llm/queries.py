@@ -51,7 +51,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term", "n_removed")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,9 +145,9 @@ WITH t AS (
   SELECT *, length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 32 AS chars FROM t
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
@@ -167,52 +167,59 @@ WITH d AS (
 ), m1 AS (
   SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m0
 ), m2 AS (
-  SELECT id, text, kind, rank, ms[i] AS value, regexp_replace(ms[i], '[^0-9]', '', 'g') AS digits, right(ps[i], 64) AS b0, left(ps[i + 1], 64) AS a0,
+  SELECT id, text, kind, rank, ms[i] AS value, regexp_replace(ms[i], '[^0-9]', '', 'g') AS digits,
     (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
   FROM m1
-), base AS (
-  SELECT *, start + length(value) AS stop, CASE kind WHEN 'email' THEN lower(value) WHEN 'ip' THEN value ELSE digits END AS entity,
-    CASE WHEN length(b0) = 64 THEN regexp_replace(b0, '^[\p{{L}}\p{{N}}]+', '') ELSE b0 END AS before,
-    CASE WHEN length(a0) = 64 THEN regexp_replace(a0, '[\p{{L}}\p{{N}}]+$', '') ELSE a0 END AS after
+), m3 AS (
+  SELECT *, start + length(value) AS stop, CASE kind WHEN 'email' THEN lower(value) WHEN 'ip' THEN value ELSE digits END AS entity
   FROM m2 WHERE CASE kind
     WHEN 'email' THEN true
     WHEN 'ip' THEN list_bool_and(list_transform(string_split(value, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(ltrim(x, '0') AS INT), 0) <= 255))
     WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j:
       CASE WHEN j % 2 = 1 THEN reverse(digits)[j]::INT WHEN reverse(digits)[j]::INT > 4 THEN 2 * reverse(digits)[j]::INT - 9 ELSE 2 * reverse(digits)[j]::INT END)) % 10 = 0
     ELSE length(digits) BETWEEN 10 AND 15 END
+), base AS (
+  SELECT *, substring(text, greatest(start - 65, 0) + 1, least(start, 65)) AS b0, substring(text, stop + 1, 65) AS a0 FROM m3
 ), sides AS (
-  SELECT id, text, entity, before AS side, start - length(before) AS first FROM base UNION ALL SELECT id, text, entity, after, stop FROM base
-), t0 AS (
-  SELECT *, regexp_extract_all(side, '[\p{{L}}\p{{N}}]+') AS ms, string_split_regex(side, '[\p{{L}}\p{{N}}]+') AS ps FROM sides
-), t1 AS (
-  SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM t0
-), met AS (
-  SELECT DISTINCT id, text, entity, lower(ms[i]) AS term, length(ms[i]) AS n,
-    (first + list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
-  FROM t1 WHERE length(ms[i]) >= 4 AND (regexp_matches(ms[i], '^\p{{L}}') OR regexp_full_match(ms[i], '\p{{N}}+'))
+  SELECT id, entity, CASE WHEN length(b0) = 65 THEN regexp_replace(b0, '^[\p{{L}}\p{{N}}]+', '') ELSE b0 END AS side FROM base
+  UNION ALL SELECT id, entity, CASE WHEN length(a0) = 65 THEN regexp_replace(a0, '[\p{{L}}\p{{N}}]+$', '') ELSE a0 END FROM base
 ), pairs AS (
-  SELECT entity, term, count(DISTINCT id) AS n_both FROM met GROUP BY ALL HAVING count(DISTINCT text) >= 3
+  SELECT DISTINCT entity, lower(term) AS term FROM (SELECT entity, unnest(regexp_extract_all(side, '[\p{{L}}\p{{N}}]+')) AS term FROM sides)
+  WHERE length(term) >= 4 AND (regexp_matches(term, '^\p{{L}}') OR regexp_full_match(term, '\p{{N}}+'))
+), owners AS (
+  SELECT DISTINCT entity, id FROM base
 ), entities AS (
-  SELECT entity, count(DISTINCT id) AS n_entity FROM base GROUP BY ALL
+  SELECT entity, count(*) AS n_entity FROM owners GROUP BY ALL
+), t0 AS (
+  SELECT id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS ms, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS ps FROM d
 ), words AS (
-  SELECT id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) AS term FROM d
+  SELECT id, term FROM (SELECT id, unnest(list_distinct(list_transform(ms, lambda x: lower(x)))) AS term FROM t0) WHERE term IN (SELECT term FROM pairs)
 ), terms AS (
-  SELECT term, count(*) AS n_term FROM words WHERE term IN (SELECT term FROM pairs) GROUP BY ALL
+  SELECT term, count(*) AS n_term FROM words GROUP BY ALL
+), shared AS (
+  SELECT entity, term, count(*) AS n_both FROM pairs JOIN owners USING (entity) JOIN words USING (id, term) GROUP BY ALL
 ), risky AS (
-  SELECT entity, term FROM pairs JOIN entities USING (entity) JOIN terms USING (term), (SELECT count(*) AS n FROM d)
-  WHERE n_entity < n AND ln(n_both * n::DOUBLE / (n_entity * n_term)) / ln(n::DOUBLE / n_entity) >= 0.8
+  SELECT entity, term, ln(n_both * n::DOUBLE / (n_entity * n_term)) / ln(n::DOUBLE / n_entity) AS risk
+  FROM shared JOIN entities USING (entity) JOIN terms USING (term), (SELECT count(*) AS n FROM d) WHERE n_entity < n
+), worst AS (
+  SELECT id, term, max(risk) AS risk FROM owners JOIN risky USING (entity) WHERE risk >= 0.8 GROUP BY ALL
+), t1 AS (
+  SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM t0 WHERE id IN (SELECT id FROM worst)
+), t2 AS (
+  SELECT id, lower(ms[i]) AS term, length(ms[i]) AS n, sum(length(ps[i]) + length(ms[i])) OVER (PARTITION BY id ORDER BY i)::BIGINT AS stop FROM t1
 ), added AS (
-  SELECT DISTINCT id, start, start + n AS stop FROM met JOIN risky USING (entity, term)
-  WHERE NOT EXISTS (FROM base b WHERE b.id = met.id AND met.start < b.stop AND b.start < met.start + met.n)
+  SELECT id, stop - n AS start, stop, risk FROM t2 JOIN worst USING (id, term)
+  WHERE NOT EXISTS (FROM base b WHERE b.id = t2.id AND t2.stop - t2.n < b.stop AND b.start < t2.stop)
 ), spans AS (
-  SELECT id, kind, rank, start, stop FROM base UNION ALL SELECT id, 'term', 5, start, stop FROM added
+  SELECT id, kind, rank, start, stop, NULL AS risk FROM base UNION ALL SELECT id, 'term', 5, start, stop, risk FROM added
 ), folded AS (
   SELECT id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    count(*) FILTER (kind = 'term') AS n_term, count(*) FILTER (risk >= 0.95) AS n_removed,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (kind <> 'term') AS own,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans FROM spans GROUP BY ALL
 )
 SELECT d.id AS doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-  sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term, coalesce(n_removed, 0) AS n_removed
 FROM d LEFT JOIN folded ON folded.id = d.id
 """
 

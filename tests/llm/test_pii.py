@@ -1,7 +1,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from eventloom.llm import pii
 
@@ -36,42 +36,45 @@ def base(text):
     return sorted(found)
 
 
-def brute(rows, generalise_at=0.8, min_texts=3, context=64):
-    """id -> all spans, of rows (id, text) with distinct ids."""
-    word = re.compile(r"(?<![^\W_])[^\W\d_][^\W_]{3,}(?![^\W_])|(?<![^\W_])\d{4,}(?![^\W_])")
+WORD = re.compile(r"(?<![^\W_])[^\W\d_][^\W_]{3,}(?![^\W_])|(?<![^\W_])\d{4,}(?![^\W_])")
+
+
+def places(text):
+    return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text or "")]
+
+
+def brute(rows, generalise_at=0.8, min_texts=1, context=64):
+    """id -> all spans, of rows (id, text); rows may repeat, but no id has two texts."""
     spans = {i: base(t) for i, t in rows}
-    met, entity_docs = defaultdict(set), defaultdict(set)
-    for i, t in rows:
-        last = {k: 0 for k in BASE}
-        raw = {k: [(m.start(), m.end()) for m in re.finditer(p, t or "")] for k, p in BASE.items()}
+    texts, copies, n = dict(rows), Counter(i for i, _ in rows), len(rows)
+    near, owners = defaultdict(set), defaultdict(set)
+    for i, t in texts.items():
         for s, _, e, k, v in spans[i]:
             name = v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v)
-            entity_docs[name].add(i)
-            at = raw[k].index((s, e))
-            low = raw[k][at - 1][1] if at else 0
-            high = raw[k][at + 1][0] if at + 1 < len(raw[k]) else len(t)
-            a, b = max(low, s - context), min(high, e + context)
-            before, after = t[a:s], t[e:b]
-            if len(before) == context:
-                cut = re.match(r"[^\W_]*", before).end()
-                before, a = before[cut:], a + cut
-            if len(after) == context:
+            owners[name].add(i)
+            a = max(0, s - context)
+            before, after = t[a:s], t[e : e + context]
+            if a and re.match(r"[^\W_]", t[a - 1]):
+                before = re.sub(r"^[^\W_]+", "", before)
+            if re.match(r"[^\W_]", t[e + context : e + context + 1]):
                 after = re.sub(r"[^\W_]+$", "", after)
-            for side, first in ((before, a), (after, e)):
-                for m in word.finditer(side):
-                    met[name, m[0].lower()].add((i, first + m.start(), first + m.end()))
-        assert last
-    texts, n = dict(rows), len(rows)
+            for side in (before, after):
+                for m in WORD.finditer(side):
+                    near[name, m[0].lower()].add(t)
+    has = {i: {w for w, _, _ in places(t)} for i, t in texts.items()}
+    count = lambda ids: sum(copies[i] for i in ids)
     out = {i: [(s, o, e, k) for s, o, e, k, _ in x] for i, x in spans.items()}
-    for (name, term), where in met.items():
-        docs = {i for i, _, _ in where}
-        if len({texts[i] for i in docs}) < min_texts or len(entity_docs[name]) == n:
+    for (name, term), where in near.items():
+        own = owners[name]
+        both = {i for i in own if term in has[i]}
+        if len(where) < min_texts or count(own) == n or not both:
             continue
-        n_term = sum(term in {m[0] for m in word.finditer((t or "").lower())} for t in texts.values())
-        if pii.risk_of(n, len(entity_docs[name]), len(docs), n_term) >= generalise_at:
-            for i, s, e in where:
-                if all(e <= x or y <= s for x, _, y, _, _ in spans[i]) and (s, 4, e, "term") not in out[i]:
-                    out[i].append((s, 4, e, "term"))
+        n_term = count(i for i in texts if term in has[i])
+        if pii.risk_of(n, count(own), count(both), n_term) >= generalise_at:
+            for i in both:
+                for w, s, e in places(texts[i]):
+                    if w == term and all(e <= x or y <= s for x, _, y, _, _ in spans[i]) and (s, 4, e, "term") not in out[i]:
+                        out[i].append((s, 4, e, "term"))
     return {i: sorted(x) for i, x in out.items()}
 
 
@@ -115,6 +118,65 @@ def test_terms_near_a_repeated_entity(make_docs):
     assert "Marlowe" not in clean[0] and "[EMAIL]" in clean[0] and "[PHONE]" in clean[0] and clean[10] == rows[4][1]
 
 
+def test_numbers_between_do_not_hide_a_term(make_docs):
+    texts = ["Marlowe lives at 12 High Street 4111 1111 1111 1111", "Marlowe lives here 4111 1111 1111 1111", "Marlowe " + "12, 34; " * 6 + "4111 1111 1111 1111"]
+    for text in texts:
+        rows = [(0, text)] + [(1 + i, f"other people live at High Street {i}, here or elsewhere; each one lives") for i in range(60)]
+        check(make_docs(rows), rows)
+        assert "term:0:7" in run(make_docs(rows))[0]["spans"]
+
+
+def test_terms_are_marked_anywhere_in_documents_of_the_entity(make_docs):
+    far = "word " * 100
+    rows = [(0, f"Marlowe said so. {far}Write to Marlowe, jm@corp.example. {far}Marlowe")]
+    rows += [(1, f"{far} jm@corp.example {far}Marlowe"), (2, "nobody said word or write")]
+    rows += [(3 + i, f"plain word {i} said write") for i in range(60)] + [(100, "Marlowe")]
+    check(make_docs(rows), rows)
+    got = run(make_docs(rows))
+    assert got[0]["n_term"] == 3 and got[1]["n_term"] == 1 and got[100]["spans"] == ""
+
+
+def test_rows_that_repeat_count_as_documents(make_docs):
+    rows = [(0, "Marlowe jm@corp.example")] * 3 + [(1, "Marlowe of old")] + [(2 + i, f"text {i}") for i in range(50)]
+    check_rows = dict(rows)
+    got = pii.detect(make_docs(rows)).collect()
+    want = brute(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["spans"] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in want[r["doc_id"]]), check_rows[r["doc_id"]]
+
+
+def test_random_documents(make_docs):
+    rng = random.Random(9)
+    people = [f"Name{chr(97 + i)}{chr(98 + i)}" for i in range(12)]
+    words = [f"word{chr(97 + i)}" for i in range(20)] + ["12", "4111", "a.b", "x@", "é", "99999"]
+    rows = []
+    for i in range(120):
+        parts = [rng.choice(words) for _ in range(rng.randint(0, 40))]
+        for k in rng.sample(range(12), rng.choice([0, 0, 0, 1, 2])):
+            parts.insert(rng.randint(0, len(parts)), people[k])
+            parts.insert(rng.randint(0, len(parts)), f"p{k}@corp.example")
+        rows.append((i, " ".join(parts)))
+    check(make_docs(rows), rows)
+    check_floor = {r["doc_id"]: r["spans"] for r in pii.detect(make_docs(rows), min_texts=3).collect()}
+    for i, spans in brute(rows, min_texts=3).items():
+        assert check_floor[i] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)
+
+
+def test_sanitise_keeps_clashing_columns(make_docs):
+    docs = make_docs([(1, "Ann writes: a@b.cc, 4111 1111 1111 1111!"), (2, None), (2, None), (3, "plain")])
+    docs = docs.selectExpr("*", *[f"{k} as {c}" for k, c in enumerate(("_id", "_body", "_spans", "_row", "_key", "_text", "body", "spans"))])
+    got = pii.sanitise(docs).orderBy("doc_id").collect()
+    assert pii.sanitise(docs).columns == docs.columns and [r["text"] for r in got][1:] == [None, None, "plain"]
+    assert got[0]["text"].endswith(": [EMAIL], [CARD]!") and got[0]["_spans"] == 2 and got[0]["_key"] == 4
+    # What the spans don't cover stays as it was.
+    assert re.sub(r"\[(EMAIL|CARD|REMOVED|NAME|WORD|NUMBER)\]", "", got[0]["text"]) in (" : , !", "Ann : , !", "Ann writes: , !")
+
+
+def test_risk_by_hand():
+    assert pii.risk_of(1000, 10, 10, 10) == 1.0 and pii.risk_of(1000, 10, 1, 100) == 0.0
+
+
 def test_edges(make_docs):
     rows = [(0, None), (1, ""), (2, "a" * 30_000), (3, "1" * 30_000), (4, "1." * 9_000), (5, "1 " * 9_000), (6, "+1" + "(" * 20_000), (7, "x@y." * 3_000), (8, "a@b.cc " * 2_000), (None, "q@r.st")]
     docs = make_docs(rows).selectExpr("*", "1 as id", "2 as body", "3 as spans", "4 as start")
