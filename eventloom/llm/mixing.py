@@ -2,16 +2,19 @@
 
 Every source has a target number of words.  With r = target / words of the source,
 each of its documents is taken floor(r) times for certain, and the rest of the
-target is drawn without replacement: a document with inclusion probability p (here
-the fraction of r, which differs from source to source) and random number u gets
+target is drawn without replacement, with unequal probabilities: a document of size class g (the largest
+power of two that isn't above its number of words) is included with probability p = min(1, c * g), where c
+is such that p times size sums to the rest over the source.  Documents whose p reaches 1 are one more
+certain whole copy.  Of the others, one with random number u gets
 the rank (u / (1 - u)) / (p / (1 - p)), and the lowest ranks are taken until the
 sample has its fixed size.  That size is a number of words, so ranks are taken while
 their words fit, and one further document is added if that brings the source
-nearer to its target: the one whose size is nearest to what is missing.
+nearer to its target: the one whose size is nearest to what is missing.  Probabilities that grow with size
+keep such a sample near its size in words with few documents cut off by chance.
 
 The random numbers come from MD5 of the seed and the id, so reruns agree on any
-cluster.  A source may hold any share of the rows: words are summed first into
-ranges of ranks, twice, and single ranks are compared only within the one range per source
+cluster.  A source may hold any share of the rows: words are summed first into size classes and
+ranges of ranks (twice), and single ranks are compared only within the one range per source
 in which the sample ends.
 """
 
@@ -79,12 +82,39 @@ def _join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(right, on, how).drop("_salt", "_salt2", "_source2")
 
 
+def size_class(size: Column) -> Column:
+    """The largest power of two that isn't above a positive size."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(size)) - 1)
+
+
+def inclusion(classes: DataFrame) -> DataFrame:
+    """_source, _factor, _sure_from, _left of each source that draws, from rows (_source, _class, _words, _rest).
+
+    With classes falling, the first class at which (rest - words before) / (sum of class * words from here on)
+    times the class is below 1 has the factor c; the classes before it are taken whole, which leaves the words _left to
+    draw.  A source has at most 63 classes, so the window holds that many rows of it.
+    """
+    falling = Window.partitionBy("_source").orderBy(F.desc("_class"))
+    heft = (F.col("_class").cast("decimal(38,0)") * F.col("_words")).cast("decimal(38,0)")
+    before = F.coalesce(F.sum("_words").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = classes.withColumn("_left", F.col("_rest") - before).withColumn(
+        "_tail", F.sum(heft).over(falling.rowsBetween(Window.currentRow, Window.unboundedFollowing)).cast("double")
+    )
+    steps = steps.withColumn("_above", F.lag("_class").over(falling)).withColumn("_factor", F.col("_left") / F.col("_tail"))
+    fits = steps.where(F.col("_factor") * F.col("_class") < 1)
+    first = F.max_by(F.struct("_factor", "_above", "_left"), "_class").alias("f")
+    return fits.groupBy("_source").agg(first).select("_source", "f._factor", F.col("f._above").alias("_sure_from"), "f._left")
+
+
 def _ranked(rows: DataFrame, plans: DataFrame, seed: int) -> DataFrame:
-    """rows (_id, _source, _size, ...) with the plan of their source and their rank, null if they aren't drawn."""
+    """rows (_id, _source, _size, ...) with the plan of their source, _sure (one more certain copy) and their rank, null if they aren't drawn."""
     u = uniform(F.col("_id"), seed)
+    kind = F.when(F.col("_size") > 0, size_class(F.col("_size")))
+    planned = _join(rows, plans).withColumn("_class", kind)
+    sure = F.coalesce(F.col("_class") >= F.col("_sure_from"), F.lit(False))
+    planned = planned.withColumn("_sure", sure).withColumn("_p", F.when(~sure, F.col("_factor") * F.col("_class")))
     rank = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
-    drawn = F.col("_p").between(1e-12, 1 - 1e-12) & (F.col("_size") > 0)
-    return _join(rows, plans).withColumn("_rank", F.when(drawn, rank))
+    return planned.withColumn("_rank", F.when(F.col("_p").isNotNull() & (F.col("_p") > 0), rank)).drop("_class", "_p")
 
 
 def _ends(ranked: DataFrame, depth: int) -> DataFrame:
@@ -109,14 +139,22 @@ KEY = ("_rank", "_size", "_id")
 
 
 def _plan(sized: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per source: target and certain copies; the key at which its sample stops; the one further document."""
-    targets = cut(source_targets(sized.select(F.col("_source").alias("source"), F.col("_size").alias("size")), weights, most), "targets")
+    """Per source: target, certain copies and inclusion; the key at which its sample stops; the one further document."""
+    kind = F.when(F.col("_size") > 0, size_class(F.col("_size"))).alias("_class")
+    classes = cut(sized.groupBy("_source", kind).agg(F.sum("_size").alias("_words")), "classes")
+    targets = cut(source_targets(classes.select(F.col("_source").alias("source"), F.col("_words").alias("size")), weights, most), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plans = targets.withColumn("_certain", F.floor(ratio)).withColumn("_p", ratio - F.col("_certain"))
-    plans = plans.withColumn("_rest", F.col("target") - F.col("_certain") * F.col("source_size"))
-    plans = plans.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_certain", "_p", "_rest")
-
-    ranked = _ranked(sized, plans, seed)
+    # A ratio that rounding left just beside a whole number is that whole number.
+    whole = F.abs(ratio - F.round(ratio)) < 1e-12
+    plans = targets.withColumn("_certain", F.when(whole, F.round(ratio)).otherwise(F.floor(ratio)).cast("bigint"))
+    plans = plans.withColumn("_rest", F.when(~whole, F.col("target") - F.col("_certain") * F.col("source_size")))
+    plans = plans.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_certain", "_rest")
+    names = plans.where("_rest is not null").select(F.col("_source").alias("_name"), "_rest")
+    drawing = classes.where("_class is not null").join(names, F.col("_source").eqNullSafe(F.col("_name")))
+    factors = inclusion(drawing).withColumnRenamed("_source", "_name")
+    plans = cut(plans.drop("_rest").join(factors, F.col("_source").eqNullSafe(F.col("_name")), "left").drop("_name"), "plans")
+
+    ranked = _ranked(sized, plans, seed).withColumnRenamed("_left", "_rest")
     order = Window.partitionBy("_source").orderBy(*KEY)
     upto = F.col("_before") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     last = _ends(ranked, DEPTH).withColumn("_upto", upto).groupBy("_source").agg(
@@ -140,10 +178,8 @@ def _copies(rows: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame], seed:
     done = _join(_join(_ranked(rows, plans, seed), stops, "left"), extra, "left")
     sampled = F.col("_rank").isNotNull() & (F.col("_stop").isNull() | (F.struct(*KEY) < F.col("_stop")))
     hit = (F.col("_extra._rank") == F.col("_rank")) & (F.col("_extra._size") == F.col("_size")) & F.col("_extra._id").eqNullSafe(F.col("_id"))
-    drawn = (sampled | F.coalesce(hit, F.lit(False))).cast("bigint")
-    # A ratio that rounding left just below a whole number takes that whole number.
-    drawn = F.when(F.col("_p") > 1 - 1e-12, F.lit(1)).otherwise(drawn)
-    return done.withColumn("_copies", (F.col("_certain") + drawn).cast("bigint"))
+    drawn = F.col("_sure") | sampled | F.coalesce(hit, F.lit(False))
+    return done.withColumn("_copies", F.col("_certain") + drawn.cast("bigint"))
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
@@ -164,7 +200,7 @@ def mix(
 
     size: number of words; null texts have none and are never drawn (taken 0).  A
     source of no words has target 0.  Rows that repeat an id each count, with equal
-    random numbers; ties of rank go by size.  Null ids share one random number; null sources
+    random numbers; ties of rank go by size, then id (rows that tie in all three are taken together).  Null ids share one random number; null sources
     form a source of their own, the last.  An empty table gives no rows.
     """
     sized = cut(docs.select(*[c.alias(n) for n, c in _sized(docs, id_col, text_col, source_col).items()]), "sizes")
@@ -192,8 +228,11 @@ def mixed_documents(
     """The rows of docs, each as many times as ``mix`` takes it; rows that it doesn't take, and rows of no words, go.
 
     Texts pass through joins with one row per source and aren't shuffled unless sources outgrow a broadcast.
+    Columns of any name are kept as they are.
     """
     columns = _sized(docs, id_col, text_col, source_col)
     sized = cut(docs.select(*[c.alias(n) for n, c in columns.items()]), "sizes")
-    done = _copies(docs.withColumns(columns), _plan(sized, weights, most, seed), seed).where("_copies > 0 and _size > 0")
-    return done.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *[c.alias(n) for n, c in columns.items()])
+    done = _copies(rows, _plan(sized, weights, most, seed), seed).where("_copies > 0 and _size > 0")
+    copies = done.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    return copies.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -113,15 +113,27 @@ WITH d AS (
     CASE WHEN l.heft IS NULL OR cap <= l.rest_words::DOUBLE * weight / l.heft THEN cap::DOUBLE
       ELSE l.rest_words::DOUBLE * weight / l.heft END AS target
   FROM s3 LEFT JOIN lvl l ON true
-), p AS (
-  SELECT *, floor(ratio)::BIGINT AS certain, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS rest
-  FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t)
-), u AS (
-  SELECT d.*, p.* EXCLUDE (source),
+), p0 AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t
+), p1 AS (
+  SELECT *, abs(ratio - round(ratio)) < 1e-12 AS whole, (CASE WHEN abs(ratio - round(ratio)) < 1e-12 THEN round(ratio) ELSE floor(ratio) END)::BIGINT AS certain FROM p0
+), c0 AS (
+  SELECT source, (1::BIGINT << (length(bin(size)) - 1)) AS g, sum(size) AS words FROM d WHERE size > 0 GROUP BY ALL
+), c1 AS (
+  SELECT c0.source, g, (target - certain * source_size)
+      - coalesce(sum(words) OVER (PARTITION BY c0.source ORDER BY g DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest,
+    (sum(g::HUGEINT * words) OVER (PARTITION BY c0.source ORDER BY g DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS tail,
+    lag(g) OVER (PARTITION BY c0.source ORDER BY g DESC) AS above
+  FROM c0 JOIN p1 ON c0.source IS NOT DISTINCT FROM p1.source WHERE NOT whole
+), f AS (
+  SELECT source, rest, rest / tail AS factor, above FROM c1 WHERE rest / tail * g < 1 QUALIFY row_number() OVER (PARTITION BY source ORDER BY g DESC) = 1
+), u0 AS (
+  SELECT d.*, p1.* EXCLUDE (source), f.rest, CASE WHEN size > 0 THEN factor * (1::BIGINT << (length(bin(size)) - 1)) END AS p,
+    coalesce(size > 0 AND size >= above, false) AS sure,
     (('0x' || substr(md5('7:' || coalesce(id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+  FROM d JOIN p1 ON d.source IS NOT DISTINCT FROM p1.source LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source
 ), r AS (
-  SELECT *, CASE WHEN p BETWEEN 1e-12 AND 1 - 1e-12 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM u
+  SELECT *, CASE WHEN p > 0 AND NOT sure THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM u0
 ), c AS (
   SELECT *, CASE WHEN rank IS NOT NULL THEN sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, size, id ROWS UNBOUNDED PRECEDING) END AS upto FROM r
 ), g AS (
@@ -133,7 +145,7 @@ WITH d AS (
     AND rank IS NOT NULL AND NOT sampled AND abs(size - gap) < gap AS extra FROM g
 )
 SELECT id AS doc_id, size, source_size, target,
-  ((certain + CASE WHEN p > 1 - 1e-12 THEN 1 WHEN sampled OR extra THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM x
+  ((certain + CASE WHEN sure OR sampled OR extra THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM x
 """
 
 OP6_SQL = r"""

@@ -26,6 +26,20 @@ def uniform(i, seed=7):
     return (int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
 
 
+def probabilities(docs, rest):
+    """id -> p of docs (id, size): min(1, c * class), with c so that p * size sums to rest."""
+    kind = {i: 1 << (n.bit_length() - 1) for i, n in docs if n}
+    size = dict(docs)
+    sure = set()
+    while True:
+        free = [i for i in kind if i not in sure]
+        c = (rest - sum(size[i] for i in sure)) / sum(kind[i] * size[i] for i in free)
+        top = max(kind[i] for i in free)
+        if c * top < 1:
+            return {i: 1 if i in sure else c * kind[i] for i in kind}
+        sure |= {i for i in free if kind[i] == top}
+
+
 def brute(rows):
     """(id, taken) of rows (id, text, source)."""
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -36,12 +50,12 @@ def brute(rows):
     goal, out = targets(total), []
     for s, docs in per.items():
         r = goal[s] / total[s] if total[s] else 0
-        certain, p = math.floor(r), r - math.floor(r)
-        if p > 1 - 1e-12:
-            certain, p = certain + 1, 0
-        rest, taken = goal[s] - certain * total[s], {}
-        if p >= 1e-12:
-            ranked = sorted(((uniform(i) / (1 - uniform(i))) / (p / (1 - p)), n, i) for i, n in docs if n)
+        certain, taken = math.floor(r + 1e-12), {}
+        if r - certain > 1e-12:
+            p = probabilities(docs, goal[s] - certain * total[s])
+            taken = {i: 1 for i in p if p[i] == 1}
+            rest = goal[s] - certain * total[s] - sum(n for i, n in docs if i in taken)
+            ranked = sorted(((uniform(i) / (1 - uniform(i))) / (p[i] / (1 - p[i])), n, i) for i, n in docs if n and i not in taken)
             used, k = 0, 0
             while k < len(ranked) and used + ranked[k][1] <= rest:
                 used += ranked[k][1]
@@ -96,3 +110,44 @@ def test_mixed_documents_repeat_rows(make_docs):
     taken = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
     got = [r["doc_id"] for r in mixing.mixed_documents(docs).collect()]
     assert {i: got.count(i) for i in taken} == taken
+
+
+def test_probabilities_differ_within_a_source(make_docs):
+    """Ranks follow odds, not the random numbers alone, and large documents are taken more often."""
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.choice([3, 20, 150]), rng.choice("aab")) for i in range(400)]
+    got = {r["doc_id"]: r for r in mixing.mix(make_docs([(i, t, "en", s) for i, t, s in rows])).collect()}
+    half = next(s for s in "ab" if got[next(i for i, _, x in rows if x == s)]["target"] < got[next(i for i, _, x in rows if x == s)]["source_size"])
+    own = [(i, got[i]["size"], got[i]["copies"]) for i, _, s in rows if s == half]
+    taken = {n: [c for _, m, c in own if m == n] for n in (3, 20, 150)}
+    shares = [sum(x) / len(x) for x in taken.values()]
+    assert shares[0] < shares[1] < shares[2]
+    by_u = sorted(own, key=lambda x: uniform(x[0]))
+    drawn = [c for _, _, c in by_u]
+    assert drawn != sorted(drawn, reverse=True)
+    p = probabilities([(i, n) for i, n, _ in own], got[own[0][0]]["target"])
+    assert abs(sum(p[i] * n for i, n, _ in own) - got[own[0][0]]["target"]) < 1e-6 * got[own[0][0]]["target"]
+
+
+def test_large_documents_become_certain(make_docs):
+    rows = [(0, "w " * 5000, "en", "a")] + [(i, "w " * 5, "en", "a") for i in range(1, 400)] + [(1000 + i, "w " * 4, "en", "b") for i in range(900)]
+    got = {r["doc_id"]: r for r in mixing.mix(make_docs(rows)).collect()}
+    plain = [(i, t, s) for i, t, _, s in rows]
+    assert rounded(sorted(((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in got.values()), key=str)) == rounded(brute(plain))
+
+
+def test_very_long_text_and_ties(make_docs):
+    rows = [(0, "word " * 300_000, "en", "a"), (1, "w", "en", "a"), (2, None, "en", "a")]
+    rows += [(7, "x y", "en", "b")] * 5 + [(8, "x y z", "en", "b")] * 3
+    got = mixing.mix(make_docs(rows)).collect()
+    assert len(got) == len(rows) and max(r["size"] for r in got) == 300_000
+    assert all(len({r["copies"] for r in got if r["doc_id"] == i}) <= 2 and r["taken"] <= 3 * r["size"] for i in (7, 8) for r in got)
+
+
+def test_clashing_columns_stay(make_docs):
+    names = ["_id", "_source", "_size", "_rank", "_copies", "_copy", "_p", "_salt", "_row", "_target"]
+    docs = make_docs([(i, "w " * (1 + i % 5), "en", "abc"[i % 3]) for i in range(30)]).selectExpr("*", *[f"{100 + k} as {c}" for k, c in enumerate(names)])
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    assert got.count() and all([r[c] for c in names] == list(range(100, 110)) for r in got.collect())
+    assert mixing.mix(docs).count() == 30
