@@ -13,10 +13,12 @@ distance changes one of these 64 coordinates.  Dealt to ``blocks`` groups of coo
 two linked fingerprints agree on all groups but k, so they meet in one of the
 C(blocks, k) buckets of equal coordinates.  A bucket holds at most
 2^(64 k / blocks) distinct fingerprints (65,536 with the defaults), however many
-documents or near copies there are, since copies of a fingerprint are merged first.  In a bucket,
+documents or near copies there are, since copies of a fingerprint are merged first.  In every bucket,
 pairs whose largest coordinate difference over the mixed pivots exceeds k are discarded, the
 survivors verified, and only a forest of the links leaves the task, never all pairs.
 
+``similar.py`` links texts by the similarity of their shingle sets instead, on wider fingerprints.
+
 Components come from randomised contraction: each node is merged into the neighbour of
 smallest hash, which shrinks the links by a constant factor a round.
 """
@@ -136,10 +138,23 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
+def survivors(fps: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a[i], b[i]) of places in fps at distance at most k.
+
+    Pairs whose largest coordinate difference over the mixed pivots exceeds k are discarded, the others verified.
+    """
+    for some in (MIXED[:1], MIXED[1:4], MIXED[4:]):
+        apart = np.abs(pivot_table(fps[a], some).astype(np.int16) - pivot_table(fps[b], some))
+        keep = apart.max(axis=1, initial=0) <= k
+        a, b = a[keep], b[keep]
+    keep = np.bitwise_count(fps[a] ^ fps[b]) <= k
+    return a[keep], b[keep]
+
+
 def forest(fps: np.ndarray, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Edges (member, smallest member) of the link components of one bucket's fingerprints."""
     fps = np.sort(fps)
-    near = pivot_table(fps, MIXED).astype(np.int16)
+    near = pivot_table(fps, MIXED[:2]).astype(np.int16)
     order = np.argsort(near[:, 0], kind="stable")
     first = near[order, 0]
     label = np.arange(len(fps))
@@ -147,16 +162,8 @@ def forest(fps: np.ndarray, k: int, block: int = 256) -> tuple[np.ndarray, np.nd
         rows = order[s : s + block]
         stop = int(np.searchsorted(first, first[min(s + block, len(fps)) - 1] + k, "right"))
         cols = order[s:stop]
-        close = np.abs(near[rows, 1][:, None] - near[cols, 1][None, :]) <= k
-        a, b = np.nonzero(close)
-        a, b = rows[a], cols[b]
-        if len(a) > 64:
-            keep = np.abs(near[a, 2:5] - near[b, 2:5]).max(axis=1) <= k
-            a, b = a[keep], b[keep]
-        keep = np.abs(near[a] - near[b]).max(axis=1, initial=0) <= k
-        a, b = a[keep], b[keep]
-        keep = np.bitwise_count(fps[a] ^ fps[b]) <= k
-        label = _merge(label, a[keep], b[keep])
+        a, b = np.nonzero(np.abs(near[rows, 1][:, None] - near[cols, 1][None, :]) <= k)
+        label = _merge(label, *survivors(fps, rows[a], cols[b], k))
     linked = np.flatnonzero(label != np.arange(len(fps)))
     return fps[linked], fps[label[linked]]
 
@@ -190,8 +197,7 @@ def links(distinct: DataFrame, max_distance: int, blocks: int | None = None) ->
         def edges(family: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             starts = np.flatnonzero(np.r_[True, (family[1:] != family[:-1]) | (key[1:] != key[:-1])]) if len(fp) else np.zeros(0, int)
             sizes = np.diff(np.r_[starts, len(fp)])
-            pair = starts[sizes == 2]
-            pair = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= max_distance]
+            pair = survivors(fp, starts[sizes == 2], starts[sizes == 2] + 1, max_distance)[0]
             parts = [(fp[pair + 1], fp[pair])]
             parts += [forest(fp[s : s + n], max_distance) for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True)]
             a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
