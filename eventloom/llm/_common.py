@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,17 @@ SPACES = rf"[{SPACE_CLASS}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share.
+
+    Where none is set, a temporary one of this machine does for a local master; a cluster needs spark.checkpoint.dir.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="eventloom-"))
     return context.getCheckpointDir()
 
@@ -48,23 +54,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_of(column: str = "text") -> Column:
-    """The text, null as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once: what a lambda captures is otherwise computed again for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+#: Bits of a Bloom filter per key, and the most bits that are broadcast: 2^20 words, some 32 MB.
+BITS_PER_KEY, MOST_BITS = 16, 1 << 26
+
+
+def bloom_words(n_keys: int, most_bits: int | None = None) -> int:
+    """64-bit words of a filter of n_keys keys: a power of two."""
+    bits = max(64, 1 << max(0, BITS_PER_KEY * n_keys - 1).bit_length())
+    return (min(bits, most_bits) if most_bits else bits) // 64
+
+
+def bloom_place(value: Column, words: int) -> tuple[Column, Column]:
+    """Where a value stands in a filter of so many words: its word, and a mask of up to four bits in it."""
+    h = F.xxhash64(value)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, k).bitwiseAND(F.lit(63)).cast("int"))
+    mask = bit(40).bitwiseOR(bit(46)).bitwiseOR(bit(52)).bitwiseOR(bit(58))
+    return h.bitwiseAND(F.lit(words - 1)).cast("int"), mask
+
+
+def bloom(keys: DataFrame, key: str, words: int) -> DataFrame:
+    """_word, _bits: the Bloom filter of keys[key]."""
+    word, mask = bloom_place(F.col(key), words)
+    return keys.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+
+
+def let_through(rows: DataFrame, column: Column, filter_: DataFrame, words: int, how: str = "left_semi") -> DataFrame:
+    """The rows whose value the filter has (left_anti: has not).  It is broadcast only where its size is bounded by MOST_BITS."""
+    word, mask = bloom_place(column, words)
+    if 64 * words <= MOST_BITS:
+        filter_ = F.broadcast(filter_)
+    return rows.join(filter_, (word == F.col("_word")) & (F.col("_bits").bitwiseAND(mask) == mask), how)
 
 
-def passing(rows: DataFrame, column: Column, keys: DataFrame, key: str, bits: int = 23, how: str = "left_semi") -> DataFrame:
+def passing(rows: DataFrame, column: Column, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """The rows whose value may be among keys[key] (with how="left_anti" those whose value surely isn't).
 
-    A bitmap of hashes lets every value of keys through, and few others.  It is a table of 64-bit words of
-    which there are at most 2^bits / 64 whatever the number of keys, so that bound (2 MB) holds for the broadcast; with ever more keys
-    it lets more and more through and stays right.
+    A Bloom filter lets every value of keys through, and few others.  Its size follows the number of keys (a written
+    table, so counting it is cheap) up to MOST_BITS, 4 million keys at full strength; with ever more keys it lets more and more through
+    and stays right.  Null counts as a value.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("int")
-    words = keys.select(slot(F.col(key)).alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word"))
-    words = words.agg(F.expr("bit_or(shiftleft(1L, _slot % 64))").alias("_bits"))
-    bit = F.call_function("shiftright", F.col("_bits"), F.pmod(slot(column), F.lit(64))).bitwiseAND(F.lit(1).cast("bigint"))
-    return rows.join(F.broadcast(words), (F.shiftright(slot(column), 6) == F.col("_word")) & (bit == 1), how)
+    words = bloom_words(keys.count(), MOST_BITS)
+    return let_through(rows, column, bloom(keys, key, words), words, how)
 
 
 def give_back() -> None:
