@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm._common import cut
+from eventloom.llm._common import bound, cut, passing
 
 LINES = 3
 
@@ -84,19 +84,30 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed: the spans (from, to) of removed lines, from 0 and exclusive at the end, or null.  n_lines: lines of the original text (null
     text: 0; it stays null).  Rows that repeat id and text are one document and change alike; ids may be
     null (they come first).  The lines left are joined by a newline; a text of which no line
-    is removed stays as it is.  Other columns are kept; an empty table gives no rows.
+    is removed stays as it is.  Other columns, whatever their names, are kept, but for former n_lines, n_removed and
+    removed; an empty table gives no rows.
+
+    Only texts that may be covered, by a Bloom filter of the covered ones, meet their spans in a join; the others stay in place.
     """
     covered = covered_lines(docs, id_col, text_col, lines).select(F.col("id").alias("_id"), F.col("body").alias("_body"), F.col("covered").alias("_covered"))
-    kept = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")])
-    # Merged at any size: texts move once, in proportion to the input, however many documents are covered.
-    joined = kept.join(covered.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_body")), "left")
-    split, cover = F.split(F.col(text_col), "\r?\n", -1), F.col("_covered")
-    edge = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(cover, i - 1)["to"])
-    upto = lambda i: F.when(i == F.size(cover), F.size(split)).otherwise(F.get(cover, i)["from"])
-    runs = F.transform(F.sequence(F.lit(0), F.size(cover)), lambda i: F.slice(split, edge(i) + 1, upto(i) - edge(i)))
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(split)).cast("bigint")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
+    rows = docs.select(F.struct(*kept).alias("_row"), *[c.alias(n) for c, n in zip(_key(id_col, text_col), ("_own_id", "_own_body"), strict=True)])
+    none = F.lit(None).cast(covered.schema["_covered"].dataType).alias("_covered")
+    alone = passing(rows, F.col("_own_body"), covered, "_body", how="left_anti").select("_row", none)
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_body") == F.col("_body"))
+    maybe = passing(rows, F.col("_own_body"), covered, "_body").join(covered.hint("merge"), same, "left").select("_row", "_covered")
+    text = F.col("_row")[text_col]
+    split, cover = F.split(text, "\r?\n", -1), F.col("_covered")
+
+    def left(lines_: Column) -> Column:
+        edge = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(cover, i - 1)["to"])
+        upto = lambda i: F.when(i == F.size(cover), F.size(lines_)).otherwise(F.get(cover, i)["from"])
+        runs = F.transform(F.sequence(F.lit(0), F.size(cover)), lambda i: F.slice(lines_, edge(i) + 1, upto(i) - edge(i)))
+        return F.array_join(F.flatten(runs), "\n")
+
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(split)).cast("bigint")
     gone = F.aggregate(cover, F.lit(0), lambda n, x: n + x["to"] - x["from"])
-    out = {c: F.col(c) for c in kept.columns}
-    out[text_col] = F.when(cover.isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(runs), "\n"))
+    out = {c: F.col("_row")[c] for c in kept}
+    out[text_col] = F.when(cover.isNull(), text).otherwise(bound(split, left))
     out |= {"n_lines": n_lines, "n_removed": F.coalesce(gone, F.lit(0)).cast("bigint"), "removed": cover}
-    return joined.select(*[v.alias(k) for k, v in out.items()])
+    return alone.union(maybe).select(*[v.alias(k) for k, v in out.items()])

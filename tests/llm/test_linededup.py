@@ -47,3 +47,18 @@ def test_repeated_rows_change_alike(make_docs):
     rows = [(1, "a\nb\nc"), (2, "z\na\nb\nc"), (2, "z\na\nb\nc")]
     got = [(r["doc_id"], r["text"]) for r in linededup.line_dedup(make_docs(rows)).collect()]
     assert sorted(got) == [(1, "a\nb\nc"), (2, "z"), (2, "z")]
+
+
+def test_clashing_columns_stay(make_docs):
+    names = ["_id", "_body", "_covered", "_row", "_own_id", "_own_body", "covered", "w", "fresh"]
+    docs = make_docs([(1, "a\nb\nc"), (2, "z\na\nb\nc"), (3, None)]).selectExpr("*", *[f"{k} as {c}" for k, c in enumerate(names)])
+    got = linededup.line_dedup(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed", "removed"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert [rows[i]["text"] for i in (1, 2, 3)] == ["a\nb\nc", "z", None]
+    assert all([r[c] for c in names] == list(range(9)) for r in rows.values())
+
+
+def test_a_passage_that_most_documents_share(make_docs):
+    rows = [(i, f"own {i}\np\nq\nr\ns\nend {i}") for i in range(500)] + [(1000 + i, f"x{i}\ny{i}\nz{i}") for i in range(200)]
+    assert run(make_docs(rows)) == brute(rows)
