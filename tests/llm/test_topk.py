@@ -17,9 +17,8 @@ def brute(rows, k=5, step=50):
     for q, forms in clean.items():
         if q % step:
             continue
-        for form in {tuple(f) for f in forms}:
-            score = {(-sum(a * b for a, b in zip(form, c, strict=False)), i) for i, cs in clean.items() if i != q for c in map(tuple, cs)}
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(score)[:k])]
+        score = {i: max(sum(a * b for a, b in zip(form, c, strict=False)) for form in forms for c in cs) for i, cs in clean.items() if i != q}
+        out += [(q, r + 1, i, s) for r, (i, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:k])]
     return sorted(out)
 
 
@@ -46,11 +45,36 @@ def test_edges(spark):
     assert run(spark, []) == []
 
 
+def test_ids_with_several_vectors(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 50, 100, *range(1, 12)]), [float(rng.randint(-3, 3)) for _ in range(4)]) for _ in range(120)]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, shard_rows=20, block_rows=1) == brute(rows)
+
+
+def test_large_group_of_copies(spark):
+    """A third of the rows are one vector: ties by id at the default sizes."""
+    rng = random.Random(6)
+    rows = [(i, [1.0, -0.5, 0.25] if i % 3 == 0 else [rng.uniform(-1, 1) for _ in range(3)]) for i in range(1500)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_shard_prunes_and_stays_exact():
     rng = np.random.default_rng(4)
-    matrix = rng.integers(-3, 4, (5000, 20)) * (rng.random((5000, 20)) < 0.1)
-    shard = topk.Shard(np.arange(5000), matrix)
-    for _ in range(20):
-        q = rng.integers(-5, 6, 20) * (rng.random(20) < 0.5)
-        want = sorted((-s, i) for i, s in enumerate((matrix @ q).tolist()) if i != 17)[:5]
-        assert [(-s, i) for s, i in shard.search(q, 17, 5, block=300)] == want
+    for fill in (0.1, 0.6, 1.0):
+        matrix = rng.integers(-3, 4, (5000, 20)) * (rng.random((5000, 20)) < fill)
+        shard = topk.Shard(np.arange(5000), matrix, block=300)
+        for _ in range(20):
+            q = rng.integers(-5, 6, 20) * (rng.random(20) < 0.5)
+            want = sorted((-s, i) for i, s in enumerate((matrix @ q).tolist()) if i != 17)[:5]
+            assert [(-s, i) for s, i in shard.search(q, 17, 5)] == want
+
+
+def test_numbers_too_large_for_doubles():
+    rng = np.random.default_rng(8)
+    matrix = rng.integers(-(1 << 29), 1 << 29, (700, 6))
+    shard = topk.Shard(np.arange(700), matrix, block=64)
+    q = rng.integers(-(1 << 29), 1 << 29, 6)
+    want = sorted((-s, i) for i, s in enumerate((matrix @ q).tolist()) if i != 3)[:5]
+    assert [(-s, i) for s, i in shard.search(q, 3, 5)] == want
