@@ -48,7 +48,7 @@ def format_turns(
     role_col: str = "role",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per turn: conv, position, ids, loss_from, loss_to, start, formatted_chars.
+    """One row per turn: conv, position, ids, loss_from, loss_to, start.
 
     position: 0, 1, ... by turn (ties by role, then text; null turns first).  ids: the turn's
     tokens with its reserved ids.  start: the tokens of the conversation before this
@@ -73,10 +73,9 @@ def format_turns(
                 role_ids, text_ids = (encoder.encode_batch(x, add_special_tokens=False) for x in (roles, texts))
                 ids = [[begin, *r.ids, middle, *t.ids, end] for r, t in zip(role_ids, text_ids, strict=True)]
                 heads = [len(r.ids) + 2 for r in role_ids]
-                chars = [len(r) + len(t) + sum(map(len, CONTROLS)) for r, t in zip(roles, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(heads, pa.int64()), pa.array(chars, pa.int64())],
-                    names=["conv", "turn", "role", "text", "ids", "head", "formatted_chars"],
+                    [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(heads, pa.int64())],
+                    names=["conv", "turn", "role", "text", "ids", "head"],
                 )
 
     clean = turns.select(
@@ -85,7 +84,7 @@ def format_turns(
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    schema = f"conv {conv}, turn {turn}, role string, text string, ids array<int>, head bigint, formatted_chars bigint"
+    schema = f"conv {conv}, turn {turn}, role string, text string, ids array<int>, head bigint"
     coded = clean.mapInArrow(encode, schema)
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     n = F.size("ids").cast("bigint")
@@ -100,14 +99,14 @@ def format_turns(
         "start",
         loss_from.alias("loss_from"),
         F.when(trained, F.col("start") + n - 1).otherwise(loss_from).alias("loss_to"),
-        "formatted_chars",
     )
 
 
 def digests(formatted: DataFrame, tokenizer: str, conv_col: str = "conv_id") -> DataFrame:
     """Per conversation, what its formatted tokens and masks say when they are read back.
 
-    conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.  Rows
+    conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars (characters of the tokens as text, control strings
+    and escapes included).  Rows
     of a conversation are read in order, one at a time, so that its length is not bounded by memory.
     """
     conv = formatted.schema[conv_col].dataType.simpleString()
@@ -132,17 +131,20 @@ def digests(formatted: DataFrame, tokenizer: str, conv_col: str = "conv_id") ->
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
             parts, masked = [], []
-            for _, ids, start, a, b, _ in rows:
+            for _, ids, start, a, b in rows:
                 if ids[0] != begin or ids[-1] != end:
                     raise ValueError("a turn isn't marked")
                 cut = ids.index(middle)
+                if sum(x >= begin for x in ids) != len(CONTROLS):
+                    raise ValueError("a turn has more reserved ids than its own")
                 parts += [ids[1:cut], ids[cut + 1 : -1]]
                 masked.append(ids[a - start : b - start])
-            texts = [unescaped(x) for x in decoder.decode_batch(parts, skip_special_tokens=False)]
+            written = decoder.decode_batch(parts, skip_special_tokens=False)
+            texts = [unescaped(x) for x in written]
             losses = [unescaped(x) for x in decoder.decode_batch(masked, skip_special_tokens=False)]
-            for k, (conv_id, _, _, _, _, chars) in enumerate(rows):
+            for k, (conv_id, *_) in enumerate(rows):
                 if state is None or state[0] != conv_id:
                     done()
                     state = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -150,13 +152,13 @@ def digests(formatted: DataFrame, tokenizer: str, conv_col: str = "conv_id") ->
                 state[2].update(f"{texts[2 * k]}\n{texts[2 * k + 1]}\n".encode())
                 state[3] += len(losses[k])
                 state[4].update(losses[k].encode())
-                state[5] += chars
+                state[5] += len(written[2 * k]) + len(written[2 * k + 1]) + sum(map(len, CONTROLS))
             yield batch_of()
         done()
         if out:
             yield batch_of()
 
-    ordered = formatted.select(F.col(conv_col).alias("conv"), "ids", "start", "loss_from", "loss_to", "formatted_chars", "position")
+    ordered = formatted.select(F.col(conv_col).alias("conv"), "ids", "start", "loss_from", "loss_to", "position")
     ordered = ordered.repartition("conv").sortWithinPartitions("conv", "position").drop("position")
     schema = f"conv {conv}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     return ordered.mapInArrow(read, schema).withColumnRenamed("conv", conv_col)

@@ -60,3 +60,13 @@ def test_masks_and_positions(spark):
         assert r["start"] == at and at < r["loss_from"] <= r["loss_to"] < at + len(r["ids"])
         assert role == "assistant" or r["loss_from"] == r["loss_to"]
         at += len(r["ids"])
+
+
+def test_formatted_chars_are_read_back(spark):
+    """A fault in the assembled tokens shows in every digest, formatted_chars too."""
+    rows = [(1, 0, "user", "hi there"), (1, 1, "assistant", "yes, <|im_end|> indeed")]
+    good = chat.format_turns(spark.createDataFrame(rows, SCHEMA), PATH)
+    whole = chat.digests(good, PATH).first()
+    cut = good.selectExpr("conv_id", "position", "CASE WHEN position = 0 THEN concat(slice(ids, 1, size(ids) - 2), slice(ids, size(ids), 1)) ELSE ids END AS ids", "start", "loss_from", "loss_to")
+    less = chat.digests(cut, PATH).first()
+    assert less["formatted_chars"] < whole["formatted_chars"] == sum(len(chat.escaped(r)) + len(chat.escaped(t)) + 32 for _, _, r, t in rows)
