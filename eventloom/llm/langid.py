@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.llm._common import give_back
 
@@ -161,9 +162,13 @@ def identify(
     lang_col: str = "lang",
     train_docs: int = TRAIN_DOCS,
     size: int = PROFILE,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """The rows of docs with lang_pred and score (0 to 1) added.
 
+    keep: the columns of docs that are wanted; all of them if not given, but for former lang_pred and score.  Texts
+    that aren't wanted don't come back from the workers.
+
     may_learn: which rows profiles may be learned from; of those, rows of null label or text
     are left out.  Null texts and texts of no letters are ``und`` with score 0, as is everything
     if there is nothing to learn from.  Predictions read the text alone.  Repeated rows each give a
@@ -171,19 +176,23 @@ def identify(
     """
     judge = Judge(learn(training_rows(docs, may_learn, id_col, text_col, lang_col, train_docs), size), size)
 
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where = batch.schema.get_field_index(text_col)
-            got = [judge(x.as_py()) for x in batch.column(where)]
-            columns = [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+            got = [judge(x.as_py()) for x in batch.column(0)]
+            columns = [*batch.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "lang_pred", "score"])
         give_back()
 
-    kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
-    from pyspark.sql import types as T
-
+    kept = docs.select(*keep)
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(run, schema)
+    return docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)]).mapInArrow(run, _numbered(schema, len(keep))).toDF(*keep, "lang_pred", "score")
+
+
+def _numbered(schema: T.StructType, n: int) -> T.StructType:
+    """The schema with its first n fields called c0, c1, ..."""
+    return T.StructType([T.StructField(f"c{k}", f.dataType) if k < n else f for k, f in enumerate(schema.fields)])
 
 
 def learnable(id_col: str = "doc_id", folds: int = 5) -> Column:

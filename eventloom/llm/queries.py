@@ -65,7 +65,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    known = langid.identify(docs, langid.learnable())
+    known = langid.identify(docs, langid.learnable(), keep=["doc_id"])
     return known.select("doc_id", (~langid.learnable()).alias("held_out"), "lang_pred", "score")
 
 

@@ -73,3 +73,38 @@ def test_edges(make_docs):
     assert by[None][0] == "en" and by[103][0] == "en" and by[31][0] == "fr"
     assert langid.identify(make_docs([]), langid.learnable()).count() == 0
     assert {r["lang_pred"] for r in langid.identify(make_docs([(1, "abc", None, "s")]), langid.learnable()).collect()} == {"und"}
+
+
+def brute_predictions(rows, size=langid.PROFILE):
+    """id -> (language, score) of rows (id, text, lang), learning from those whose remainder isn't 0."""
+    top = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:size]]
+    total = {}
+    for i, t, lang in rows:
+        if i is not None and t is not None and lang is not None and zlib.crc32(str(i).encode()) % 5:
+            total.setdefault(lang, Counter()).update(brute_counts(t))
+    profiles = {lang: {g: r for r, g in enumerate(top(n))} for lang, n in total.items()}
+    out = {}
+    for i, t, _ in rows:
+        own = top(brute_counts(t or ""))
+        far = {lang: sum(abs(p[g] - r) if g in p else size for r, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(far, key=lambda k: (far[k], k), default=None)
+        out[i] = (best, 1 - far[best] / (size * len(own))) if own and best else ("und", 0.0)
+    return out
+
+
+def test_whole_result_against_brute_force(sf_docs):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in sf_docs.collect()]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(sf_docs, langid.learnable(), keep=["doc_id"]).collect()}
+    want = brute_predictions(rows)
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
+
+
+def test_bound_on_training_rows_and_a_large_group(make_docs):
+    """One text in most rows, more rows than the bound: whole counts, and about the bound's rows to learn from."""
+    rows = [(i, "the cat and the dog ran", "en", "s") for i in range(4000)] + [(5000 + i, f"le chat et le chien {'a' * (i % 7)}", "fr", "s") for i in range(300)]
+    docs = make_docs(rows)
+    n = langid.training_rows(docs, langid.learnable(), "doc_id", "text", "lang", 500).groupBy("lang").count().collect()
+    assert {r["lang"] for r in n} == {"en", "fr"} and all(150 <= r["count"] <= 700 for r in n)
+    got = langid.identify(docs, langid.learnable(), train_docs=500, keep=["lang"]).groupBy("lang", "lang_pred").count().collect()
+    assert {(r["lang"], r["lang_pred"], r["count"]) for r in got} == {("en", "en", 4000), ("fr", "fr", 300)}
