@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -88,6 +89,23 @@ def test_query_against_the_library(sf_docs):
     assert verify([tuple(r[n] for n in names) for r in rows], ids, 2048) == 0
 
 
+def test_settling_early_and_very_long_texts(sf_docs, make_docs):
+    tokenizer = tokencount.load(PATH)
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    ids = {r["doc_id"]: [*tokenizer.encode(r["text"], add_special_tokens=False).ids, 1] for r in sf_docs.collect()}
+    rows = packing.pack(sf_docs.coalesce(1), PATH, max_open=5).collect()
+    assert verify([tuple(r[n] for n in names) for r in rows], ids, 2048) == 0
+    texts = ["long words, all of them. " * 60_000, "a", "x" * 200_000, " " * 100_000, "short"]
+    ids = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+    rows = packing.pack(make_docs(texts), PATH).collect()
+    assert verify([tuple(r[n] for n in names) for r in rows], ids, 2048) == 0
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="pre-tokenizer"):
+        packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_edges(make_docs):
     docs = make_docs([None, "", (None, "a"), (5, "b"), (5, "b")]).selectExpr("*", "1 as start", "2 as id")
     rows = packing.pack(docs, PATH).collect()
