@@ -15,7 +15,7 @@ reads the term knows the entity; common words are near 0 or below.  Of a pair wh
 span; at ``remove_at`` and above sanitising removes it, below it leaves only its kind (word, name or number).
 
 Only DataFrame operations are used.  All counts cover the whole corpus.  Term frequencies are looked
-up for candidate terms alone: a bitmap of fixed size passes their hashes, a join then takes the terms.
+up for candidate terms alone: a Bloom filter of bounded size passes them, a join then takes the terms.
 The window bounds the candidates by the text around the entities; without it a document would give all pairs of
 its entities and its terms.
 """
@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm._common import cut, passing
+from eventloom.llm._common import bound, cut, passing
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The contract's patterns; possessive loops and look-behind change no match, only the work on long runs.
@@ -41,7 +41,6 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{3,}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[\p{N}]{4,}(?![\p{L}\p{N}])"
 CONTEXT = 64
-FILTER_BITS = 20
 REMOVE_AT = 0.95
 
 
@@ -77,26 +76,30 @@ def _valid(kind: str, match: Column) -> Column:
 def _matches(text: Column, kind: str, context: int) -> Column:
     """All matches of a kind with the lengths that positions are summed from, and context + 1 characters on both sides."""
     pattern, wide = PATTERNS[kind], context + 1
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<kind:string,i:int,value:string,gap:int,before:string,after:string>>")
     # Every match has two characters or more, so this many neighbours reach past the context.
     reach = wide // 2 + 1
 
-    def row(m: Column, i: Column) -> Column:
-        gap, first = F.get(pieces, i), F.greatest(i - reach, F.lit(0))
-        earlier = F.zip_with(F.slice(pieces, first + 1, i - first), F.slice(found, first + 1, i - first), lambda p, v: F.concat(F.right(p, F.lit(wide)), v))
-        later = F.zip_with(F.slice(found, i + 2, F.lit(reach)), F.slice(pieces, i + 3, F.lit(reach)), lambda v, p: F.concat(v, F.left(F.coalesce(p, F.lit("")), F.lit(wide))))
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            i.alias("i"),
-            m.alias("value"),
-            F.length(gap).alias("gap"),
-            F.right(F.concat(F.array_join(earlier, ""), F.right(gap, F.lit(wide))), F.lit(wide)).alias("before"),
-            F.left(F.concat(F.left(F.get(pieces, i + 1), F.lit(wide)), F.array_join(later, "")), F.lit(wide)).alias("after"),
-        )
+    def rows(both: Column) -> Column:
+        found, pieces = both["found"], both["pieces"]
+
+        def row(m: Column, i: Column) -> Column:
+            gap, first = F.get(pieces, i), F.greatest(i - reach, F.lit(0))
+            earlier = F.zip_with(F.slice(pieces, first + 1, i - first), F.slice(found, first + 1, i - first), lambda p, v: F.concat(F.right(p, F.lit(wide)), v))
+            later = F.zip_with(F.slice(found, i + 2, F.lit(reach)), F.slice(pieces, i + 3, F.lit(reach)), lambda v, p: F.concat(v, F.left(F.coalesce(p, F.lit("")), F.lit(wide))))
+            return F.struct(
+                F.lit(kind).alias("kind"),
+                i.alias("i"),
+                m.alias("value"),
+                F.length(gap).alias("gap"),
+                F.right(F.concat(F.array_join(earlier, ""), F.right(gap, F.lit(wide))), F.lit(wide)).alias("before"),
+                F.left(F.concat(F.left(F.get(pieces, i + 1), F.lit(wide)), F.array_join(later, "")), F.lit(wide)).alias("after"),
+            )
+
+        return F.transform(found, row)
 
-    return F.when(text.rlike(HINTS[kind]), F.transform(found, row)).otherwise(empty)
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    return F.when(text.rlike(HINTS[kind]), bound(both, rows)).otherwise(empty)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,8 +137,8 @@ def _terms(text: Column) -> Column:
 def term_places(texts: DataFrame) -> DataFrame:
     """id, body, term, start, end of every term of texts (id, body, text)."""
     found, pieces = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
-    one = F.transform(found, lambda m, i: F.struct(F.lower(m).alias("term"), F.length(m).alias("n"), F.length(F.get(pieces, i)).alias("gap")))
-    rows = texts.select("id", "body", F.posexplode(one).alias("i", "t")).select("id", "body", "i", "t.*")
+    rows = texts.select("id", "body", found.alias("m"), pieces.alias("p")).select("id", "body", F.posexplode(F.arrays_zip("m", "p")).alias("i", "t"))
+    rows = rows.where("t.m is not null").select("id", "body", "i", F.lower("t.m").alias("term"), F.length("t.m").alias("n"), F.length("t.p").alias("gap"))
     upto = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("id", "body").orderBy("i"))
     return rows.withColumn("end", upto).select("id", "body", "term", (F.col("end") - F.col("n")).alias("start"), "end")
 
@@ -177,7 +180,7 @@ def disclosing_terms(
 
     # Document frequencies of the candidate terms over the whole corpus.
     words = _keyed(docs, id_col, text_col).select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    words = passing(words, F.col("term"), pairs, "term", FILTER_BITS)
+    words = passing(words, F.col("term"), pairs, "term")
     terms = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     pairs = pairs.join(terms, "term").where(risk(F.col("n_entity"), F.col("n_term")) >= generalise_at)
     pairs = cut(pairs, "rare")
