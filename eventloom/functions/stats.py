@@ -10,12 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def gaussian_pdf(x: Column, mu: float = 0.0, sigma: float = 1.0) -> Column:
-    """The normal density, as a column expression."""
-    z = (x - F.lit(mu)) / F.lit(sigma)
-    return F.exp(-z * z / 2) / F.lit(sigma * math.sqrt(2 * math.pi))
-
-
 def border_weights(window: float) -> tuple[int, int, float, float]:
     """(low, high, weight at low, weight at high) of a window of real length.
 

@@ -75,6 +75,41 @@ def cross_pairs(spikes: DataFrame, reach: int, shifts: DataFrame | None = None,
 PAIR = ("s1", "u1", "s2", "u2")
 
 
+def events_of_pairs(spikes: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
+    """wanted's columns, t1, t2, m1, m2, d = t1 - t2 - shift and n over the wanted pairs of units alone, |d| <= reach.
+
+    wanted: (s1, u1, s2, u2, shift, ...), of the size of a graph, so that only its pairs' events meet.  A pair
+    may be wanted with several shifts.
+    """
+    one = _side(spikes, 1).join(wanted, ["s1", "u1"]).withColumn("_at", F.col("t1") - F.col("shift"))
+    two = _side(spikes, 2).withColumnsRenamed({"s2": "_s2", "u2": "_u2"})
+    pairs = band_join(one, two, "_at", "t2", reach, on=[("s2", "_s2"), ("u2", "_u2")])
+    d = F.col("_at") - F.col("t2")
+    return pairs.withColumn("d", d).withColumn("n", F.col("m1") * F.col("m2")).drop("_at", "_s2", "_u2")
+
+
+def weighted_coincidences_of(spikes: DataFrame, wanted: DataFrame, windows: Sequence[float]) -> DataFrame:
+    """wanted with c0, c1, ...: coincidences of each wanted pair for windows of real length, borders weighted; 0 if it has none."""
+    reach = max((math.ceil(w) for w in windows), default=0)
+    pairs = events_of_pairs(spikes, wanted.select(*PAIR, "shift").distinct(), reach)
+    weight = lambda w: window_weight(F.abs("d"), w) if w > 0 else F.lit(0.0)
+    names = [f"c{k}" for k in range(len(windows))]
+    found = pairs.groupBy(*PAIR, "shift").agg(*[F.sum(F.col("n") * weight(w)).alias(c) for c, w in zip(names, windows, strict=True)])
+    return wanted.join(found, [*PAIR, "shift"], "left").fillna(0.0, names)
+
+
+def correlogram_of(spikes: DataFrame, wanted: DataFrame, max_time: int, bin_size: int) -> DataFrame:
+    """n per wanted pair (s1, u1, s2, u2, shift) and bin = floor(d / bin_size), for -max_time <= d < max_time.
+
+    A unit with itself leaves out each event's pair with itself.
+    """
+    pairs = events_of_pairs(spikes, wanted.select(*PAIR, "shift").distinct(), max_time).where(F.col("d") < max_time)
+    own = (F.col("s1") == F.col("s2")) & (F.col("u1") == F.col("u2")) & (F.col("t1") == F.col("t2"))
+    n = F.when(own, F.col("m1") * (F.col("m1") - 1)).otherwise(F.col("n"))
+    binned = pairs.withColumn("bin", F.floor(F.col("d") / F.lit(bin_size)).cast("int"))
+    return binned.groupBy(*PAIR, "shift", "bin").agg(F.sum(n).cast("bigint").alias("n")).where("n > 0")
+
+
 def coincidences(spikes: DataFrame, window: int, shifts: DataFrame | None = None, same: bool = False) -> DataFrame:
     """n_coinc per pair of units: pairs of events at most window apart after the pair's shift."""
     return cross_pairs(spikes, window, shifts, same).groupBy(*PAIR).agg(F.sum("n").cast("bigint").alias("n_coinc"))

@@ -14,14 +14,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.meta import UNIT
-from eventloom.operators.bandjoin import PAIR
+from eventloom.meta import UNIT, Dataset
+from eventloom.operators.bandjoin import PAIR, antisymmetric
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in a new folder below the cluster's shared one (spark.checkpoint.dir), removed when the application ends."""
+    """A path in a new folder below the cluster's shared one (spark.checkpoint.dir), removed when the application ends.
+
+    Where none is set, a temporary folder of this machine does for a local master; a cluster needs the shared one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventloom-"))
         base = spark.sparkContext.getCheckpointDir()
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/eventloom-{name}-{uuid.uuid4().hex}")
@@ -38,6 +43,11 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(data: Dataset) -> Dataset:
+    """The dataset with its events and units written down."""
+    return data.replace(spikes=settle(data.spikes, "spikes"), units=settle(data.units, "units"))
+
+
 def node(k: int) -> Column:
     return F.struct(F.col(f"s{k}").alias("sorting"), F.col(f"u{k}").alias("unit_id"))
 
@@ -104,28 +114,81 @@ def neighbour_pairs(edges: DataFrame) -> DataFrame:
     return a.join(b, ["s", "u", "other_s"]).where("v1 < v2")
 
 
-def merged_units(edges: DataFrame, nodes: DataFrame, p_values: DataFrame, max_contamination: float = 0.10, max_sd: float = 1.05) -> DataFrame:
-    """(sorting, unit_id, reason) of nodes that hold events of two neighbours of one sorting.
+#: Periods in ms and limit of the test of a node against single neighbours (fixed values of the contract).
+NEIGHBOUR_PERIODS, NEIGHBOUR_LIMIT = (0.4, 1.8), 0.10
+
+
+def merged_units(data: Dataset, edges: DataFrame, nodes: DataFrame, shifts: DataFrame, censored: float, refractory: float, limit: float) -> tuple[DataFrame, DataFrame]:
+    """(sorting, unit_id) of the nodes to remove, and the judged pairs (audit).
 
-    nodes: (sorting, unit_id, contamination, sd_ratio).  p_values: p_value that two units of one sorting are the same
-    neuron (s, v1, v2).  A pair that may be one split neuron (p > 5e-3) says nothing; otherwise the node goes if
-    it is contaminated and the evidence is strong (p < 1e-8), or if it also varies too much.
+    nodes: (sorting, unit_id, contamination, sd_ratio); shifts as of ``cross_shifts``.  A node with two neighbours of one
+    sorting either merges two neurons or they are splits of one.  Both neighbours are put on the node's clock, and the p-value of
+    their cross-contamination decides:
+
+    * above 5e-3 they may be splits: nothing happens;
+    * the node is removed if it is dirtier than both, and p < 1e-8 or it also varies more than both; its further pairs aren't looked at;
+    * else the node is tested against each neighbour.  The neighbour tested first is the cleaner one, the other is the second
+      (the first by id if they are equally clean), while the removals go by id: neighbour 1 goes if the node's p with the first is below 5e-3, the estimate with the
+      second below 0.1, and neighbour 1 is dirtier than the node by more than 0.03; or else neighbour 2 likewise.
+
+    Pairs of a node are judged in the order of sorting and ids.  Comparisons with unknown values are false.
     """
-    pairs = neighbour_pairs(edges).join(p_values.toDF("other_s", "v1", "v2", "p_value"), ["other_s", "v1", "v2"])
-    own = nodes.select(F.col("sorting").alias("s"), F.col("unit_id").alias("u"), "contamination", "sd_ratio")
-    pairs = pairs.join(own, ["s", "u"]).where(F.col("p_value") <= 5e-3)
-    dirty = F.coalesce(F.col("contamination") > max_contamination, F.lit(False))
-    wild = F.coalesce(F.col("sd_ratio") > max_sd, F.lit(False))
-    bad = dirty & ((F.col("p_value") < 1e-8) | ((F.col("p_value") < 5e-3) & wild))
-    found = pairs.where(bad).groupBy("s", "u").agg(F.min("p_value").alias("p"))
-    return found.select(F.col("s").alias("sorting"), F.col("u").alias("unit_id"), F.concat(F.lit("merged, p = "), F.col("p").cast("string")).alias("reason"))
+    from eventloom.operators.metrics import contaminations, cross_contaminations_of
+
+    ways = antisymmetric(shifts)
+    on_clock = lambda k: ways.select(F.col("s1").alias("s"), F.col("u1").alias("u"), F.col("s2").alias("other_s"), F.col("u2").alias(f"v{k}"), F.col("shift").alias(f"shift{k}"))
+    pairs = neighbour_pairs(edges).distinct()
+    for k in (1, 2):
+        pairs = pairs.join(on_clock(k), ["s", "u", "other_s", f"v{k}"], "left").fillna(0, [f"shift{k}"])
+    own = nodes.select(*UNIT, "contamination", "sd_ratio")
+    pairs = pairs.join(own.toDF("s", "u", "c", "sd"), ["s", "u"])
+    for k in (1, 2):
+        pairs = pairs.join(own.toDF("other_s", f"v{k}", f"c{k}", f"sd{k}"), ["other_s", f"v{k}"])
+    pairs = settle(pairs, "neighbour_pairs")
+    if pairs.isEmpty():
+        return nodes.select(*UNIT).limit(0), pairs
+
+    members = data.spikes
+    quality = nodes.select(*UNIT, F.coalesce("contamination", F.lit(0.0)).alias("value"))
+    two = pairs.select(F.col("other_s").alias("s1"), F.col("v1").alias("u1"), F.col("other_s").alias("s2"), F.col("v2").alias("u2"), (F.col("shift2") - F.col("shift1")).alias("shift"))
+    inside = cross_contaminations_of(members, data.meta.t_max, censored, refractory, limit, quality, two.distinct())
+    inside = inside.select(F.col("s1").alias("other_s"), F.col("u1").alias("v1"), F.col("u2").alias("v2"), F.col("shift").alias("between"), F.col("estimate").alias("cross"), "p_value")
+    judged = pairs.withColumn("between", F.col("shift2") - F.col("shift1")).join(inside, ["other_s", "v1", "v2", "between"])
+
+    # The node against each neighbour, by longer periods; the node is the reference.
+    near = [data.meta.samples(x) for x in NEIGHBOUR_PERIODS]
+    dirt = contaminations(data, *near).select(*UNIT, F.coalesce("value", F.lit(0.0)).alias("value"))
+    each = pairs.select("s", "u", "other_s", F.explode(F.array(*[F.struct(F.col(f"v{k}").alias("v"), F.col(f"shift{k}").alias("shift")) for k in (1, 2)])).alias("n"))
+    each = each.select(F.col("s").alias("s1"), F.col("u").alias("u1"), F.col("other_s").alias("s2"), F.col("n.v").alias("u2"), "n.shift").distinct()
+    tested = settle(cross_contaminations_of(members, data.meta.t_max, *near, NEIGHBOUR_LIMIT, dirt, each, first=True), "tested")
+    for k in (1, 2):
+        judged = judged.join(tested.select(F.col("s1").alias("s"), F.col("u1").alias("u"), F.col("s2").alias("other_s"), F.col("u2").alias(f"v{k}"), F.col("estimate").alias(f"cross{k}"), F.col("p_value").alias(f"p{k}")), ["s", "u", "other_s", f"v{k}"])
+
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    swapped = sure(F.col("c2") < F.col("c1"))
+    first = {x: F.when(swapped, F.col(f"{x}2")).otherwise(F.col(f"{x}1")) for x in ("p", "cross")}
+    second = {x: F.when(swapped, F.col(f"{x}1")).otherwise(F.col(f"{x}2")) for x in ("p", "cross")}
+    worse = lambda x: sure((F.col(x) > F.col(f"{x}1")) & (F.col(x) > F.col(f"{x}2")))
+    apart = sure(F.col("p_value") <= 5e-3)
+    merged = worse("c") & sure((F.col("p_value") < 1e-8) | ((F.col("p_value") < 5e-3) & worse("sd")))
+    one_bad = sure((first["p"] < 5e-3) & (second["cross"] < 0.1) & (F.col("c1") > F.col("c") + 0.03))
+    two_bad = sure((second["p"] < 5e-3) & (first["cross"] < 0.1) & (F.col("c2") > F.col("c") + 0.03))
+    verdict = F.when(~apart, "split").when(merged, "node").when(one_bad, "neighbour 1").when(two_bad, "neighbour 2").otherwise("unclear")
+    judged = judged.withColumn("verdict", verdict)
+    order = Window.partitionBy("s", "u").orderBy("other_s", "v1", "v2")
+    earlier = F.max(F.col("verdict") == "node").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    judged = settle(judged.withColumn("_late", F.coalesce(earlier, F.lit(False))).where("not _late").drop("_late"), "judged")
+    gone = judged.where("verdict = 'node'").select("s", "u")
+    for k in (1, 2):
+        gone = gone.union(judged.where(f"verdict = 'neighbour {k}'").select("other_s", f"v{k}"))
+    return settle(gone.toDF(*UNIT).distinct(), "merged"), judged
 
 
 def clean_edges(
     nodes: DataFrame,
     edges: DataFrame,
-    template_threshold: float = 0.12,
-    correlogram_threshold: float = 0.06,
+    template_threshold: float = 0.10,
+    correlogram_threshold: float = 0.12,
     sd_step: float = 0.20,
     contamination_step: float = 0.08,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -214,8 +277,8 @@ def louvain(edges: list[tuple[int, int, float]], n: int, resolution: float = 0.9
         weights = merged
 
 
-def separate_communities(nodes: DataFrame, edges: DataFrame, min_sortings: int, resolution: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges after cutting between the communities of each component.
+def separate_communities(nodes: DataFrame, edges: DataFrame, min_sortings: int, resolution: float = 0.95) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges after cutting between the communities of each component, and what went (audit: cut edges and removed units).
 
     Communities are weighted by agreement.  Of a component with several, those of min_sortings nodes or fewer go.
     """
@@ -234,10 +297,16 @@ def separate_communities(nodes: DataFrame, edges: DataFrame, min_sortings: int,
     found = comps.join(split_up, [*UNIT], "left").fillna({"community": 0})
     several = F.max("community").over(Window.partitionBy("component")) > 0
     size = F.count(F.lit(1)).over(Window.partitionBy("component", "community"))
-    kept = settle(found.withColumn("_keep", ~several | (size > min_sortings)).where("_keep").drop("_keep"), "communities")
+    found = settle(found.withColumn("_keep", ~several | (size > min_sortings)), "communities")
+    kept = found.where("_keep").drop("_keep")
     ends = kept.select(*UNIT, "component", "community")
     joined = edges.join(ends.toDF("s1", "u1", "k1", "m1"), ["s1", "u1"]).join(ends.toDF("s2", "u2", "k2", "m2"), ["s2", "u2"])
-    return nodes.join(kept.select(*UNIT), [*UNIT], "left_semi"), joined.where("m1 = m2").select(*edges.columns)
+    labels = found.select(*UNIT, "community")
+    across = edges.join(labels.toDF("s1", "u1", "m1"), ["s1", "u1"]).join(labels.toDF("s2", "u2", "m2"), ["s2", "u2"]).where("m1 <> m2")
+    nothing = lambda c: F.lit(None).cast(edges.schema[c].dataType).alias(c)
+    small = found.where("not _keep").select(F.lit("small community").alias("reason"), F.col("sorting").alias("s1"), F.col("unit_id").alias("u1"), nothing("s2"), nothing("u2"))
+    why = across.select(F.lit("edge between communities").alias("reason"), *PAIR).union(small)
+    return nodes.join(kept.select(*UNIT), [*UNIT], "left_semi"), joined.where("m1 = m2").select(*edges.columns), why
 
 
 def redundancies(removed: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.stats import border_weights, contamination
-from eventloom.meta import UNIT, Dataset
-from eventloom.operators.bandjoin import antisymmetric, coincidences, violations
+from eventloom.functions.stats import contamination
+from eventloom.meta import UNIT, Dataset, RecordingMeta
+from eventloom.operators.bandjoin import PAIR, antisymmetric, coincidences, correlogram_of, violations
 from eventloom.operators.graph import best_per_component, components, greedy_removal, settle
-from eventloom.operators.metrics import BALANCE, agreement, contaminations, score, similarity
-from eventloom.operators.trains import consensus, unit_counts
+from eventloom.operators.metrics import BALANCE, agreement, contaminations, score, similarity, unit_scores
+from eventloom.operators.templates import correlogram_differences
+from eventloom.operators.trains import consensus, drop_duplicates, unit_counts
 
 
 def on_one_clock(data: Dataset, members: DataFrame, shifts: DataFrame | None) -> DataFrame:
@@ -98,93 +95,154 @@ def remove_redundant(data: Dataset, window: int, censored: float, refractory: fl
     return best_per_component(groups, left).select(*UNIT)
 
 
-def redundant_units(data: Dataset, window: int, threshold: float, rank: DataFrame) -> tuple[DataFrame, DataFrame]:
+def redundant_units(data: Dataset, window: int, threshold: float, rank: DataFrame, min_agreement: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(removed, pairs): in each pair of units of a sorting that shares at least threshold of the smaller train, the lower rank goes.
 
-    rank: (sorting, unit_id, value), the higher stays; ties keep the smaller id.  Pairs are judged in order.
+    rank: (sorting, unit_id, value), the higher stays; ties keep the smaller id.  Pairs of an agreement below min_agreement don't
+    count.  Pairs are judged in order.
     """
     pairs = coincidences(data.spikes, window, same=True).where("u1 < u2")
-    pairs = settle(similarity(agreement(pairs, unit_counts(data.spikes)), data.meta.t_max).where(F.col("similarity") >= threshold), "redundant")
+    pairs = similarity(agreement(pairs, unit_counts(data.spikes)), data.meta.t_max)
+    pairs = settle(pairs.where((F.col("similarity") >= threshold) & (F.col("agreement") >= min_agreement)), "redundant")
     scores = settle(rank.select(*UNIT, F.coalesce("value", F.lit(0.0)).alias("score")), "rank")
     ordered = pairs.select(F.col("s2").alias("s1"), F.col("u2").alias("u1"), F.col("s1").alias("s2"), F.col("u1").alias("u2"))
     return greedy_removal(ordered, scores), pairs.select("s1", "u1", "s2", "u2", "similarity")
 
 
+def pairs_within(units: DataFrame) -> DataFrame:
+    """All pairs (s1, u1, s2, u2), u1 < u2, of units of one sorting; rows are units, never events."""
+    one, two = units.select(*UNIT).toDF("s1", "u1"), units.select(*UNIT).toDF("s2", "u2")
+    return one.join(two, F.col("s1") == F.col("s2")).where("u1 < u2")
+
+
+def pair_correlogram_differences(
+    spikes: DataFrame, pairs: DataFrame, counts: DataFrame, bins: int, bin_size: int, half_height: float, sigma: float, truncate: float = 5.0, censored: int = 0, margin: int = 0, censor_autos: bool = False
+) -> DataFrame:
+    """difference per pair (s1, u1, s2, u2[, shift]) of ``correlogram_differences``: correlograms are counted for these pairs and their units alone."""
+    pairs = pairs if "shift" in pairs.columns else pairs.withColumn("shift", F.lit(0))
+    pairs = pairs.select(*PAIR, "shift")
+    units = settle(pairs.select("s1", "u1").union(pairs.select("s2", "u2")).distinct().toDF(*UNIT), "ends")
+    diagonal = units.select(F.col("sorting").alias("s1"), F.col("unit_id").alias("u1"), F.col("sorting").alias("s2"), F.col("unit_id").alias("u2"))
+    wanted = pairs.select(*PAIR).union(diagonal).withColumn("shift", F.lit(0))
+    lags = settle(correlogram_of(spikes.join(units, [*UNIT], "left_semi"), wanted, bins * bin_size, bin_size), "correlograms").drop("shift")
+    autos = lags.where("s1 = s2 and u1 = u2").select(F.col("s1").alias("sorting"), F.col("u1").alias("unit_id"), "bin", "n")
+    crosses = pairs.withColumn("shift", F.round(F.col("shift") / bin_size).cast("int")).join(lags, list(PAIR), "left").fillna({"bin": 0, "n": 0})
+    return correlogram_differences(autos, crosses, counts, bins, half_height, sigma, truncate, censored, margin, censor_autos)
+
+
+def edge_correlogram_differences(
+    spikes: DataFrame, edges: DataFrame, counts: DataFrame, meta: RecordingMeta, max_time: float, bin_ms: float | None, std: float, truncate: float, censored: int, max_shift: int
+) -> DataFrame:
+    """difference per edge (s1, u1, s2, u2, shift): correlograms over max_time ms on both sides, those of edges emptied around lag 0, all
+    smoothed, and cropped by max_shift (censored and max_shift in samples), crosses about their shift."""
+    bin_ms = 1e3 / meta.fs * (1 + max_time // 100) if bin_ms is None else bin_ms
+    bin_size = max(1, round(meta.samples(bin_ms)))
+    bins = max(1, round(meta.samples(max_time) / bin_size))
+    margin = min(max_shift // bin_size + 1, max(0, bins - 1))
+    return pair_correlogram_differences(
+        spikes, edges, counts, bins, bin_size, 0.5, meta.samples(std) / bin_size, truncate, max(1, censored // bin_size) if censored else 0, margin
+    )
+
+
+def _together(data: Dataset, pairs: DataFrame, duplicates: float) -> DataFrame:
+    """(sorting, unit_id, sample_index, s1, u1, u2): the events of both units of each pair as one train, without duplicates.
+
+    unit_id here is a hash of the pair.
+    """
+    ends = pairs.select(*PAIR, F.xxhash64(*PAIR).alias("pair")).distinct()
+    ends = ends.select("s1", "u1", "u2", "pair", F.explode(F.array("u1", "u2")).alias("unit_id"))
+    events = data.spikes.join(ends, (data.spikes["sorting"] == ends["s1"]) & (data.spikes["unit_id"] == ends["unit_id"]))
+    train = events.select(F.col("s1").alias("sorting"), F.col("pair").alias("unit_id"), "sample_index")
+    return drop_duplicates(train, duplicates)
+
+
+def merged_scores(data: Dataset, pairs: DataFrame, censored: float, refractory: float, k: float = BALANCE, duplicates: float | None = None) -> DataFrame:
+    """merged_score per pair (s1, u1, s2, u2): the score of both trains as one.  Pairs' trains stay DataFrames."""
+    pairs = pairs.select(*PAIR).distinct()
+    train = settle(_together(data, pairs, censored if duplicates is None else duplicates), "together")
+    both = data.replace(spikes=train, units=train.select(*UNIT).distinct(), templates=None)
+    scores = unit_scores(both, censored, refractory, k=k).select(F.col("unit_id").alias("pair"), F.col("score").alias("merged_score"))
+    return pairs.withColumn("pair", F.xxhash64(*PAIR)).join(scores, "pair").drop("pair")
+
+
+def _with_scores(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    one, two = scores.select(*UNIT, "score").toDF("s1", "u1", "score1"), scores.select(*UNIT, "score").toDF("s2", "u2", "score2")
+    return pairs.join(one, ["s1", "u1"]).join(two, ["s2", "u2"])
+
+
+def raising(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    """The pairs whose merged score isn't below that of their better unit."""
+    return _with_scores(pairs, scores).where(F.col("merged_score") >= F.greatest("score1", "score2")).select(*pairs.columns)
+
+
 def remove_splits(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     """Units that lower the score when merged: of each pair whose merged score is below its better one, the lower goes (ties: the second).
 
     pairs: (s1, u1, s2, u2, merged_score).
     """
-    one, two = scores.select(*UNIT, "score").toDF("s1", "u1", "score1"), scores.select(*UNIT, "score").toDF("s2", "u2", "score2")
-    worse = pairs.join(one, ["s1", "u1"]).join(two, ["s2", "u2"]).where(F.col("merged_score") < F.greatest("score1", "score2"))
+    worse = _with_scores(pairs, scores).where(F.col("merged_score") < F.greatest("score1", "score2"))
     gone = F.when(F.col("score1") < F.col("score2"), F.struct(F.col("s1").alias("sorting"), F.col("u1").alias("unit_id"))).otherwise(
         F.struct(F.col("s2").alias("sorting"), F.col("u2").alias("unit_id"))
     )
     return worse.select(gone.alias("g")).select("g.*").distinct()
 
 
-def train_violations(train: np.ndarray, window: float) -> float:
-    """Weighted pairs of a sorted train within the window, without all its pairs."""
-    if window <= 0:
-        return 0.0
-    low, high, at_low, at_high = border_weights(window)
-    upto = lambda d: float((np.searchsorted(train, train + d, "right") - np.arange(1, len(train) + 1)).sum())
-    within = lambda d: upto(d) if d >= 0 else 0.0
-    if low == high:
-        return within(high - 1) + (within(high) - within(high - 1)) * at_high
-    return within(low - 1) + (within(low) - within(low - 1)) * at_low + (within(high) - within(low)) * at_high
-
-
-def train_score(train: np.ndarray, meta_rate: float, t_max: int, censored: float, refractory: float, k: float = BALANCE) -> float:
-    n = len(train)
-    if not n:
-        return 0.0
-    left = 1 - train_violations(train, refractory) * (t_max - 2 * n * censored) / (n * n * (refractory - censored))
-    c = 1.0 if left < 0 else 1 - math.sqrt(left)
-    return n * meta_rate / t_max * (1 - (k + 1) * c)
-
+def merge_split_units(data: Dataset, candidates: DataFrame, censored: float, refractory: float, duplicates: float, k: float = BALANCE) -> tuple[DataFrame, DataFrame]:
+    """(sorting, unit_id, sample_index) after merging, and the units that are gone.
 
-def merge_split_units(data: Dataset, candidates: DataFrame, censored: float, refractory: float, duplicates: float) -> DataFrame:
-    """(sorting, unit_id, sample_index): candidate pairs of one sorting merged for as long as the best merge raises the best score.
+    candidates: pairs (s1, u1, s2, u2) of one sorting.  Each component of candidates is contracted greedily: of all its edges the merge of
+    highest score (ties: the first by ids) is made if it beats every single unit of the component, under the smaller id; else the best unit stays (ties: the
+    smallest id) and the others go.  Ids and edges of merged units are the smaller one's.
 
-    candidates: (s1, u1, s2, u2).  Each component of candidates (a few trains) is contracted greedily in one task: of all its edges
-    the merge of highest score is made if it beats every single unit; else the best unit stays and the others go.
+    All components take a step a round; trains stay DataFrames, and only edges of units that changed are scored again, so a round costs the
+    changed trains.  The rounds are as many as the largest component has units.
     """
-    comps = components(data.units, candidates)
-    sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = settle(comps.join(sizes, "component"), "candidates")
-    others = data.spikes.join(members.select(*UNIT), [*UNIT], "left_anti")
-    trains = data.spikes.join(members.select(*UNIT, F.to_json("component").alias("c")), [*UNIT]).groupBy("c", *UNIT).agg(F.array_sort(F.collect_list("sample_index")).alias("train"))
-    links = candidates.select("s1", "u1", "u2").join(members.select(F.col("sorting").alias("s1"), F.col("unit_id").alias("u1"), F.to_json("component").alias("c")), ["s1", "u1"])
-    fs, t_max = data.meta.fs, data.meta.t_max
-    judge = lambda t: train_score(t, fs, t_max, censored, refractory)
-
-    def without_duplicates(train: np.ndarray) -> np.ndarray:
-        kept, last = [], -math.inf
-        for t in np.sort(train).tolist():
-            if t - last > duplicates:
-                kept.append(t)
-                last = t
-        return np.array(kept, np.int64)
-
-    def contract(units: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        own = {u: np.asarray(t, np.int64) for u, t in zip(units["unit_id"], units["train"], strict=True)}
-        near = {frozenset((a, b)) for a, b in zip(edges["u1"], edges["u2"], strict=True) if a != b and a in own and b in own}
-        while near:
-            single = max(judge(t) for t in own.values())
-            tried = {e: without_duplicates(np.concatenate([own[u] for u in sorted(e)])) for e in sorted(near, key=sorted)}
-            best = max(tried, key=lambda e: judge(tried[e]))
-            if judge(tried[best]) <= single:
-                top = max(sorted(own), key=lambda u: judge(own[u]))
-                own, near = {top: own[top]}, set()
-                break
-            keep, drop = sorted(best)
-            own[keep] = tried[best]
-            del own[drop]
-            near = {frozenset(keep if u == drop else u for u in e) for e in near}
-            near = {e for e in near if len(e) == 2}
-        rows = [(units["sorting"].iloc[0], u, t) for u in sorted(own) for t in own[u].tolist()] if len(units) else []
-        return pd.DataFrame(rows, columns=["sorting", "unit_id", "sample_index"])
-
-    merged = trains.groupBy("c").cogroup(links.groupBy("c")).applyInPandas(contract, data.spikes.select("sorting", "unit_id", "sample_index").schema)
-    return others.select("sorting", "unit_id", "sample_index").union(merged)
+    schema = data.spikes.schema
+    u1, u2 = F.least("u1", "u2").alias("u1"), F.greatest("u1", "u2").alias("u2")
+    edges = settle(candidates.where("s1 = s2 and u1 <> u2").select("s1", u1, "s2", u2).distinct(), "edges")
+    comps = components(data.units, edges).withColumn("c", F.xxhash64("component")).select(*UNIT, "c")
+    several = edges.select("s1", "u1").union(edges.select("s2", "u2")).toDF(*UNIT).distinct()
+    members = settle(comps.join(several, [*UNIT], "left_semi"), "members")
+    single = settle(unit_scores(data.only(members), censored, refractory, k=k).select(*UNIT, "score").join(members, [*UNIT]), "single")
+    edges = edges.join(members.toDF("s1", "u1", "c"), ["s1", "u1"])
+    train = settle(data.spikes.select("sorting", "unit_id", "sample_index").join(members.select(*UNIT), [*UNIT], "left_semi"), "train")
+    scored = settle(edges.join(merged_scores(data.replace(spikes=train), edges, censored, refractory, k, duplicates), list(PAIR)), "scored")
+    while not scored.isEmpty():
+        best = scored.groupBy("c").agg(F.max_by(F.struct("u1", "u2", "merged_score"), F.struct("merged_score", (-F.col("u1")).alias("a"), (-F.col("u2")).alias("b"))).alias("b"))
+        top = single.groupBy("c").agg(F.max("score").alias("top"), F.max_by("unit_id", F.struct("score", (-F.col("unit_id")).alias("a"))).alias("winner"))
+        step = settle(best.join(top, "c").select("c", "b.*", "top", "winner").withColumn("raises", F.col("merged_score") > F.col("top")), "step")
+        done = step.where("not raises").select("c", "winner")
+        made = step.where("raises").select("c", "u1", "u2", "merged_score")
+        # Components that are done keep their best unit.
+        lost = single.join(done, "c").where("unit_id <> winner").select(*UNIT)
+        gone_now = made.join(single.select("c", F.col("unit_id").alias("u2"), "sorting"), ["c", "u2"]).select("sorting", F.col("u2").alias("unit_id"), F.col("u1").alias("into"))
+        lost, gone_now = settle(lost, "lost"), settle(gone_now, "joined")
+        kept_unit = gone_now.select("sorting", F.col("into").alias("unit_id"))
+        touched = kept_unit.union(gone_now.select(*UNIT)).distinct()
+        same = train.join(touched.union(lost), [*UNIT], "left_anti")
+        moved = train.join(gone_now, [*UNIT]).select("sorting", F.col("into").alias("unit_id"), "sample_index")
+        moved = drop_duplicates(moved.union(train.join(kept_unit, [*UNIT], "left_semi")), duplicates)
+        train = settle(same.union(moved), "train")
+        scores = made.select("c", F.col("u1").alias("unit_id"), F.col("merged_score").alias("new"))
+        single = single.join(done.select("c"), "c", "left_anti").join(gone_now.select(*UNIT), [*UNIT], "left_anti").join(scores, ["c", "unit_id"], "left")
+        single = settle(single.select(*UNIT, F.coalesce("new", "score").alias("score"), "c"), "single")
+        # Edges of the unit that went are its partner's; those of a changed unit are scored again.
+        next_edges = scored.join(done.select("c"), "c", "left_anti")
+        into = gone_now.select(F.col("sorting").alias("s1"), F.col("unit_id").alias("old"), "into")
+        for x in ("u1", "u2"):
+            next_edges = next_edges.join(into.withColumnsRenamed({"old": x, "into": f"_{x}"}), ["s1", x], "left")
+        changed = F.col("_u1").isNotNull() | F.col("_u2").isNotNull()
+        next_edges = next_edges.withColumn("_changed", changed).withColumns({"u1": F.coalesce("_u1", "u1"), "u2": F.coalesce("_u2", "u2")})
+        next_edges = next_edges.where("u1 <> u2").select("s1", u1, "s2", u2, "c", "merged_score", "_changed")
+        fresh = kept_unit.select(F.col("sorting").alias("s1"), F.col("unit_id").alias("_k")).distinct()
+        for x in ("u1", "u2"):
+            next_edges = next_edges.join(fresh.withColumnRenamed("_k", x).withColumn(f"_f_{x}", F.lit(True)), ["s1", x], "left")
+        again = F.col("_changed") | F.coalesce("_f_u1", F.lit(False)) | F.coalesce("_f_u2", F.lit(False))
+        next_edges = settle(next_edges.withColumn("_again", again).groupBy(*PAIR, "c").agg(F.max("_again").alias("_again"), F.max("merged_score").alias("merged_score")), "edges")
+        todo = next_edges.where("_again").select(*PAIR, "c")
+        new = todo.join(merged_scores(data.replace(spikes=train), todo, censored, refractory, k, duplicates), list(PAIR))
+        columns = [*PAIR, "c", "merged_score"]
+        scored = settle(next_edges.where("not _again").select(*columns).union(new.select(*columns)), "scored")
+    gone = settle(members.select(*UNIT).join(train.select(*UNIT).distinct(), [*UNIT], "left_anti"), "gone")
+    others = data.spikes.join(members.select(*UNIT), [*UNIT], "left_anti").select(*schema.names)
+    return settle(others.union(train.select(*schema.names)), "merged"), gone

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.stats import binomial_tail_column, contamination
 from eventloom.meta import UNIT, Dataset
 from eventloom.operators import templates as T
-from eventloom.operators.bandjoin import PAIR, coincidences, violations, weighted_coincidences
+from eventloom.operators.bandjoin import PAIR, coincidences, violations, weighted_coincidences, weighted_coincidences_of
 from eventloom.operators.trains import intervals, unit_counts
 
 BALANCE = 2.5
@@ -54,18 +54,31 @@ def cross_contaminations(
     counts = unit_counts(spikes).join(own.select(*UNIT, "value"), [*UNIT])
     one, two = counts.toDF("s1", "u1", "n1", "c_1"), counts.toDF("s2", "u2", "n2", "c_2")
     joined = both.join(one, ["s1", "u1"]).join(two, ["s2", "u2"])
+    return joined.select(*PAIR, *_cross_columns(F.least("c_1", "c_2"), t_max, refractory, limit))
+
+
+def _cross_columns(c: Column, t_max: int, refractory: float, limit: float) -> list[Column]:
+    """n_excess, n_trials, p and estimate of pairs with c0, c1, n1 and n2, given the contamination of the reference."""
     n = F.col("c1") - F.col("c0")
-    c = F.least("c_1", "c_2")
     trials = F.col("n1") * F.col("n2")
     estimate = (n * F.lit(float(t_max)) / (2 * trials * F.lit(float(refractory))) - c) / F.when(c != 1, 1 - c)
     rate = trials * ((1 - c) * F.lit(limit) + c)
-    return joined.select(
-        *PAIR,
-        n.alias("n_excess"),
-        rate.alias("n_trials"),
-        F.lit(2 * refractory / t_max).alias("p"),
-        estimate.alias("estimate"),
-    )
+    return [n.alias("n_excess"), rate.alias("n_trials"), F.lit(2 * refractory / t_max).alias("p"), estimate.alias("estimate")]
+
+
+def cross_contaminations_of(
+    spikes: DataFrame, t_max: int, censored: float, refractory: float, limit: float, own: DataFrame, wanted: DataFrame, first: bool = False
+) -> DataFrame:
+    """wanted with n_excess, n_trials, p, estimate and p_value of its pairs (s1, u1, s2, u2, shift), whether their events meet or not.
+
+    The reference is the cleaner unit, or with ``first`` always unit 1.
+    """
+    both = weighted_coincidences_of(spikes, wanted, [censored, refractory])
+    counts = unit_counts(spikes).join(own.select(*UNIT, "value"), [*UNIT])
+    one, two = counts.toDF("s1", "u1", "n1", "c_1"), counts.toDF("s2", "u2", "n2", "c_2")
+    joined = both.join(one, ["s1", "u1"]).join(two, ["s2", "u2"])
+    c = F.col("c_1") if first else F.least("c_1", "c_2")
+    return with_p_value(joined.select(*wanted.columns, *_cross_columns(c, t_max, refractory, limit)))
 
 
 def with_p_value(pairs: DataFrame) -> DataFrame:
@@ -104,11 +117,11 @@ def score(rate: Column, contaminated: Column, k: float = BALANCE) -> Column:
     return rate * (1 - F.lit(k + 1) * contaminated)
 
 
-def unit_scores(data: Dataset, censored: float, refractory: float, sd_ratio: DataFrame | None = None) -> DataFrame:
+def unit_scores(data: Dataset, censored: float, refractory: float, sd_ratio: DataFrame | None = None, k: float = BALANCE) -> DataFrame:
     """n_spikes, contamination and score of each unit; sd_ratio (sorting, unit_id, value) divides it by 1 + |1 - sd|."""
     quality = contaminations(data, censored, refractory)
     rate = F.col("n_spikes") * F.lit(data.meta.fs) / F.lit(float(data.meta.t_max))
-    out = quality.select(*UNIT, "n_spikes", F.col("value").alias("contamination"), score(rate, F.coalesce("value", F.lit(0.0))).alias("score"))
+    out = quality.select(*UNIT, "n_spikes", F.col("value").alias("contamination"), score(rate, F.coalesce("value", F.lit(0.0)), k).alias("score"))
     if sd_ratio is None:
         return out
     scaled = out.join(sd_ratio.select(*UNIT, F.col("value").alias("sd")), [*UNIT], "left")

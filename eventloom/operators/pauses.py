@@ -48,9 +48,3 @@ def pausing_pairs(
     keep = (F.col("in_pause") < threshold * F.col("base")) & (F.col("low_before") < 0.5)
     return judged.where(keep).select(F.col("s1").alias("sorting"), "u1", "u2")
 
-
-def pair_notes(pairs: DataFrame) -> DataFrame:
-    """(sorting, note): the pairs of each sorting as ``u1-u2 ; u1-u2``."""
-    one = F.concat_ws("-", F.col("u1").cast("string"), F.col("u2").cast("string"))
-    ordered = F.array_sort(F.collect_list(F.struct("u1", "u2", one.alias("text"))))
-    return pairs.groupBy("sorting").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ; ").alias("note"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.meta import UNIT
@@ -12,8 +15,36 @@ from eventloom.operators.bandjoin import PAIR, correlogram
 from eventloom.functions.stats import gaussian_kernel
 
 
-def train() -> WindowSpec:
-    return Window.partitionBy(*UNIT).orderBy("sample_index")
+#: Samples of time that one window partition holds of a train.
+STRETCH = 1 << 20
+
+
+def with_previous(spikes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """_before: the time of the event before in the train of the keys (null for the first), and _stretch.
+
+    Trains are cut into stretches of time, so that a busy unit is spread over all tasks; the last time of the stretches before
+    is carried over by a window over the stretches alone.
+    """
+    t = F.col("sample_index")
+    cut = spikes.withColumn("_stretch", F.floor(t / F.lit(STRETCH)).cast("bigint"))
+    ends = cut.groupBy(*keys, "_stretch").agg(F.max(t).alias("_end"))
+    carried = ends.select(*keys, "_stretch", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_stretch")).alias("_carried"))
+    inside = F.lag(t).over(Window.partitionBy(*keys, "_stretch").orderBy(t))
+    joined = cut.withColumn("_inside", inside).join(carried, [*keys, "_stretch"], "left")
+    return joined.withColumn("_before", F.coalesce("_inside", "_carried")).drop("_inside", "_carried")
+
+
+def with_runs(spikes: DataFrame, keys: Sequence[str], gap: float) -> DataFrame:
+    """_run: the time at which the run of the event begins; a run goes on for as long as events are at most gap apart."""
+    t = F.col("sample_index")
+    fresh = F.col("_before").isNull() | (t - F.col("_before") > gap)
+    marked = with_previous(spikes, keys).withColumn("_start", F.when(fresh, t))
+    heads = marked.groupBy(*keys, "_stretch").agg(F.max("_start").alias("_head"))
+    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = heads.select(*keys, "_stretch", F.max("_head").over(earlier).alias("_carried"))
+    inside = F.max("_start").over(Window.partitionBy(*keys, "_stretch").orderBy(t))
+    joined = marked.withColumn("_inside", inside).join(carried, [*keys, "_stretch"], "left")
+    return joined.withColumn("_run", F.coalesce("_inside", "_carried")).drop("_inside", "_carried", "_start", "_stretch", "_before")
 
 
 def unit_counts(spikes: DataFrame, units: DataFrame | None = None) -> DataFrame:
@@ -26,7 +57,8 @@ def unit_counts(spikes: DataFrame, units: DataFrame | None = None) -> DataFrame:
 
 def intervals(spikes: DataFrame) -> DataFrame:
     """isi: the time from each event to the one before it in its train; first events have none."""
-    return spikes.withColumn("isi", F.col("sample_index") - F.lag("sample_index").over(train())).where("isi is not null")
+    found = with_previous(spikes, UNIT).withColumn("isi", F.col("sample_index") - F.col("_before"))
+    return found.where("isi is not null").select(*spikes.columns, "isi")
 
 
 def isi_histogram(spikes: DataFrame, bin_size: int, max_time: int) -> DataFrame:
@@ -50,30 +82,50 @@ def drop_duplicates(spikes: DataFrame, censored: float, method: str = "keep_firs
     """Events without those within ``censored`` samples after an earlier one of their unit.
 
     keep_first_iterative: after a kept event, all at a distance <= censored go.  An event depends on the last kept
-    one, so a train is folded in order; only the runs of close events (gaps and islands) are folded,
-    each run on its own, never whole trains.
+    one, so each run of close events (gaps and islands) is scanned in order, in linear time and with the last kept time as its only
+    state: runs are dealt to tasks, and one of any length streams through its task.
     keep_first: all with an interval <= censored go, kept or not before them.
     random: of events in a run that is linked by short intervals, one stays, by a hash of its time.
     """
-    close = F.coalesce(F.col("sample_index") - F.lag("sample_index").over(train()) <= censored, F.lit(False))
-    marked = spikes.withColumn("_close", close)
     if method == "keep_first":
-        return marked.where(~F.col("_close")).drop("_close")
-    runs = marked.withColumn("_run", F.sum(F.when(F.col("_close"), 0).otherwise(1)).over(train()))
-    grouped = runs.groupBy(*UNIT, "_run")
-    if method == "random":
-        return grouped.agg(F.min_by("sample_index", F.xxhash64("sample_index")).alias("sample_index")).drop("_run")
-    if method != "keep_first_iterative":
+        kept = with_previous(spikes, UNIT).where(F.col("_before").isNull() | (F.col("sample_index") - F.col("_before") > censored))
+        return kept.select(*spikes.columns)
+    if method not in ("keep_first_iterative", "random"):
         raise ValueError(f"unknown method {method!r}: keep_first, keep_first_iterative or random")
-    times = F.array_sort(F.collect_list("sample_index"))
-    never = F.array().cast("array<bigint>")
-    kept = F.aggregate(
-        F.col("times"),
-        never,
-        lambda acc, t: F.when((F.size(acc) == 0) | (t.cast("bigint") - F.try_element_at(acc, F.lit(-1)) > censored), F.concat(acc, F.array(t.cast("bigint")))).otherwise(acc),
-    )
-    folded = grouped.agg(times.alias("times")).select(*UNIT, F.explode(kept).alias("sample_index"))
-    return folded.select(*UNIT, F.col("sample_index").cast(spikes.schema["sample_index"].dataType))
+    runs = with_runs(spikes.select(*UNIT, "sample_index"), UNIT, censored)
+    if method == "random":
+        return runs.groupBy(*UNIT, "_run").agg(F.min_by("sample_index", F.xxhash64("sample_index")).alias("sample_index")).drop("_run")
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, last = None, 0  # the run that the last batch ended in, and its last kept time
+        for part in parts:
+            if not len(part):
+                continue
+            names = list(zip(part["sorting"].tolist(), part["unit_id"].tolist(), part["_run"].tolist(), strict=True))
+            t = part["sample_index"].to_numpy()
+            fresh = np.r_[True, [a != b for a, b in zip(names, names[1:], strict=False)]].astype(bool)
+            starts = np.flatnonzero(fresh)
+            stops = np.r_[starts[1:], len(t)]
+            keep = fresh.copy()
+            if names[0] == run:
+                at = int(np.searchsorted(t[: stops[0]], last + censored, "right"))
+                keep[0] = False
+                if at < stops[0]:
+                    keep[at], last = True, t[at]
+                first = at
+            else:
+                first, last = 0, t[0]
+            # Only runs longer than the period hold more than their first event.
+            for k in np.flatnonzero((t[stops - 1] - t[starts] > censored) | (np.arange(len(starts)) == len(starts) - 1) | (np.arange(len(starts)) == 0)).tolist():
+                at, stop = (first, int(stops[k])) if k == 0 else (int(starts[k]), int(stops[k]))
+                while at < stop:
+                    keep[at], last = True, t[at]
+                    at += int(np.searchsorted(t[at:stop], last + censored, "right"))
+            run = names[-1]
+            yield part.loc[keep, ["sorting", "unit_id", "sample_index"]]
+
+    dealt = runs.repartition(*UNIT, "_run").sortWithinPartitions(*UNIT, "_run", "sample_index")
+    return dealt.select(*UNIT, "_run", "sample_index").mapInPandas(scan, spikes.select(*UNIT, "sample_index").schema)
 
 
 def consensus(spikes: DataFrame, keys: list[str], window: int, at_least: Column) -> DataFrame:
@@ -81,10 +133,7 @@ def consensus(spikes: DataFrame, keys: list[str], window: int, at_least: Column)
 
     Half-way means round to the even sample.
     """
-    order = Window.partitionBy(*keys).orderBy("sample_index")
-    new = F.coalesce(F.col("sample_index") - F.lag("sample_index").over(order) > window, F.lit(True)).cast("int")
-    runs = spikes.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
-    groups = runs.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("size"), F.sum("sample_index").alias("total"), F.max(at_least).alias("least"))
+    groups = with_runs(spikes, keys, window).groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("size"), F.sum("sample_index").alias("total"), F.max(at_least).alias("least"))
     mean = F.bround(F.col("total") / F.col("size"))
     return groups.where("size >= least").select(*keys, mean.cast("bigint").alias("sample_index"), "size")
 

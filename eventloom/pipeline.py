@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.config import fan_out
 from eventloom.meta import UNIT, Dataset, RecordingMeta, dataset
 from eventloom.operators.graph import settle
-from eventloom.operators.selection import category_filter, split_dataset
+from eventloom.operators.selection import category_filter, split_dataset, union_renumbered
 from eventloom.registry import Step, find
-from eventloom.sources.tables import exists, read_recording, read_sortings
+from eventloom.sources.tables import exists, prepared, read_recorded, read_sortings
 
 
 class Pipeline:
@@ -47,7 +50,10 @@ class Pipeline:
 
     def _read(self, folder: str) -> Dataset:
         read = self.spark.read.parquet
-        return self.data.replace(spikes=read(f"{folder}/spikes"), units=read(f"{folder}/units"), audit=())
+        audit = []
+        while exists(self.spark, f"{folder}/audit_{len(audit)}/_SUCCESS"):
+            audit.append(read(f"{folder}/audit_{len(audit)}"))
+        return self.data.replace(spikes=read(f"{folder}/spikes"), units=read(f"{folder}/units"), audit=tuple(audit))
 
     def _run_step(self, step: Step, categories: dict) -> Dataset:
         if step.multi:
@@ -85,9 +91,10 @@ class Pipeline:
 
     @staticmethod
     def _stacked(first: Dataset, second: Dataset) -> Dataset:
-        """Both, the second's ids moved past the first's."""
-        top = settle(first.units.agg((F.coalesce(F.max("unit_id"), F.lit(-1)) + 1).alias("_top")), "top").first()[0]
-        move = lambda df: df.withColumn("unit_id", F.col("unit_id") + F.lit(top))
+        """Both; ids of the second that the first has too become new ones, the others stay."""
+        ids = union_renumbered(first.units.select("unit_id").distinct(), second.units.select("unit_id").distinct()).where("side = 2")
+        ids = settle(ids.select("unit_id", F.col("new_unit_id").cast("long").alias("_new")), "ids")
+        move = lambda df: df.join(ids, "unit_id").withColumn("unit_id", F.col("_new")).drop("_new")
         return first.replace(
             spikes=first.spikes.unionByName(move(second.spikes)),
             units=first.units.unionByName(move(second.units), allowMissingColumns=True),
@@ -95,28 +102,62 @@ class Pipeline:
         )
 
 
-def from_params(spark: SparkSession, params: dict) -> Pipeline:
-    """The pipeline of a parameter set (see ``config.load``)."""
-    meta, chunks = read_recording(spark, params["recording"])
-    spikes = read_sortings(spark, params.get("sortings") or {})
-    data = dataset(spikes, meta, **({"recording": chunks} if chunks is not None else {}))
-    return Pipeline(data, params["pipeline"], params.get("logs_folder"), bool(params.get("overwrite_logs")))
+#: Detectors by name: callables (recording chunks, params) -> (unit_id, sample_index).
+DETECTORS: dict[str, Callable] = {}
+
+
+def detector(name: str) -> Callable:
+    """Registers a detector for the ``spike_sorting`` section of parameters."""
 
+    def put(function: Callable) -> Callable:
+        DETECTORS[name] = function
+        return function
 
-def add_sorting(data: Dataset, name: str, detector, params: dict, folder: str | None = None) -> Dataset:
-    """data with the events of a detector: a callable (recording, params) -> (unit_id, sample_index); read back if it ran before."""
+    return put
+
+
+def from_params(spark: SparkSession, params: dict) -> Pipeline:
+    """The pipeline of a parameter set (see ``config.load``).
+
+    recording: see ``read_recorded``.  sortings (or analyses): paths by name.  spike_sorting: {name: {sorter_name, preprocessing,
+    sorter_params: {folder or output_folder, ...}}}, registered detectors whose results are kept in their folder and read back from there.
+    pipeline, logs_folder, overwrite_logs: at the top or together in a section of any name.
+    """
+    section = params if "pipeline" in params else next((v for v in params.values() if isinstance(v, dict) and "pipeline" in v), None)
+    if section is None:
+        raise ValueError("the parameters have no pipeline")
+    known = {"recording", "sortings", "analyses", "spike_sorting", "pipeline", "logs_folder", "overwrite_logs", "logs_level", "tmp_folder"}
+    if strange := [k for k, v in params.items() if k not in known and v is not section]:
+        warnings.warn(f"unknown parameters: {', '.join(strange)}", stacklevel=2)
+    meta, chunks, channels = read_recorded(spark, params["recording"])
+    spikes = read_sortings(spark, (params.get("analyses") or {}) | (params.get("sortings") or {}))
+    more = {"recording": chunks, "channels": channels}
+    data = dataset(spikes, meta, **{k: v for k, v in more.items() if v is not None})
+    for name, given in (params.get("spike_sorting") or {}).items():
+        own = dict(given.get("sorter_params") or {})
+        folder = own.pop("folder", own.pop("output_folder", None))
+        data = add_sorting(data, name, DETECTORS.get(given["sorter_name"], given["sorter_name"]), own, folder, given.get("preprocessing") or {})
+    return Pipeline(data, section["pipeline"], section.get("logs_folder"), bool(section.get("overwrite_logs")))
+
+
+def add_sorting(data: Dataset, name: str, detector: Callable | str, params: dict, folder: str | None = None, preprocessing: dict | None = None) -> Dataset:
+    """data with the events of a detector: a callable (recording, params) -> (unit_id, sample_index); read back from folder if it ran before."""
     spark = data.spikes.sparkSession
-    path = f"{folder}/{name}" if folder else None
-    if path and exists(spark, f"{path}/_SUCCESS"):
-        found: DataFrame = spark.read.parquet(path)
+    if folder and exists(spark, f"{folder}/_SUCCESS"):
+        found: DataFrame = spark.read.parquet(folder)
     else:
-        found = detector(data.recording, params).select("unit_id", "sample_index").where(F.col("sample_index").between(0, data.meta.t_max - 1))
-        if path:
-            found.write.mode("overwrite").parquet(path)
-            found = spark.read.parquet(path)
+        if isinstance(detector, str):
+            raise ValueError(f"sorting {name!r}: there is no detector {detector!r} and no result in its folder; register the detector")
+        recording = data.recording
+        if recording is not None and preprocessing:
+            recording = prepared(recording, data.meta, None, preprocessing)[1]
+        found = detector(recording, params).select("unit_id", "sample_index").where(F.col("sample_index").between(0, data.meta.t_max - 1))
+        if folder:
+            found.write.mode("overwrite").parquet(folder)
+            found = spark.read.parquet(folder)
     rows = found.select(F.lit(name).alias("sorting"), "unit_id", "sample_index")
     units = rows.select(*UNIT).distinct()
     return data.replace(spikes=data.spikes.unionByName(rows), units=data.units.unionByName(units, allowMissingColumns=True))
 
 
-__all__ = ["Pipeline", "RecordingMeta", "add_sorting", "dataset", "from_params"]
+__all__ = ["Pipeline", "RecordingMeta", "add_sorting", "dataset", "detector", "from_params"]

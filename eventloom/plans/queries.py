@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions.signal import band_pass, filter_templates
 from eventloom.functions.stats import border_weights, gaussian_kernel
 from eventloom.meta import UNIT
 from eventloom.operators import bandjoin, graph, groundtruth, merging, metrics, pauses, selection, trains
 from eventloom.operators import templates as waves
 from eventloom.operators.trains import unit_counts
 from eventloom.plans import surrogate
-from eventloom.plans.surrogate import META, REFRACTORY_SQL, SPIKES_SQL, TEMPLATES_SQL
+from eventloom.plans.surrogate import MERGING_SQL, META, REFRACTORY_SQL, SPIKES_SQL, TEMPLATES_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,7 +83,7 @@ def align_shift(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {SPIKES_SQL}, o AS (
-  SELECT sorting, unit_id, sample_index AS t, row_number() OVER (PARTITION BY sorting, unit_id ORDER BY sample_index) AS k FROM spikes WHERE sorting = 'A'
+  SELECT sorting, unit_id, sample_index AS t, row_number() OVER (PARTITION BY sorting, unit_id ORDER BY sample_index) AS k FROM spikes
 ), f AS (
   SELECT sorting, unit_id, k, t AS last, true AS keep FROM o WHERE k = 1
   UNION ALL
@@ -90,7 +92,7 @@ def align_shift(spark: SparkSession, sf: str) -> DataFrame:
 ) SELECT sorting, unit_id, last::BIGINT AS sample_index FROM f WHERE keep"""
 )
 def dedup_keep_first(spark: SparkSession, sf: str) -> DataFrame:
-    return trains.drop_duplicates(surrogate.detectors(spark, sf, "A").spikes, META.samples(0.3))
+    return trains.drop_duplicates(surrogate.detectors(spark, sf).spikes, META.samples(0.3))
 
 
 @query(f"WITH {ISI_SQL}, o AS (SELECT sorting, unit_id, sample_index, coalesce(sample_index - lag(sample_index) OVER (PARTITION BY sorting, unit_id ORDER BY sample_index) <= 9, false) AS close FROM spikes) SELECT sorting, unit_id, count(*)::BIGINT AS n_spikes, sum(sample_index)::BIGINT AS total FROM o WHERE NOT close GROUP BY ALL")
@@ -115,12 +117,12 @@ def consensus_train(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {SPIKES_SQL}, g AS (SELECT unnest(range(432)) * 1000 AS x)
-SELECT unit_id, x::BIGINT AS "at", round(sum(exp(-((sample_index - x) / 400.0::DOUBLE) * ((sample_index - x) / 400.0::DOUBLE) / 2)) / {400 * math.sqrt(2 * math.pi)!r}::DOUBLE, 6) AS rate
-FROM spikes JOIN g ON sample_index BETWEEN x - 2000 AND x + 2000 WHERE sorting = 'A' GROUP BY ALL"""
+SELECT sorting, unit_id, x::BIGINT AS "at", round(sum(exp(-((sample_index - x) / 400.0::DOUBLE) * ((sample_index - x) / 400.0::DOUBLE) / 2)) / {400 * math.sqrt(2 * math.pi)!r}::DOUBLE, 6) AS rate
+FROM spikes JOIN g ON sample_index BETWEEN x - 2000 AND x + 2000 GROUP BY ALL"""
 )
 def smoothed_rate(spark: SparkSession, sf: str) -> DataFrame:
-    found = trains.smoothed_rate(surrogate.detectors(spark, sf, "A").spikes, ["unit_id"], 0, 432_000, 1000, 400.0)
-    return found.select("unit_id", F.col("at").cast("long").alias("at"), r6("rate").alias("rate"))
+    found = trains.smoothed_rate(surrogate.detectors(spark, sf).spikes, [*UNIT], 0, 432_000, 1000, 400.0)
+    return found.select(*UNIT, F.col("at").cast("long").alias("at"), r6("rate").alias("rate"))
 
 
 # Pairs of trains.
@@ -212,12 +214,27 @@ def cross_contamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("u1", "u2", r6("n_excess").alias("n_excess"), r6("estimate").alias("estimate"))
 
 
-@query()
+def _tail_sql(x: str, n: str, p: str) -> str:
+    """P(X > x) of a binomial with a real number n of trials: the incomplete beta function I_p(x + 1, n - x) as a finite sum, x being whole."""
+    terms = f"list_sum(list_transform(range(0, greatest({x}, 0)::BIGINT + 1), lambda i: exp(lgamma({n} - {x} + i) - lgamma({n} - {x}) - lgamma(i + 1.0) + i * ln({p}))))"
+    return f"CASE WHEN {x} < 0 THEN 1 WHEN {x} >= {n} THEN 0 ELSE greatest(0, 1 - exp(({n} - {x}) * ln(1 - {p})) * {terms}) END"
+
+
+@query(
+    f"""WITH {CONTAMINATION_SQL}, p AS (
+  SELECT a.unit_id AS u1, b.unit_id AS u2,
+    sum({_weight_sql(5.5, 'abs(a.sample_index - b.sample_index)')}) - sum({_weight_sql(1.0, 'abs(a.sample_index - b.sample_index)')}) AS nx
+  FROM rf a JOIN rf b ON a.unit_id < b.unit_id AND a.sample_index BETWEEN b.sample_index - 6 AND b.sample_index + 6 GROUP BY ALL
+), tried AS (
+  SELECT u1, u2, (sign(nx - 1) * floor(abs(nx - 1)))::DOUBLE AS x, c1.n_spikes * c2.n_spikes * ((1 - least(c1.contamination, c2.contamination)) * 0.1::DOUBLE + least(c1.contamination, c2.contamination)) AS n
+  FROM p JOIN cont c1 ON c1.unit_id = u1 JOIN cont c2 ON c2.unit_id = u2
+) SELECT u1, u2, round({_tail_sql("x", "n", f"{11 / 432000!r}::DOUBLE")}, 6) AS p_value FROM tried"""
+)
 def cross_contamination_p_value(spark: SparkSession, sf: str) -> DataFrame:
     data = surrogate.refractory(spark, sf)
     own = metrics.contaminations(data, 1.0, 5.5).select(*UNIT, "value")
     found = metrics.with_p_value(metrics.cross_contaminations(data.spikes, META.t_max, 1.0, 5.5, 0.1, own, same=True).where("u1 < u2"))
-    return found.select("u1", "u2", F.round("p_value", 9).alias("p_value"))
+    return found.select("u1", "u2", r6("p_value").alias("p_value"))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT s1, u1, s2, u2, floor(d / 4.0)::INT AS bin, count(*)::BIGINT AS n FROM pairs WHERE d < 12 GROUP BY ALL")
@@ -226,13 +243,13 @@ def cross_correlogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SPIKES_SQL}, o AS (SELECT *, row_number() OVER () AS id FROM spikes WHERE sorting = 'A')
-SELECT a.unit_id, floor((a.sample_index - b.sample_index) / 50.0)::INT AS bin, count(*)::BIGINT AS n
-FROM o a JOIN o b ON a.unit_id = b.unit_id AND a.id <> b.id AND a.sample_index - b.sample_index >= -200 AND a.sample_index - b.sample_index < 200 GROUP BY ALL"""
+    f"""WITH {SPIKES_SQL}, o AS (SELECT *, row_number() OVER () AS id FROM spikes)
+SELECT a.sorting, a.unit_id, floor((a.sample_index - b.sample_index) / 50.0)::INT AS bin, count(*)::BIGINT AS n
+FROM o a JOIN o b ON a.sorting = b.sorting AND a.unit_id = b.unit_id AND a.id <> b.id AND a.sample_index - b.sample_index >= -200 AND a.sample_index - b.sample_index < 200 GROUP BY ALL"""
 )
 def autocorrelogram(spark: SparkSession, sf: str) -> DataFrame:
-    found = bandjoin.correlogram(surrogate.detectors(spark, sf, "A").spikes, 200, 50, same=True).where("u1 = u2")
-    return found.select(F.col("u1").alias("unit_id"), "bin", "n")
+    found = bandjoin.correlogram(surrogate.detectors(spark, sf).spikes, 200, 50, same=True).where("u1 = u2")
+    return found.select(F.col("s1").alias("sorting"), F.col("u1").alias("unit_id"), "bin", "n")
 
 
 KERNEL = ", ".join(f"({k - len(gaussian_kernel(1.5)) // 2}, {float(w)!r}::DOUBLE)" for k, w in enumerate(gaussian_kernel(1.5)))
@@ -309,14 +326,90 @@ def merged_unit_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbour_pairs(edges).select("s", "u", "other_s", "v1", "v2")
 
 
+def _dirt_sql(name: str, censored: float, refractory: float) -> str:
+    """CTEs that give name(sorting, unit_id, n_spikes, c): the contamination of every unit of spikes."""
+    return f"""{name}_o AS (
+  SELECT *, row_number() OVER (PARTITION BY sorting, unit_id ORDER BY sample_index) AS k FROM spikes
+), {name}_v AS (
+  SELECT a.sorting, a.unit_id, sum({_weight_sql(refractory, '(b.sample_index - a.sample_index)')}) AS nv FROM {name}_o a JOIN {name}_o b
+  ON a.sorting = b.sorting AND a.unit_id = b.unit_id AND a.k < b.k AND b.sample_index - a.sample_index <= {math.ceil(refractory)} GROUP BY ALL
+), {name}_l AS (
+  SELECT sorting, unit_id, n_spikes, 1 - coalesce(nv, 0) * (432000 - 2 * n_spikes * {censored!r}::DOUBLE) / (n_spikes * n_spikes * {refractory - censored!r}::DOUBLE) AS left_
+  FROM counts LEFT JOIN {name}_v USING (sorting, unit_id)
+), {name} AS (
+  SELECT sorting, unit_id, n_spikes, CASE WHEN left_ < 0 THEN 1 ELSE 1 - sqrt(greatest(left_, 0)) END AS c FROM {name}_l
+)"""
+
+
+def _cross_sql(name: str, wanted: str, censored: float, refractory: float, limit: float, dirt: str, reference: str) -> str:
+    """CTEs that give name(s1, u1, s2, u2, shift, estimate, p_value) of wanted pairs; reference: the contamination that counts, of a (unit 1) and b."""
+    p, d = f"{2 * refractory / 432000!r}::DOUBLE", "abs(x.sample_index - shift - y.sample_index)"
+    return f"""{name}_n AS (
+  SELECT s1, u1, s2, u2, shift, sum({_weight_sql(refractory, d)}) - sum({_weight_sql(censored, d)}) AS nx
+  FROM {wanted} JOIN spikes x ON x.sorting = s1 AND x.unit_id = u1 JOIN spikes y ON y.sorting = s2 AND y.unit_id = u2
+    AND x.sample_index - shift BETWEEN y.sample_index - {math.ceil(refractory)} AND y.sample_index + {math.ceil(refractory)} GROUP BY ALL
+), {name}_q AS (
+  SELECT w.*, coalesce(nx, 0) AS nx, {reference} AS c, a.n_spikes * b.n_spikes AS trials FROM {wanted} w LEFT JOIN {name}_n USING (s1, u1, s2, u2, shift)
+  JOIN {dirt} a ON a.sorting = s1 AND a.unit_id = u1 JOIN {dirt} b ON b.sorting = s2 AND b.unit_id = u2
+), {name}_x AS (
+  SELECT *, (sign(nx - 1) * floor(abs(nx - 1)))::DOUBLE AS x, trials * ((1 - c) * {limit!r}::DOUBLE + c) AS n FROM {name}_q
+), {name} AS (
+  SELECT s1, u1, s2, u2, shift, (nx * 432000 / (2 * trials * {refractory!r}::DOUBLE) - c) / CASE WHEN c <> 1 THEN 1 - c END AS estimate, {_tail_sql("x", "n", p)} AS p_value FROM {name}_x
+)"""
+
+
+MERGED_SQL = f"""{COMPARED_SQL.replace(SPIKES_SQL, MERGING_SQL)}, edges AS (SELECT * FROM cmp WHERE agreement >= 0.3), {_dirt_sql("dirt", 1.0, 30.0)}, {_dirt_sql("longer", 12.0, 54.0)}, ways AS (
+  SELECT s1 AS s, u1 AS u, s2 AS os, u2 AS ou FROM edges UNION ALL SELECT s2, u2, s1, u1 FROM edges
+), trio AS (
+  SELECT a.s, a.u, a.os, a.ou AS v1, b.ou AS v2, CASE WHEN a.s = 'M' THEN 2 WHEN a.os = 'M' THEN -2 ELSE 0 END AS shift FROM ways a JOIN ways b ON a.s = b.s AND a.u = b.u AND a.os = b.os AND a.ou < b.ou
+), two AS (
+  SELECT DISTINCT os AS s1, v1 AS u1, os AS s2, v2 AS u2, 0 AS shift FROM trio
+), each AS (
+  SELECT DISTINCT s AS s1, u AS u1, os AS s2, v1 AS u2, shift FROM trio UNION SELECT s, u, os, v2, shift FROM trio
+), {_cross_sql("inside", "two", 1.0, 30.0, 0.1, "dirt", "least(a.c, b.c)")}, {_cross_sql("near", "each", 12.0, 54.0, 0.1, "longer", "a.c")}, j AS (
+  SELECT t.*, i.p_value, x.c, 1 + (t.u % 4) * 0.1::DOUBLE AS sd, a.c AS c1, 1 + (v1 % 4) * 0.1::DOUBLE AS sd1, b.c AS c2, 1 + (v2 % 4) * 0.1::DOUBLE AS sd2,
+    CASE WHEN b.c < a.c THEN n2.p_value ELSE n1.p_value END AS pa, CASE WHEN b.c < a.c THEN n1.p_value ELSE n2.p_value END AS pb,
+    CASE WHEN b.c < a.c THEN n2.estimate ELSE n1.estimate END AS ea, CASE WHEN b.c < a.c THEN n1.estimate ELSE n2.estimate END AS eb
+  FROM trio t JOIN inside i ON i.s1 = os AND i.u1 = v1 AND i.u2 = v2
+  JOIN near n1 ON n1.s1 = s AND n1.u1 = u AND n1.s2 = os AND n1.u2 = v1 JOIN near n2 ON n2.s1 = s AND n2.u1 = u AND n2.s2 = os AND n2.u2 = v2
+  JOIN dirt x ON x.sorting = s AND x.unit_id = u JOIN dirt a ON a.sorting = os AND a.unit_id = v1 JOIN dirt b ON b.sorting = os AND b.unit_id = v2
+), k AS (
+  SELECT *, CASE WHEN p_value > 5e-3 THEN 'split' WHEN c > greatest(c1, c2) AND (p_value < 1e-8 OR (p_value < 5e-3 AND sd > greatest(sd1, sd2))) THEN 'node'
+    WHEN pa < 5e-3 AND eb < 0.1 AND c1 > c + 0.03::DOUBLE THEN 'neighbour 1' WHEN pb < 5e-3 AND ea < 0.1 AND c2 > c + 0.03::DOUBLE THEN 'neighbour 2' ELSE 'unclear' END AS verdict FROM j
+), f AS (
+  SELECT *, coalesce(max((verdict = 'node')::INT) OVER (PARTITION BY s, u ORDER BY os, v1, v2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS late FROM k
+)"""
+
+
+def _merging_graph(spark: SparkSession, sf: str):
+    data = surrogate.merging_detectors(spark, sf)
+    units = graph.settle(data.units.select(*UNIT))
+    shifts = units.toDF("s1", "u1").join(units.toDF("s2", "u2"), F.col("s1") < F.col("s2")).withColumn("shift", F.when(F.col("s1") == "M", 2).otherwise(0))
+    edges = graph.settle(metrics.compared(data, WINDOW).where("agreement >= 0.3"))
+    nodes = metrics.contaminations(data, 1.0, 30.0).select(*UNIT, F.col("value").alias("contamination"), (1 + (F.col("unit_id") % 4) * F.lit(0.1)).alias("sd_ratio"))
+    return graph.merged_units(data, edges, nodes, graph.settle(shifts), 1.0, 30.0, 0.1)
+
+
+@query(f"WITH {MERGED_SQL} SELECT s, u, os AS other_s, v1, v2, verdict FROM f WHERE late = 0")
+def merged_unit_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """What is said of each node with two neighbours of one sorting: split, node, neighbour 1 or 2, unclear."""
+    return _merging_graph(spark, sf)[1].select("s", "u", "other_s", "v1", "v2", "verdict")
+
+
+@query(f"WITH {MERGED_SQL} SELECT s AS sorting, u AS unit_id FROM f WHERE late = 0 AND verdict = 'node' UNION SELECT os, v1 FROM f WHERE late = 0 AND verdict = 'neighbour 1' UNION SELECT os, v2 FROM f WHERE late = 0 AND verdict = 'neighbour 2'")
+def merged_units(spark: SparkSession, sf: str) -> DataFrame:
+    """The units that go from the graph because they merge two neurons, or because their like shows them to be dirty."""
+    return _merging_graph(spark, sf)[0]
+
+
 CLEAN_SQL = f"""{COMPARED_SQL}, nodes AS (
   SELECT sorting, unit_id, (unit_id % 5) * 0.05::DOUBLE AS contamination, 1 + (unit_id % 4) * 0.1::DOUBLE AS sd_ratio FROM counts
 ), edges AS (
-  SELECT s1, u1, s2, u2, agreement, n_coinc / least(n1, n2)::DOUBLE AS similarity, ((u1 + u2) % 6) * 0.06::DOUBLE AS temp_diff, ((u1 * u2) % 5) * 0.03::DOUBLE AS corr_diff, ((u1 + 2 * u2) % 10) * 0.1::DOUBLE AS p_value
+  SELECT s1, u1, s2, u2, agreement, n_coinc / least(n1, n2)::DOUBLE AS similarity, ((u1 + u2) % 6) * 0.06::DOUBLE AS temp_diff, ((u1 * u2) % 7) * 0.03::DOUBLE AS corr_diff, ((u1 + 2 * u2) % 10) * 0.1::DOUBLE AS p_value
   FROM cmp WHERE agreement >= 0.1
 ), j AS (
   SELECT e.*, a.contamination AS c1, a.sd_ratio AS sd1, b.contamination AS c2, b.sd_ratio AS sd2,
-    (p_value < 5e-3 AND temp_diff > 0.12 AND corr_diff > 0.06) OR (p_value < 0.8 AND similarity < 0.6 AND temp_diff > 0.05 AND corr_diff > 0.05) OR temp_diff > 0.25 AS problem
+    (p_value < 5e-3 AND temp_diff > 0.10 AND corr_diff > 0.12) OR (p_value < 0.8 AND similarity < 0.6 AND temp_diff > 0.05 AND corr_diff > 0.05) OR temp_diff > 0.25 AS problem
   FROM edges e JOIN nodes a ON a.sorting = s1 AND a.unit_id = u1 JOIN nodes b ON b.sorting = s2 AND b.unit_id = u2
 ), k AS (
   SELECT *, CASE WHEN problem AND sd1 - sd2 > (c2 - c1) * {0.2 / 0.08!r}::DOUBLE + 0.2::DOUBLE AND sd1 > 1.05::DOUBLE THEN 'node1'
@@ -332,7 +425,7 @@ def clean_edges(spark: SparkSession, sf: str) -> DataFrame:
     data = surrogate.detectors(spark, sf)
     nodes = data.units.select(*UNIT, ((F.col("unit_id") % 5) * F.lit(0.05)).alias("contamination"), (1 + (F.col("unit_id") % 4) * F.lit(0.1)).alias("sd_ratio"))
     e = metrics.compared(data, WINDOW, chance=False).where("agreement >= 0.1")
-    e = e.withColumn("temp_diff", ((F.col("u1") + F.col("u2")) % 6) * F.lit(0.06)).withColumn("corr_diff", ((F.col("u1") * F.col("u2")) % 5) * F.lit(0.03))
+    e = e.withColumn("temp_diff", ((F.col("u1") + F.col("u2")) % 6) * F.lit(0.06)).withColumn("corr_diff", ((F.col("u1") * F.col("u2")) % 7) * F.lit(0.03))
     e = e.withColumn("p_value", ((F.col("u1") + 2 * F.col("u2")) % 10) * F.lit(0.1))
     _, edges, _ = graph.clean_edges(nodes, e)
     return edges.select(*bandjoin.PAIR)
@@ -367,16 +460,49 @@ def redundant_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("s1", "u1", "u2", r6("similarity").alias("similarity"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {REFRACTORY_SQL}, spikes AS (
+  SELECT unit_id, sample_index FROM rf UNION ALL SELECT unit_id + 100, sample_index FROM rf WHERE unit_id < 4 AND sample_index % 5 <> 0
+  UNION ALL SELECT unit_id + 200, sample_index FROM rf WHERE unit_id BETWEEN 4 AND 7 AND sample_index % 4 = 0
+), o AS (
+  SELECT unit_id, sample_index AS t, row_number() OVER (PARTITION BY unit_id ORDER BY sample_index) AS k FROM spikes
+), v AS (
+  SELECT a.unit_id, sum({_weight_sql(5.5, '(b.t - a.t)')}) AS nv FROM o a JOIN o b ON a.unit_id = b.unit_id AND a.k < b.k AND b.t - a.t <= 6 GROUP BY ALL
+), n AS (
+  SELECT unit_id, count(*) AS n_spikes FROM spikes GROUP BY ALL
+), z AS (
+  SELECT unit_id, n_spikes, 1 - coalesce(nv, 0) * (432000 - 2 * n_spikes * 1.0::DOUBLE) / (n_spikes * n_spikes * 4.5::DOUBLE) AS left_ FROM n LEFT JOIN v USING (unit_id)
+), scores AS (
+  SELECT unit_id, n_spikes, n_spikes * (1 - 3.5 * CASE WHEN left_ < 0 THEN 1 ELSE 1 - sqrt(greatest(left_, 0)) END) AS score FROM z
+), near AS (
+  SELECT a.unit_id AS u1, b.unit_id AS u2, count(*) AS nc FROM spikes a JOIN spikes b ON a.unit_id < b.unit_id AND a.sample_index BETWEEN b.sample_index - {WINDOW} AND b.sample_index + {WINDOW} GROUP BY ALL
+), pairs AS (
+  SELECT u1, u2, nc / (a.n_spikes + b.n_spikes - nc)::DOUBLE AS agreement, nc / least(a.n_spikes, b.n_spikes)::DOUBLE AS similarity, a.score AS score1, b.score AS score2
+  FROM near JOIN scores a ON a.unit_id = u1 JOIN scores b ON b.unit_id = u2
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY u2, u1) AS k FROM pairs WHERE agreement > 0.5
+), g AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS gone
+  UNION ALL SELECT r.k, CASE WHEN list_contains(gone, u1) OR list_contains(gone, u2) THEN gone ELSE list_append(gone, CASE WHEN score2 > score1 THEN u1 ELSE u2 END) END FROM g JOIN ranked r ON r.k = g.k + 1
+), left_ AS (
+  SELECT unit_id, score FROM scores WHERE NOT list_contains((SELECT gone FROM g ORDER BY k DESC LIMIT 1), unit_id)
+), links AS (
+  SELECT u1 AS a, u2 AS b FROM pairs WHERE similarity > 0.75 AND u1 IN (SELECT unit_id FROM left_) AND u2 IN (SELECT unit_id FROM left_)
+), reach AS (
+  SELECT unit_id AS a, unit_id AS b FROM left_ UNION SELECT r.a, w.b FROM reach r JOIN (FROM links UNION ALL SELECT b, a FROM links) w(a, b) ON r.b = w.a
+), groups AS (
+  SELECT a AS unit_id, min(b) AS component FROM reach GROUP BY ALL
+) SELECT 'V' AS sorting, unit_id FROM groups JOIN left_ USING (unit_id) QUALIFY row_number() OVER (PARTITION BY component ORDER BY score DESC, unit_id) = 1"""
+)
 def remove_redundant(spark: SparkSession, sf: str) -> DataFrame:
-    return merging.remove_redundant(surrogate.refractory(spark, sf), WINDOW, 1.0, 5.5)
+    return merging.remove_redundant(graph.settled(surrogate.redundant_sorting(spark, sf)), WINDOW, 1.0, 5.5)
 
 
 @query()
 def communities(spark: SparkSession, sf: str) -> DataFrame:
     data = surrogate.detectors(spark, sf)
     edges = graph.settle(metrics.compared(data, WINDOW).where("agreement >= 0.05"))
-    _, kept = graph.separate_communities(data.units.select(*UNIT), edges, 1)
+    _, kept, _ = graph.separate_communities(data.units.select(*UNIT), edges, 1)
     return kept.select(*bandjoin.PAIR, r6("agreement").alias("agreement"))
 
 
@@ -385,13 +511,12 @@ def merge_split_units(spark: SparkSession, sf: str) -> DataFrame:
     data = surrogate.refractory(spark, sf)
     units = data.units.select(*UNIT)
     pairs = units.toDF("s1", "u1").join(units.toDF("s2", "u2"), (F.col("s1") == F.col("s2")) & (F.col("u2") == F.col("u1") + 6))
-    out = merging.merge_split_units(data, pairs, 1.0, 5.5, 2.0)
-    return out.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_spikes"))
+    return merging.merge_split_units(data, graph.settle(pairs), 1.0, 5.5, 2.0)[0]
 
 
-@query(f"WITH {SPIKES_SQL}, s AS (SELECT sorting, unit_id, n_spikes, (unit_id * 7) % 5 AS m FROM counts WHERE sorting <> 'C'), p AS (SELECT a.sorting AS s1, a.unit_id AS u1, b.unit_id AS u2, a.n_spikes AS n1, b.n_spikes AS n2, (a.n_spikes + b.n_spikes) // 2 AS merged FROM s a JOIN s b ON a.sorting = b.sorting AND b.unit_id = a.unit_id + 1) SELECT DISTINCT s1 AS sorting, CASE WHEN n1 < n2 THEN u1 ELSE u2 END AS unit_id FROM p WHERE merged < greatest(n1, n2)")
+@query(f"WITH {SPIKES_SQL}, s AS (SELECT sorting, unit_id, n_spikes, (unit_id * 7) % 5 AS m FROM counts), p AS (SELECT a.sorting AS s1, a.unit_id AS u1, b.unit_id AS u2, a.n_spikes AS n1, b.n_spikes AS n2, (a.n_spikes + b.n_spikes) // 2 AS merged FROM s a JOIN s b ON a.sorting = b.sorting AND b.unit_id = a.unit_id + 1) SELECT DISTINCT s1 AS sorting, CASE WHEN n1 < n2 THEN u1 ELSE u2 END AS unit_id FROM p WHERE merged < greatest(n1, n2)")
 def remove_splits(spark: SparkSession, sf: str) -> DataFrame:
-    counts = unit_counts(surrogate.detectors(spark, sf, "AB").spikes)
+    counts = unit_counts(surrogate.detectors(spark, sf).spikes)
     scores = counts.select(*UNIT, F.col("n_spikes").alias("score"))
     one, two = counts.toDF("s1", "u1", "n1"), counts.toDF("s2", "u2", "n2")
     pairs = one.join(two, (F.col("s1") == F.col("s2")) & (F.col("u2") == F.col("u1") + 1))
@@ -404,8 +529,7 @@ def merged_sorting(spark: SparkSession, sf: str) -> DataFrame:
     from eventloom.pipeline import Pipeline
 
     steps = {"remove_duplicated_spikes": {"all": {"censored_period": 0.05}}, "merge_sortings": {"all": {"refractory_period": [0.05, 0.2], "similarity": {"window": 0.1}, "max_shift": 0.4}}}
-    out = Pipeline(surrogate.refractory_detectors(spark, sf), steps).run()
-    return out.spikes.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_spikes"))
+    return Pipeline(surrogate.refractory_detectors(spark, sf), steps).run().spikes
 
 
 # Rules, tags and ids.
@@ -444,14 +568,14 @@ def bad_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SPIKES_SQL}, a AS (SELECT unit_id FROM counts WHERE sorting = 'A' AND unit_id < 8), b AS (SELECT unit_id + 4 AS unit_id FROM counts WHERE sorting = 'B'),
+    f"""WITH {SPIKES_SQL}, a AS (SELECT unit_id FROM counts WHERE sorting = 'A'), b AS (SELECT unit_id + 4 AS unit_id FROM counts WHERE sorting = 'B'),
 top AS (SELECT max(unit_id) AS m FROM (FROM a UNION ALL FROM b)), c AS (SELECT b.unit_id, a.unit_id IS NOT NULL AS clash FROM b LEFT JOIN a USING (unit_id))
 SELECT unit_id, unit_id AS new_unit_id, 1 AS side FROM a
 UNION ALL SELECT unit_id, CASE WHEN clash THEN m + row_number() OVER (PARTITION BY clash ORDER BY unit_id) ELSE unit_id END, 2 FROM c, top"""
 )
 def union_renumber(spark: SparkSession, sf: str) -> DataFrame:
     units = surrogate.detectors(spark, sf).units
-    first = units.where("sorting = 'A' and unit_id < 8").select("unit_id")
+    first = units.where("sorting = 'A'").select("unit_id")
     second = units.where("sorting = 'B'").select((F.col("unit_id") + 4).alias("unit_id"))
     return selection.union_renumbered(first, second)
 
@@ -522,13 +646,13 @@ def template_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {SPIKES_SQL}, o AS (
-  SELECT *, row_number() OVER () AS id FROM spikes WHERE sorting <> 'C'
+  SELECT *, row_number() OVER () AS id FROM spikes
 ), raw AS (
   SELECT a.sorting AS s1, a.unit_id AS u1, b.sorting AS s2, b.unit_id AS u2, floor((a.sample_index - b.sample_index) / 20.0)::INT AS bin, count(*) AS n
   FROM o a JOIN o b ON (a.sorting < b.sorting OR (a.sorting = b.sorting AND a.unit_id = b.unit_id AND a.id <> b.id))
     AND a.sample_index - b.sample_index >= -200 AND a.sample_index - b.sample_index < 200 GROUP BY ALL
 ), wanted AS (
-  SELECT DISTINCT s1, u1, s2, u2 FROM raw WHERE s1 <> s2 UNION SELECT sorting, unit_id, sorting, unit_id FROM counts WHERE sorting <> 'C'
+  SELECT DISTINCT s1, u1, s2, u2 FROM raw WHERE s1 <> s2 UNION SELECT sorting, unit_id, sorting, unit_id FROM counts
 ), dense AS (
   SELECT w.*, b::INT AS bin, coalesce(n, 0) AS n FROM wanted w CROSS JOIN range(-10, 10) AS g(b) LEFT JOIN raw r ON r.s1 = w.s1 AND r.u1 = w.u1 AND r.s2 = w.s2 AND r.u2 = w.u2 AND r.bin = b
 ), flat AS (
@@ -544,11 +668,56 @@ JOIN auto x ON x.s = f.s1 AND x.u = f.u1 AND x.bin = f.bin JOIN auto y ON y.s =
 WHERE f.s1 <> f.s2 AND abs(f.bin) <= round((a.w * a.n + b.w * b.n) / (a.n + b.n)::DOUBLE) GROUP BY f.s1, f.u1, f.s2, f.u2"""
 )
 def correlogram_diff(spark: SparkSession, sf: str) -> DataFrame:
-    data = surrogate.detectors(spark, sf, "AB")
+    data = surrogate.detectors(spark, sf)
     across = bandjoin.correlogram(data.spikes, 200, 20)
-    own = bandjoin.correlogram(data.spikes, 200, 20, same=True).where("u1 = u2")
-    pairs = across.select(*bandjoin.PAIR).distinct()
-    found = waves.correlogram_differences(graph.settle(across.unionByName(own)), graph.settle(pairs), unit_counts(data.spikes), 10)
+    pairs = graph.settle(across.select(*bandjoin.PAIR).distinct())
+    found = merging.pair_correlogram_differences(data.spikes, pairs, unit_counts(data.spikes), 10, 20, 0.5, 0.0)
+    return found.select(*bandjoin.PAIR, r6("difference").alias("difference"))
+
+
+EDGE_BINS, EDGE_MARGIN = 210, MAX_SHIFT + 1
+EDGE_KERNEL = ", ".join(f"({k - len(gaussian_kernel(3.0)) // 2}, {float(w)!r}::DOUBLE)" for k, w in enumerate(gaussian_kernel(3.0)))
+
+
+@query(
+    f"""WITH {SHIFT_SQL}, edge AS (
+  SELECT c.s1, c.u1, c.s2, c.u2, coalesce(shift, 0) AS shift
+  FROM (SELECT s1, u1, s2, u2, count(*) AS n FROM pairs WHERE abs(d) <= {WINDOW} GROUP BY ALL) c JOIN counts a ON a.sorting = s1 AND a.unit_id = u1 JOIN counts b ON b.sorting = s2 AND b.unit_id = u2
+  LEFT JOIN shifts USING (s1, u1, s2, u2) WHERE n / (a.n_spikes + b.n_spikes - n)::DOUBLE >= 0.1
+), ends AS (
+  SELECT s1 AS s, u1 AS u FROM edge UNION SELECT s2, u2 FROM edge
+), wanted AS (
+  SELECT s1, u1, s2, u2, shift, true AS crossing FROM edge UNION ALL SELECT s, u, s, u, 0, false FROM ends
+), o AS (
+  SELECT *, row_number() OVER () AS id FROM spikes
+), raw AS (
+  SELECT s1, u1, s2, u2, (a.sample_index - b.sample_index)::INT AS bin, count(*)::DOUBLE AS n
+  FROM wanted JOIN o a ON a.sorting = s1 AND a.unit_id = u1 JOIN o b ON b.sorting = s2 AND b.unit_id = u2 AND a.id <> b.id
+    AND a.sample_index - b.sample_index >= -{EDGE_BINS} AND a.sample_index - b.sample_index < {EDGE_BINS} GROUP BY ALL
+), ek(o, w) AS (VALUES {EDGE_KERNEL}), soft AS (
+  SELECT s1, u1, s2, u2, bin + o AS bin, sum(n * w) AS v FROM raw JOIN wanted USING (s1, u1, s2, u2), ek
+  WHERE NOT (crossing AND bin >= -{WINDOW} AND bin < {WINDOW}) AND bin + o >= -{EDGE_BINS} AND bin + o < {EDGE_BINS} GROUP BY ALL
+), dense AS (
+  SELECT w.*, g.r::INT AS r, coalesce(v, 0) AS v FROM wanted w CROSS JOIN range(-{EDGE_BINS - EDGE_MARGIN}, {EDGE_BINS - EDGE_MARGIN}) AS g(r)
+  LEFT JOIN soft f ON f.s1 = w.s1 AND f.u1 = w.u1 AND f.s2 = w.s2 AND f.u2 = w.u2 AND f.bin = g.r + w.shift
+), flat AS (
+  SELECT *, coalesce(v / nullif(avg(v) OVER (PARTITION BY s1, u1, s2, u2), 0), 0) AS h FROM dense
+), auto AS (
+  SELECT s1 AS s, u1 AS u, r, h, max(h) OVER (PARTITION BY s1, u1) AS top FROM flat WHERE NOT crossing
+), wide AS (
+  SELECT s, u, max(abs(r)) AS w, any_value(n_spikes) AS n FROM auto JOIN counts ON sorting = s AND unit_id = u WHERE h >= 0.5 * top GROUP BY ALL
+)
+SELECT f.s1, f.u1, f.s2, f.u2, round((avg(abs(f.h - x.h)) * any_value(a.n) + avg(abs(f.h - y.h)) * any_value(b.n)) / (any_value(a.n) + any_value(b.n)), 6) AS difference
+FROM flat f JOIN wide a ON a.s = f.s1 AND a.u = f.u1 JOIN wide b ON b.s = f.s2 AND b.u = f.u2
+JOIN auto x ON x.s = f.s1 AND x.u = f.u1 AND x.r = f.r JOIN auto y ON y.s = f.s2 AND y.u = f.u2 AND y.r = f.r
+WHERE f.crossing AND abs(f.r) <= floor((a.w * a.n + b.w * b.n) / (a.n + b.n)::DOUBLE + 0.5) GROUP BY f.s1, f.u1, f.s2, f.u2"""
+)
+def edge_correlogram_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlograms of the edges of a graph: emptied around lag 0, smoothed, cropped about the shift of the edge."""
+    data = surrogate.detectors(spark, sf)
+    shifts = graph.settle(trains.cross_shifts(data.spikes, MAX_SHIFT))
+    edges = metrics.compared(data, WINDOW).where("agreement >= 0.1").select(*bandjoin.PAIR).join(shifts, list(bandjoin.PAIR), "left").fillna({"shift": 0})
+    found = merging.edge_correlogram_differences(data.spikes, graph.settle(edges), unit_counts(data.spikes), META, EDGE_BINS / 30, None, 0.1, 5.0, WINDOW, MAX_SHIFT)
     return found.select(*bandjoin.PAIR, r6("difference").alias("difference"))
 
 
@@ -565,23 +734,31 @@ def noise_level(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH f AS (SELECT vec_id * 8 + k // 8 AS frame, (k % 8)::INT AS channel, v FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings)),
-e AS (SELECT label::BIGINT AS unit_id, vec_id * 8 + 3 AS t FROM embeddings WHERE vec_id % 3 = 0)
+e AS (SELECT label::BIGINT AS unit_id, vec_id * 8 + 3 AS t FROM embeddings)
 SELECT unit_id, s::INT AS sample, channel, round(avg(v), 6) AS value FROM e, range(6) AS g(s) JOIN f ON f.frame = t - 2 + s GROUP BY ALL"""
 )
 def recording_template(spark: SparkSession, sf: str) -> DataFrame:
     from eventloom.meta import RecordingMeta, dataset
 
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 3 = 0")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
     events = rows.select(F.lit("T").alias("sorting"), F.col("label").cast("long").alias("unit_id"), (F.col("vec_id") * 8 + 3).alias("sample_index"))
     data = dataset(events, RecordingMeta(30_000.0, 1 << 40), recording=surrogate.recording(spark, sf))
     found = waves.mean_waveforms(data, 2, 4, most=1 << 30)
     return found.select("unit_id", "sample", "channel", r6("value").alias("value"))
 
 
-@query()
-def filtered_template(spark: SparkSession, sf: str) -> DataFrame:
-    from eventloom.functions.signal import filter_templates
+def _circular(band: tuple[float, float]) -> str:
+    """(o, w): the band-pass of templates as weights of a circular convolution."""
+    impulse = np.zeros(surrogate.SAMPLES)
+    impulse[0] = 1.0
+    return ", ".join(f"({k}, {float(w)!r}::DOUBLE)" for k, w in enumerate(band_pass(impulse, band, META.fs)))
+
 
+@query(
+    f"""WITH {TEMPLATES_SQL}, weights(o, w) AS (VALUES {_circular((300.0, 6000.0))})
+SELECT unit_id, ((sample + o) % 8)::INT AS sample, channel, round(sum(value * w), 6) AS value FROM templates, weights GROUP BY ALL"""
+)
+def filtered_template(spark: SparkSession, sf: str) -> DataFrame:
     found = filter_templates(surrogate.templates(spark, sf), (300.0, 6000.0), META.fs)
     return found.select("unit_id", "sample", "channel", r6("value").alias("value"))
 
@@ -589,7 +766,7 @@ def filtered_template(spark: SparkSession, sf: str) -> DataFrame:
 FRAMES_SQL = """f AS (
   SELECT vec_id * 8 + k // 8 AS frame, (k % 8)::INT AS channel, v FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings)
 ), e AS (
-  SELECT label::BIGINT AS unit_id, vec_id * 8 + 3 AS t FROM embeddings WHERE vec_id % 3 = 0
+  SELECT label::BIGINT AS unit_id, vec_id * 8 + 3 AS t FROM embeddings
 ), middle AS (
   SELECT channel, median(v) AS m, stddev(v) AS sd FROM f GROUP BY ALL
 ), noise AS (
@@ -603,7 +780,7 @@ BEST_SQL = f"""{PEAKS_SQL}, {FRAMES_SQL}, best AS (SELECT unit_id, channel FROM
 def _recorded(spark: SparkSession, sf: str):
     from eventloom.meta import RecordingMeta, dataset
 
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 3 = 0")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
     events = rows.select(F.lit("T").alias("sorting"), F.col("label").cast("long").alias("unit_id"), (F.col("vec_id") * 8 + 3).alias("sample_index"))
     chunks = surrogate.recording(spark, sf)
     chunks = chunks.withColumn("samples", F.col("samples").cast("array<array<double>>"))
@@ -638,10 +815,29 @@ def unit_location(spark: SparkSession, sf: str) -> DataFrame:
     return waves.unit_locations(surrogate.templates(spark, sf), channels).select("unit_id", r6("x").alias("x"), r6("y").alias("y"))
 
 
-@query()
+@query(f"WITH {SPIKES_SQL} SELECT sorting, unit_id, sample_index FROM spikes QUALIFY row_number() OVER (PARTITION BY sorting, unit_id ORDER BY md5('0:' || sample_index), sample_index) <= 50")
 def sampled_spikes(spark: SparkSession, sf: str) -> DataFrame:
-    kept = waves.sampled_spikes(surrogate.detectors(spark, sf).spikes, 50)
-    return kept.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_spikes"))
+    return waves.sampled_spikes(surrogate.detectors(spark, sf).spikes, 50)
+
+
+@query(
+    """WITH f AS (SELECT vec_id * 8 + k // 8 AS frame, (k % 8)::INT AS channel, v FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings))
+SELECT frame, CASE channel WHEN 6 THEN 0 WHEN 1 THEN 1 ELSE 2 END::INT AS channel, round(v, 6) AS value FROM f WHERE channel IN (1, 3, 6)"""
+)
+def channel_slice(spark: SparkSession, sf: str) -> DataFrame:
+    part = selection.channel_slice(_recorded(spark, sf), [6, 1, 3])
+    return waves.long_recording(part.recording).select("frame", "channel", r6("value").alias("value"))
+
+
+@query(
+    """WITH f AS (SELECT vec_id * 8 + k // 8 AS frame, (k % 8)::INT AS channel, v FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings))
+SELECT frame, channel, round(v - median(v) OVER (PARTITION BY frame), 4) AS value FROM f"""
+)
+def common_reference(spark: SparkSession, sf: str) -> DataFrame:
+    from eventloom.sources.tables import common_reference as centred
+
+    chunks = _recorded(spark, sf).recording
+    return waves.long_recording(centred(chunks, META)).select("frame", "channel", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query(f"WITH {SPIKES_SQL} SELECT sorting, unit_id, count(*)::BIGINT AS n_spikes, sum(sample_index - 100000)::BIGINT AS total FROM spikes WHERE sample_index >= 100000 AND sample_index < 300000 GROUP BY ALL")
@@ -651,17 +847,26 @@ def frame_slice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SELF_SQL}, p AS (SELECT u1, u2, row_number() OVER (ORDER BY u1, u2) AS k FROM near WHERE s1 = 'A'), w AS (SELECT k, u1 AS unit_id, u2 AS o FROM p UNION ALL SELECT k, u2, u1 FROM p)
-SELECT unit_id, string_agg(o::VARCHAR, ',' ORDER BY k) AS partners FROM w WHERE unit_id < 6 GROUP BY ALL"""
+    f"""WITH {SELF_SQL}, p AS (SELECT s1, u1, u2, row_number() OVER (PARTITION BY s1 ORDER BY u1, u2) AS k FROM near), w AS (SELECT s1, k, u1 AS unit_id, u2 AS o FROM p UNION ALL SELECT s1, k, u2, u1 FROM p)
+SELECT s1 AS sorting, w.unit_id, string_agg(o::VARCHAR, ',' ORDER BY k) AS partners FROM w JOIN counts c ON c.sorting = s1 AND c.unit_id = w.unit_id
+WHERE n_spikes < (SELECT avg(n_spikes) FROM counts m WHERE m.sorting = s1) GROUP BY ALL"""
 )
 def redundancies(spark: SparkSession, sf: str) -> DataFrame:
+    """The partners of units that have fewer events than their sorting's mean, as if those had been removed."""
     from pyspark.sql import Window
 
-    data = surrogate.detectors(spark, sf, "A")
+    data = surrogate.detectors(spark, sf)
+    ids = graph.settle(selection.dense_ids(data.units))
     pairs = bandjoin.coincidences(data.spikes, WINDOW, same=True).where("u1 < u2")
-    numbered = pairs.select(F.row_number().over(Window.orderBy("u1", "u2")).alias("position"), F.col("u1").alias("a"), F.col("u2").alias("b"))
-    found = graph.redundancies(data.units.where("unit_id < 6").select("unit_id"), numbered)
-    return found.select("unit_id", F.concat_ws(",", F.transform("partners", lambda x: x.cast("string"))).alias("partners"))
+    for k in ("1", "2"):
+        pairs = pairs.join(ids.toDF(f"s{k}", f"u{k}", f"id{k}"), [f"s{k}", f"u{k}"])
+    numbered = pairs.select(F.row_number().over(Window.orderBy("id1", "id2")).alias("position"), F.col("id1").alias("a"), F.col("id2").alias("b"))
+    mean = F.avg("n_spikes").over(Window.partitionBy("sorting"))
+    few = unit_counts(data.spikes).withColumn("few", F.col("n_spikes") < mean).where("few").join(ids, [*UNIT])
+    found = graph.redundancies(few.select(F.col("new_id").alias("unit_id")), numbered).withColumnRenamed("unit_id", "new_id")
+    names = F.transform("partners", lambda x: F.element_at("names", x).cast("string"))
+    every = ids.agg(F.map_from_entries(F.collect_list(F.struct("new_id", "unit_id"))).alias("names"))  # one row, of the size of the units
+    return found.join(ids, "new_id").join(every).select(*UNIT, F.concat_ws(",", names).alias("partners"))
 
 
 @query()
@@ -669,29 +874,34 @@ def merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """The whole merge_units step on one detector."""
     from eventloom.pipeline import Pipeline
 
-    out = Pipeline(surrogate.refractory(spark, sf), {"merge_units": {"all": {"refractory_period": [0.05, 0.2], "correlograms": {"window_ms": 20.0, "bin_ms": 1.0}}}}).run()
-    return out.spikes.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_spikes"))
+    steps = {"merge_units": {"all": {"refractory_period": [0.05, 0.2], "correlograms": {"window_ms": 20.0, "bin_ms": 1.0}, "auto_merge_params": {"steps_params": {"correlogram": {"corr_diff_thresh": 0.5}}}}}}
+    return Pipeline(surrogate.merging_detectors(spark, sf), steps).run().spikes
 
 
-PAUSE_SQL = f"""{SPIKES_SQL}, fast AS (SELECT unit_id FROM counts WHERE sorting = 'A' AND unit_id < 8), slow AS (SELECT unit_id FROM counts WHERE sorting = 'A'), grid AS (
-  SELECT f.unit_id AS u1, s.unit_id AS u2, b::INT AS bin FROM fast f JOIN slow s ON f.unit_id <> s.unit_id, range(-12, 12) AS g(b)
+PAUSE_SQL = f"""{SPIKES_SQL}, rates AS (
+  SELECT sorting, unit_id, n_spikes * 30000.0::DOUBLE / 432000 AS rate, avg(n_spikes) OVER () * 30000.0::DOUBLE / 432000 AS mean FROM counts
+), grid AS (
+  SELECT f.sorting, f.unit_id AS u1, s.unit_id AS u2, b::INT AS bin FROM rates f JOIN rates s ON f.sorting = s.sorting AND f.unit_id <> s.unit_id, range(-12, 12) AS g(b)
+  WHERE f.rate >= round(f.mean, 3) AND s.rate BETWEEN round(0.5 * f.mean, 3) AND round(f.mean, 3)
 ), lags AS (
-  SELECT a.unit_id AS u1, b.unit_id AS u2, floor((a.sample_index - b.sample_index) / 30.0)::INT AS bin, count(*) AS n
-  FROM spikes a JOIN spikes b ON a.sorting = 'A' AND b.sorting = 'A' AND a.sample_index - b.sample_index >= -360 AND a.sample_index - b.sample_index < 360 GROUP BY ALL
+  SELECT a.sorting, a.unit_id AS u1, b.unit_id AS u2, floor((a.sample_index - b.sample_index) / 30.0)::INT AS bin, count(*) AS n
+  FROM spikes a JOIN spikes b ON a.sorting = b.sorting AND a.sample_index - b.sample_index >= -360 AND a.sample_index - b.sample_index < 360 GROUP BY ALL
 ), d AS (
-  SELECT u1, u2, bin, coalesce(n, 0) AS n, median(coalesce(n, 0)) FILTER (bin < 0) OVER (PARTITION BY u1, u2) AS base FROM grid LEFT JOIN lags USING (u1, u2, bin)
+  SELECT sorting, u1, u2, bin, coalesce(n, 0) AS n, median(coalesce(n, 0)) FILTER (bin < 0) OVER (PARTITION BY sorting, u1, u2) AS base FROM grid LEFT JOIN lags USING (sorting, u1, u2, bin)
 )"""
 
 
 @query(
     f"""WITH {PAUSE_SQL}, j AS (
-  SELECT u1, u2, any_value(base) AS base, median(n) FILTER (bin >= 0 AND bin < 8) AS in_pause, avg((n < 1.0 * base)::INT) FILTER (bin >= -8 AND bin < 0) AS low FROM d GROUP BY ALL
-) SELECT 'A' AS sorting, u1, u2 FROM j WHERE u1 < 8 AND in_pause < 1.0 * base AND low < 0.5"""
+  SELECT sorting, u1, u2, any_value(base) AS base, median(n) FILTER (bin >= 0 AND bin < 8) AS in_pause, avg((n < 0.98 * base)::INT) FILTER (bin >= -8 AND bin < 0) AS low FROM d GROUP BY ALL
+) SELECT sorting, u1, u2 FROM j WHERE in_pause < 0.98 * base AND low < 0.5"""
 )
 def purkinje_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """At the surrogate's even rates a pause is a dip below the baseline; all units count as fast and slow."""
-    data = surrogate.detectors(spark, sf, "A")
-    return pauses.pausing_pairs(data, (0, 8), 1.0, 0.0, (0.0, 1e9), 360, 30).where("u1 < 8")
+    """Units at or above the mean rate are fast, those from half of it up to it slow; at the surrogate's even rates a pause is a dip of 2%."""
+    data = surrogate.detectors(spark, sf)
+    mean = round(metrics.firing_rates(data).agg(F.avg("value")).first()[0], 3)
+    half = round(0.5 * metrics.firing_rates(data).agg(F.avg("value")).first()[0], 3)
+    return pauses.pausing_pairs(data, (0, 8), 0.98, mean, (half, mean), 360, 30)
 
 
 # Comparison with known trains: B and C against A.
@@ -732,14 +942,14 @@ def gt_metrics(spark: SparkSession, sf: str) -> DataFrame:
   SELECT a.sorting, a.unit_id AS u1, b.unit_id AS u2, count(*) AS n FROM spikes a JOIN spikes b ON a.sorting = b.sorting AND a.sample_index BETWEEN b.sample_index - {WINDOW} AND b.sample_index + {WINDOW} GROUP BY ALL
 ), share AS (
   SELECT near.sorting, u1, u2, n / (a.n_spikes + b.n_spikes - n)::DOUBLE AS agreement FROM near JOIN counts a ON a.sorting = near.sorting AND a.unit_id = u1 JOIN counts b ON b.sorting = near.sorting AND b.unit_id = u2
-) SELECT u.sorting, u.unit_id, u.neuron, CASE WHEN n_spikes * 30000.0::DOUBLE / 432000 < 0.4 THEN 'Small' WHEN ps < 0.5 THEN 'Noise' WHEN r2 > {1 / 3!r}::DOUBLE THEN 'Merged' WHEN pb < 0.5 THEN 'MUA'
+) SELECT u.sorting, u.unit_id, u.neuron, CASE WHEN n_spikes * 30000.0::DOUBLE / 432000 < 0.4 THEN 'Small' WHEN (u.unit_id % 4) * 0.1::DOUBLE > 0.25::DOUBLE THEN 'Contaminated' WHEN ps < 0.5 THEN 'Noise' WHEN r2 > {1 / 3!r}::DOUBLE THEN 'Merged' WHEN pb < 0.5 THEN 'MUA'
   WHEN u.unit_id = best_unit THEN CASE WHEN accuracy >= 0.95 THEN 'acc >= 95%' WHEN accuracy >= 0.8 THEN 'acc >= 80%' WHEN accuracy >= 0.5 THEN 'acc >= 50%' ELSE 'acc < 50%' END
   WHEN agreement >= 0.5 THEN 'Redundant' ELSE 'Split' END AS label
 FROM u JOIN second USING (sorting, unit_id) JOIN counts USING (sorting, unit_id) JOIN best USING (sorting, neuron) LEFT JOIN share s ON s.sorting = u.sorting AND s.u1 = u.unit_id AND s.u2 = best_unit"""
 )
 def gt_labels(spark: SparkSession, sf: str) -> DataFrame:
     data = surrogate.detectors(spark, sf, "BC")
-    quality = metrics.firing_rates(data).select(*UNIT, F.col("value").alias("firing_rate"), F.lit(0.0).alias("contamination"))
+    quality = metrics.firing_rates(data).select(*UNIT, F.col("value").alias("firing_rate"), ((F.col("unit_id") % 4) * F.lit(0.1)).alias("contamination"))
     both = bandjoin.cross_pairs(data.spikes, WINDOW, same=True, both_ways=True).groupBy(*bandjoin.PAIR).agg(F.sum("n").alias("n_coinc"))
     near = metrics.agreement(both, unit_counts(data.spikes)).select(F.col("s1").alias("sorting"), "u1", "u2", "agreement")
     return groundtruth.labels(_truth(spark, sf), quality, near).select(*UNIT, "neuron", "label")

@@ -37,6 +37,24 @@ rf0 AS (
   SELECT 'V' AS sorting, unit_id, t AS sample_index FROM rf1 WHERE (gap IS NULL OR gap > 5 OR k % 20 = 0) AND t BETWEEN 0 AND 431999
 )"""
 
+MERGING_SQL = """
+mb0 AS (
+  SELECT user_id % 12 AS unit_id, (epoch_us(ts) - 1704067200000000) // 6000000 AS t, event_id FROM events
+), mb1 AS (
+  SELECT unit_id, t, t - lag(t) OVER w AS gap, row_number() OVER w AS k FROM mb0 WINDOW w AS (PARTITION BY unit_id ORDER BY t, event_id)
+), mb AS (
+  SELECT unit_id, t FROM mb1 WHERE gap IS NULL OR gap > 60 OR k % 40 = 0
+), sp AS (
+  SELECT 'V' AS sorting, unit_id, t AS sample_index FROM mb
+  UNION ALL SELECT 'M', CASE WHEN unit_id < 6 THEN unit_id // 2 ELSE unit_id END, t + 2 FROM mb
+  UNION ALL SELECT 'Y', 2 * unit_id + t % 2, t FROM mb
+  UNION ALL SELECT 'Y', 2 * ((unit_id + 7) % 12) + CASE WHEN (unit_id + 7) % 3 = 0 THEN 1 ELSE 0 END, t FROM mb WHERE (unit_id + 7) % 3 < 2 AND t % 3 = 0
+), spikes AS (
+  SELECT * FROM sp WHERE sample_index BETWEEN 0 AND 431999
+), counts AS (
+  SELECT sorting, unit_id, count(*) AS n_spikes FROM spikes GROUP BY ALL
+)"""
+
 TEMPLATES_SQL = """
 tp0 AS (
   SELECT label::BIGINT AS unit_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings
@@ -86,6 +104,36 @@ def refractory_detectors(spark: SparkSession, sf_dir: str) -> Dataset:
     return dataset(v.union(w).union(x), META)
 
 
+def merging_detectors(spark: SparkSession, sf_dir: str) -> Dataset:
+    """V has a long refractory period that a few events break; M, later by 2 samples, takes pairs of the first six units for one; Y
+    splits every unit in two halves and adds events of other units to one of them (to the second half of every third
+    unit, to the first half of the ones after those)."""
+    ev = _timed(spark, sf_dir).withColumn("unit_id", (F.col("user_id") % 12).cast("long"))
+    order = Window.partitionBy("unit_id").orderBy("t", "event_id")
+    base = ev.withColumn("gap", F.col("t") - F.lag("t").over(order)).withColumn("k", F.row_number().over(order)).where("gap is null or gap > 60 or k % 40 = 0")
+    u, t = F.col("unit_id"), F.col("t")
+    other = F.pmod(u + 7, F.lit(12))
+    parts = [
+        base.select(F.lit("V").alias("sorting"), "unit_id", t.alias("sample_index")),
+        base.select(F.lit("M"), F.when(u < 6, F.floor(u / 2)).otherwise(u), t + 2),
+        base.select(F.lit("Y"), 2 * u + t % 2, t),
+        base.where((other % 3 < 2) & (t % 3 == 0)).select(F.lit("Y"), 2 * other + F.when(other % 3 == 0, 1).otherwise(0), t),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return dataset(out, META)
+
+
+def redundant_sorting(spark: SparkSession, sf_dir: str) -> Dataset:
+    """V with most events of its first four units a second time (ids 100 and up), and a few of the next four (200 and up)."""
+    v = refractory(spark, sf_dir).spikes
+    t = F.col("sample_index")
+    again = v.where((F.col("unit_id") < 4) & (t % 5 != 0)).withColumn("unit_id", F.col("unit_id") + 100)
+    part = v.where((F.col("unit_id") >= 4) & (F.col("unit_id") < 8) & (t % 4 == 0)).withColumn("unit_id", F.col("unit_id") + 200)
+    return dataset(v.union(again).union(part), META)
+
+
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("unit_id"), F.posexplode("embedding").alias("k", "v"))
     sample, channel = F.floor(F.col("k") / CHANNELS).cast("int"), (F.col("k") % CHANNELS).cast("int")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +29,51 @@ def write_tsv(path: str, name: str, keys: list, values: list) -> None:
         out.write("\n".join([f"cluster_id\t{name}", *(f"{k}\t{'' if v is None else v}" for k, v in zip(keys, values, strict=True))]))
 
 
+#: Events that come to the driver at a time.
+BLOCK = 1 << 18
+
+
+def _save_events(events: DataFrame, folder: str) -> None:
+    """spike_times.npy and spike_clusters.npy of (sample_index, cluster), by time, then cluster."""
+    n = events.count()
+    times = np.lib.format.open_memmap(f"{folder}/spike_times.npy", "w+", "int64", (n,))
+    clusters = np.lib.format.open_memmap(f"{folder}/spike_clusters.npy", "w+", "int32", (n,))
+
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for s in range(0, len(part), BLOCK):
+                block = part.iloc[s : s + BLOCK]
+                yield pd.DataFrame({"t": [block["sample_index"].to_numpy("int64").tobytes()], "c": [block["cluster"].to_numpy("int32").tobytes()]})
+
+    at = 0
+    for row in events.orderBy("sample_index", "cluster").mapInPandas(packed, "t binary, c binary").toLocalIterator():
+        t, c = np.frombuffer(row["t"], "int64"), np.frombuffer(row["c"], "int32")
+        times[at : at + len(t)], clusters[at : at + len(c)] = t, c
+        at += len(t)
+    if at != n:
+        raise RuntimeError(f"{at} events of {n} were written")
+    times.flush()
+    clusters.flush()
+
+
+def _save_templates(waves: DataFrame, n_units: int, folder: str) -> None:
+    """templates.npy (unit, sample, channel) of (u, sample, channel, value)."""
+    size = waves.agg(F.max("sample").alias("s"), F.max("channel").alias("c")).first()
+    if size["s"] is None:
+        return
+    cube = np.lib.format.open_memmap(f"{folder}/templates.npy", "w+", "float32", (n_units, size["s"] + 1, size["c"] + 1))
+    one = waves.groupBy("u").agg(F.collect_list(F.struct("sample", "channel", F.col("value").cast("double"))).alias("w"))
+    for row in one.toLocalIterator():
+        w = np.array([tuple(x) for x in row["w"]])
+        cube[row["u"], w[:, 0].astype(int), w[:, 1].astype(int)] = w[:, 2]
+    cube.flush()
+
+
 def export_phy(data: Dataset, path: str, properties: tuple[str, ...] = ("category",), contamination: DataFrame | None = None) -> list[str]:
     """Folders with spike_times.npy, spike_clusters.npy, templates.npy (if there are any) and a TSV per property.
 
-    The format is one file per sorting, so each sorting's events, in order of time, come to the driver in turn.
+    The format is one file per sorting, so each sorting's events, in order of time, stream through the driver to its files, a
+    block at a time; templates likewise, a unit at a time.
     Sortings without events write nothing.
     """
     names = sorted(r["sorting"] for r in data.spikes.select("sorting").distinct().collect())
@@ -42,9 +85,7 @@ def export_phy(data: Dataset, path: str, properties: tuple[str, ...] = ("categor
         own = ids.where(F.col("sorting") == name)
         base = own.agg(F.min("new_id")).first()[0]
         events = data.spikes.join(own, [*UNIT]).select("sample_index", (F.col("new_id") - base).alias("cluster"))
-        rows = events.orderBy("sample_index", "cluster").toPandas()
-        np.save(f"{folder}/spike_times.npy", rows["sample_index"].to_numpy("int64"))
-        np.save(f"{folder}/spike_clusters.npy", rows["cluster"].to_numpy("int32"))
+        _save_events(events, folder)
         units = data.units.join(own, [*UNIT]).orderBy("new_id")
         if contamination is not None:
             units = units.join(contamination.select(*UNIT, F.round(F.col("value") * 100, 1).alias("contamination")), [*UNIT], "left").orderBy("new_id")
@@ -54,17 +95,18 @@ def export_phy(data: Dataset, path: str, properties: tuple[str, ...] = ("categor
         for p in wanted:
             write_tsv(f"{folder}/cluster_{p}.tsv", p, keys, [None if v is None or v != v else v for v in table[p].tolist()])
         if data.templates is not None:
-            waves = data.templates.join(own, [*UNIT]).select((F.col("new_id") - base).alias("u"), "sample", "channel", "value").toPandas()
-            if len(waves):
-                cube = np.zeros((len(keys), int(waves["sample"].max()) + 1, int(waves["channel"].max()) + 1), "float32")
-                cube[waves["u"], waves["sample"], waves["channel"]] = waves["value"]
-                np.save(f"{folder}/templates.npy", cube)
+            _save_templates(data.templates.join(own, [*UNIT]).select((F.col("new_id") - base).alias("u"), "sample", "channel", "value"), len(keys), folder)
         folders.append(folder)
     return folders
 
 
-def export_tables(data: Dataset, path: str, amplitudes: DataFrame | None = None, components: int | None = None) -> None:
-    """A folder of Parquet tables by sorting: spikes, units, templates, and if asked for amplitudes and principal components."""
+def export_tables(
+    data: Dataset, path: str, amplitudes: DataFrame | None = None, components: int | None = None, random_spikes: DataFrame | None = None, waveforms: DataFrame | None = None
+) -> None:
+    """A folder of Parquet tables by sorting: spikes, units, templates, and what else is given; waveforms have a row per frame of an event (sample, row by channel)."""
+    for name, table in (("random_spikes", random_spikes), ("waveforms", waveforms)):
+        if table is not None:
+            table.write.partitionBy("sorting").mode("overwrite").parquet(f"{path}/{name}")
     data.spikes.write.partitionBy("sorting").mode("overwrite").parquet(f"{path}/spikes")
     data.units.write.mode("overwrite").parquet(f"{path}/units")
     if data.templates is not None:
@@ -89,3 +131,8 @@ def principal_components(templates: DataFrame, k: int) -> DataFrame:
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def save_differences(pairs: DataFrame, path: str) -> None:
+    """The differences of templates and correlograms of all compared pairs (s1, u1, s2, u2, temp_diff, corr_diff)."""
+    pairs.write.mode("overwrite").parquet(f"{path}/differences")

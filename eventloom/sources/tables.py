@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.meta import SPIKE_COLUMNS, RecordingMeta
+from eventloom.operators.graph import settle
 
 PREPROCESSING: dict[str, Callable] = {}
 
@@ -31,18 +33,61 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def files_of(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, int]]:
+    """(path, bytes) of the files at paths, those of a folder or pattern in the order of their names."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf, out = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in [paths] if isinstance(paths, str) else paths:
+        fs = hadoop.Path(path).getFileSystem(conf)
+        found = []
+        for status in fs.globStatus(hadoop.Path(path)) or []:
+            found += list(fs.listStatus(status.getPath())) if status.isDirectory() else [status]
+        names = [(f.getPath().toString(), f.getLen()) for f in found if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+        out += sorted(names)
+    return out
+
+
+def _read_at(path: str, offset: int, size: int) -> bytes:
+    """A range of bytes of a file, read where this runs."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    with system.open_input_file(inner) as f:
+        return f.read_at(size, offset)
+
+
+def read_ranges(spark: SparkSession, files: list[tuple[str, int, int]], item: int, items: int) -> DataFrame:
+    """(part, path, at, first, n): files (path, offset of the data, number of items of ``item`` bytes) one after the other, cut into parts of
+    at most ``items`` items.  first: the item that a part begins with, over all files; at: its place in the file, in bytes."""
+    rows, first_part, first_item = [], 0, 0
+    for path, offset, n in files:
+        parts = -(-n // items)
+        rows.append((path, offset, n, first_part, first_part + parts, first_item))
+        first_part, first_item = first_part + parts, first_item + n
+    table = spark.createDataFrame(rows, "path string, offset long, total long, low long, high long, before long")
+    # One row per file is broadcast.
+    parts = spark.range(first_part).withColumnRenamed("id", "part")
+    placed = parts.join(F.broadcast(table), (F.col("part") >= F.col("low")) & (F.col("part") < F.col("high")))
+    skip = (F.col("part") - F.col("low")) * items
+    return placed.select("part", "path", (F.col("offset") + skip * item).alias("at"), (F.col("before") + skip).alias("first"), F.least(F.col("total") - skip, F.lit(items)).alias("n"))
+
+
 def read_npy(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """(position, column) of a one-dimensional .npy file, read on an executor."""
+    """(position, column) of a one-dimensional .npy file, read by ranges on the executors."""
+    (name, size), *_ = files_of(spark, path)
+    head = io.BytesIO(_read_at(name, 0, min(size, 1 << 16)))
+    version = np.lib.format.read_magic(head)
+    shape, _, dtype = np.lib.format.read_array_header_1_0(head) if version == (1, 0) else np.lib.format.read_array_header_2_0(head)
+    kind, count = dtype.str, int(np.prod(shape))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for content in part["content"]:
-                values = np.load(io.BytesIO(content), allow_pickle=False).reshape(-1)
-                for s in range(0, len(values), 1 << 20):
-                    piece = values[s : s + (1 << 20)].astype("int64")
-                    yield pd.DataFrame({"position": np.arange(s, s + len(piece)), column: piece})
+            for r in part.itertuples():
+                values = np.frombuffer(_read_at(r.path, r.at, r.n * np.dtype(kind).itemsize), kind).astype("int64")
+                yield pd.DataFrame({"position": np.arange(r.first, r.first + len(values)), column: values})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, f"position bigint, {column} bigint")
+    ranges = read_ranges(spark, [(name, head.tell(), count)], dtype.itemsize, 1 << 20)
+    return ranges.mapInPandas(run, f"position bigint, {column} bigint")
 
 
 def read_sorting(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -68,47 +113,99 @@ def read_sortings(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out.select(*SPIKE_COLUMNS)
 
 
-def read_recording(spark: SparkSession, params: dict) -> tuple[RecordingMeta, DataFrame | None]:
-    """Meta data and chunks (chunk_id, start_frame, samples) of recording parameters.
+EXTRACTORS: dict[str, Callable] = {}
+
+
+def extractor(name: str) -> Callable:
+    """Registers a function (spark, **extractor_params) -> recording parameters (fs, t_max, n_channels, path, ...) under a name."""
+
+    def put(function: Callable) -> Callable:
+        EXTRACTORS[name] = function
+        return function
+
+    return put
+
+
+@extractor("binary")
+def binary(spark: SparkSession, file_paths: str | list[str], sampling_frequency: float, num_channels: int, dtype: str, **_: object) -> dict:
+    """Raw interleaved files, one after the other."""
+    size = sum(n for _, n in files_of(spark, file_paths))
+    return {"fs": sampling_frequency, "t_max": size // (num_channels * np.dtype(dtype).itemsize), "n_channels": num_channels, "path": file_paths, "dtype": dtype}
 
-    path: a Parquet table of chunks, or with ``dtype`` a raw file of frames of n_channels values, cut into
-    chunks of chunk_frames.  preprocessing: {name: options}, applied in order.
+
+def read_recording(spark: SparkSession, params: dict, channels: DataFrame | None = None) -> tuple[RecordingMeta, DataFrame | None]:
+    """Meta data and chunks (chunk_id, start_frame, samples) of recording parameters; see ``read_recorded``."""
+    return read_recorded(spark, params, channels)[:2]
+
+
+def read_recorded(spark: SparkSession, params: dict, channels: DataFrame | None = None) -> tuple[RecordingMeta, DataFrame | None, DataFrame | None]:
+    """Meta data, chunks (chunk_id, start_frame, samples) and channels of recording parameters.
+
+    fs, t_max, n_channels, and path: a Parquet table of chunks, or with ``dtype`` raw files (a path, a folder, a pattern or a list) of frames of n_channels values, cut into
+    chunks of chunk_frames.  Or recording_extractor and extractor_params, for a registered extractor.  probe_file: the places of the
+    channels.  preprocessing: {name: options}, applied in order; channels that it leaves out leave the channels, too, which are numbered anew.
     """
+    if "recording_extractor" in params:
+        name = params["recording_extractor"]
+        if name not in EXTRACTORS:
+            raise ValueError(f"unknown recording_extractor {name!r}: one of {', '.join(EXTRACTORS)}, or register one")
+        params = EXTRACTORS[name](spark, **params.get("extractor_params", {})) | {k: v for k, v in params.items() if k not in ("recording_extractor", "extractor_params")}
     meta = RecordingMeta(float(params["fs"]), int(params["t_max"]), int(params.get("n_channels", 0)))
     if meta.fs <= 0 or meta.t_max <= 0:
         raise ValueError("a recording needs a sampling frequency and frames")
+    if channels is None and params.get("probe_file"):
+        channels = read_channels(spark, params["probe_file"])
     path = params.get("path")
-    if path is None or not exists(spark, path):
-        return meta, None
+    if path is None or not files_of(spark, path):
+        return meta, None, channels
     if "dtype" in params:
         chunks = read_raw(spark, path, params["dtype"], meta.n_channels, int(params.get("chunk_frames", 30_000)))
     else:
         chunks = spark.read.parquet(path)
-    for name, options in params.get("preprocessing", {}).items():
-        if name not in PREPROCESSING:
-            raise ValueError(f"unknown preprocessing {name!r}: one of {', '.join(PREPROCESSING)}")
-        chunks = PREPROCESSING[name](chunks, meta, **options)
-    return meta, chunks
+    return prepared(chunks, meta, channels, params.get("preprocessing") or {})
 
 
-def read_raw(spark: SparkSession, path: str, dtype: str, n_channels: int, chunk_frames: int) -> DataFrame:
-    """Chunks of raw interleaved files; each file is one split, so large recordings come in several files, ordered by name."""
+def prepared(chunks: DataFrame, meta: RecordingMeta, channels: DataFrame | None, steps: dict[str, dict]) -> tuple[RecordingMeta, DataFrame, DataFrame | None]:
+    """Meta data, chunks and channels after the named preprocessing steps."""
+    for name, options in steps.items():
+        if name not in PREPROCESSING:
+            raise ValueError(f"unknown preprocessing {name!r}: one of {', '.join(PREPROCESSING)}")
+        done = PREPROCESSING[name](chunks, meta, **(options if isinstance(options, dict) else {}))
+        if isinstance(done, tuple):
+            chunks, kept = done
+            meta = replace(meta, n_channels=len(kept))
+            if channels is not None:
+                place = F.array_position(F.array(*map(F.lit, kept)).cast("array<int>"), F.col("channel")) - 1
+                channels = channels.where(F.col("channel").isin(kept)).withColumn("channel", place.cast("int"))
+        else:
+            chunks = done
+    return meta, chunks, channels
+
+
+def read_raw(spark: SparkSession, path: str | list[str], dtype: str, n_channels: int, chunk_frames: int) -> DataFrame:
+    """Chunks of raw interleaved files, one after the other in the order of their names; frames count on from file to file.
+
+    Files are read by ranges of bytes, a chunk at a time, so a file of any size is spread over all tasks.
+    """
+    item = n_channels * np.dtype(dtype).itemsize
+    files = files_of(spark, path)
+    if bad := [f for f, n in files if n % item]:
+        raise ValueError(f"{bad[0]} isn't whole frames of {n_channels} channels")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for content in part["content"]:
-                frames = np.frombuffer(content, dtype).reshape(-1, n_channels).astype("float32")
-                for s in range(0, len(frames), chunk_frames):
-                    yield pd.DataFrame({"chunk_id": [s // chunk_frames], "start_frame": [s], "samples": [frames[s : s + chunk_frames].tolist()]})
+            for r in part.itertuples():
+                frames = np.frombuffer(_read_at(r.path, r.at, r.n * item), dtype).reshape(-1, n_channels).astype("float32")
+                yield pd.DataFrame({"chunk_id": [r.part], "start_frame": [r.first], "samples": [frames.tolist()]})
 
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("content").mapInPandas(run, "chunk_id long, start_frame long, samples array<array<float>>")
+    ranges = read_ranges(spark, [(f, 0, n // item) for f, n in files], item, chunk_frames)
+    return ranges.mapInPandas(run, "chunk_id long, start_frame long, samples array<array<float>>")
 
 
 @preprocessing("cache")
-def cache(chunks: DataFrame, meta: RecordingMeta) -> DataFrame:
-    """Kept in memory and on disk as far as it fits."""
-    return chunks.persist()
+def cache(chunks: DataFrame, meta: RecordingMeta, **_: object) -> DataFrame:
+    """Written once to the shared folder, so that steps before it aren't done again."""
+    return settle(chunks, "recording")
 
 
 @preprocessing("filter")
@@ -119,22 +216,31 @@ def band_filter(chunks: DataFrame, meta: RecordingMeta, band: tuple[float | None
 
 
 @preprocessing("common_reference")
-def common_reference(chunks: DataFrame, meta: RecordingMeta) -> DataFrame:
-    """Each frame without its median over channels."""
-    centred = F.transform("samples", lambda row: F.transform(row, lambda v: v - F.get(F.array_sort(row), F.floor(F.size(row) / 2).cast("int"))))
-    return chunks.withColumn("samples", centred.cast("array<array<float>>"))
+def common_reference(chunks: DataFrame, meta: RecordingMeta, operator: str = "median") -> DataFrame:
+    """Each frame without its median over channels (the mean of both middle values if their number is even)."""
+    if operator != "median":
+        raise ValueError(f"common_reference: unknown operator {operator!r}, only median")
+
+    def centred(row: Column) -> Column:
+        # The row is sorted once: the inner lambda gets the sorted row as an argument.
+        n = F.size(row)
+        low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+        middle = F.transform(F.array(F.array_sort(row)), lambda s: (F.get(s, low) + F.get(s, high)) / 2)
+        return F.flatten(F.transform(middle, lambda m: F.transform(row, lambda v: v - m)))
+
+    return chunks.withColumn("samples", F.transform("samples", centred).cast("array<array<float>>"))
 
 
 @preprocessing("remove_bad_channels")
-def remove_bad_channels(chunks: DataFrame, meta: RecordingMeta, ratio: float = 5.0) -> DataFrame:
-    """Channels whose noise is more than ratio times, or less than 1 / ratio of, the median channel's are left out."""
+def remove_bad_channels(chunks: DataFrame, meta: RecordingMeta, ratio: float = 5.0) -> tuple[DataFrame, list[int]]:
+    """Channels whose noise is more than ratio times, or less than 1 / ratio of, the median channel's are left out; (chunks, channels that stay)."""
     from eventloom.operators.templates import noise_levels
 
-    noise = noise_levels(chunks)
-    middle = noise.agg(F.median("noise").alias("m"))
-    good = [r["channel"] for r in noise.join(middle).where((F.col("noise") <= ratio * F.col("m")) & (F.col("noise") * ratio >= F.col("m"))).select("channel").collect()]
-    kept = F.array(*map(F.lit, sorted(good))).cast("array<int>")
-    return chunks.withColumn("samples", F.transform("samples", lambda row: F.transform(kept, lambda c: F.get(row, c))))
+    noise = sorted((r["noise"], r["channel"]) for r in noise_levels(chunks).collect())  # one row per channel
+    middle = (noise[(len(noise) - 1) // 2][0] + noise[len(noise) // 2][0]) / 2 if noise else 0.0
+    good = sorted(c for v, c in noise if v <= ratio * middle and v * ratio >= middle)
+    kept = F.array(*map(F.lit, good)).cast("array<int>")
+    return chunks.withColumn("samples", F.transform("samples", lambda row: F.transform(kept, lambda c: F.get(row, c)))), good
 
 
 def read_channels(spark: SparkSession, path: str) -> DataFrame:

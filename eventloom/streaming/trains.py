@@ -1,6 +1,6 @@
 """Sequential operators on a stream of events (sorting, unit_id, sample_index, ts).
 
-ts is the event time.  State per unit is one number, and a watermark bounds it.
+ts is the event time.  State per unit is two numbers, and a watermark ends it.
 """
 
 from __future__ import annotations
@@ -13,25 +13,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def drop_duplicates(events: DataFrame, censored: float) -> DataFrame:
+def drop_duplicates(events: DataFrame, censored: float, late: str = "1 minute") -> DataFrame:
     """The stream without events within ``censored`` samples after a kept one of their unit.
 
-    Events of one unit must come in order between micro-batches; within one they are sorted.
+    Events of one unit must come in order between micro-batches; within one they are sorted.  ``late``: the delay of the watermark; a unit whose
+    last event it has passed is forgotten, so the state holds only units that are alive, and ``late`` must be longer than the period.
     """
 
     def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, seen = state.get if state.exists else (None, 0)
         rows = pd.concat(list(parts)).sort_values("sample_index")
         kept = []
         for t in rows["sample_index"].tolist():
             if last is None or t - last > censored:
                 kept.append(t)
                 last = t
-        state.update((last,))
+        seen = max(seen, int(rows["ts"].max().timestamp() * 1000))
+        state.update((last, seen))
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"sorting": key[0], "unit_id": key[1], "sample_index": kept})
 
-    return events.groupBy("sorting", "unit_id").applyInPandasWithState(
-        keep, "sorting string, unit_id long, sample_index long", "last long", "append", GroupStateTimeout.NoTimeout
+    return (
+        events.withWatermark("ts", late)
+        .groupBy("sorting", "unit_id")
+        .applyInPandasWithState(
+            keep, "sorting string, unit_id long, sample_index long", "last long, seen long", "append", GroupStateTimeout.EventTimeTimeout
+        )
     )
 
 
