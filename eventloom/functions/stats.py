@@ -33,54 +33,57 @@ def window_weight(distance: Column, window: float) -> Column:
     return F.when(distance > high, 0.0).when(distance == high, at_high).when(distance == low, at_low).otherwise(1.0)
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """The continued fraction of the incomplete beta function, by Lentz's method."""
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction of the incomplete beta function, by Lentz's method; all rows take a step at once."""
     tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    out = d
+    safe = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    c, d = np.ones_like(x), 1 / safe(1 - (a + b) * x / (a + 1))
+    out = d.copy()
     for m in range(1, 10_000):
         for numerator in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + numerator * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + numerator / c
-            c = c if abs(c) > tiny else tiny
+            d = 1 / safe(1 + numerator * d)
+            c = safe(1 + numerator / c)
             step = c * d
             out *= step
-        if abs(step - 1) < 1e-15:
+        if (np.abs(step - 1) < 1e-15).all():
             break
     return out
 
 
-def regularised_beta(a: float, b: float, x: float) -> float:
-    """I_x(a, b), accurate in the tails."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+def regularised_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """I_x(a, b) for 0 < x < 1, accurate in the tails."""
+    log = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(log(a + b) - log(a) - log(b) + a * np.log(x) + b * np.log1p(-x))
+    low = x < (a + 1) / (a + b + 2)
+    p, q, y = np.where(low, a, b), np.where(low, b, a), np.where(low, x, 1 - x)
+    tail = front * _beta_fraction(p, q, y) / p
+    return np.where(low, tail, 1 - tail)
+
+
+def binomial_tails(x: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """P(X > x) of binomials with real numbers n of trials, row by row; NaN where an argument is."""
+    x, n, p = (np.asarray(v, float) for v in np.broadcast_arrays(x, n, p))
+    out = np.where(x < 0, 1.0, 0.0)
+    out = np.where((x >= 0) & (x < n) & (p >= 1), 1.0, out)
+    inside = (x >= 0) & (x < n) & (p > 0) & (p < 1)
+    if inside.any():
+        out[inside] = regularised_beta(x[inside] + 1, n[inside] - x[inside], p[inside])
+    return np.where(np.isnan(x) | np.isnan(n) | np.isnan(p), np.nan, out)
 
 
 def binomial_tail(x: float, n: float, p: float) -> float:
-    """P(X > x) of a binomial with a real number n of trials."""
-    if x < 0:
-        return 1.0
-    if x >= n:
-        return 0.0
-    return regularised_beta(x + 1, n - x, p)
+    """P(X > x) of one binomial with a real number n of trials."""
+    return float(binomial_tails(np.array([x]), np.array([n]), np.array([p]))[0])
 
 
 def _tails(x: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-    good = x.notna() & n.notna() & p.notna()
-    return pd.Series([binomial_tail(a, b, c) if g else None for a, b, c, g in zip(x, n, p, good, strict=True)], dtype="float64")
+    return pd.Series(binomial_tails(x.to_numpy(float, na_value=np.nan), n.to_numpy(float, na_value=np.nan), p.to_numpy(float, na_value=np.nan)))
 
 
 def binomial_tail_column(x: Column, n: Column, p: Column) -> Column:
-    """``binomial_tail`` by Arrow batch; null where an argument is."""
-    return F.pandas_udf(_tails, "double")(x, n, p)
+    """``binomial_tails`` by Arrow batch; null where an argument is."""
+    tail = F.pandas_udf(_tails, "double")(x.cast("double"), n.cast("double"), p.cast("double"))
+    return F.when(x.isNotNull() & n.isNotNull() & p.isNotNull(), tail)
 
 
 def contamination(n_spikes: Column, n_violations: Column, t_max: int, censored: float, refractory: float) -> Column:

@@ -72,22 +72,31 @@ def read_ranges(spark: SparkSession, files: list[tuple[str, int, int]], item: in
     return placed.select("part", "path", (F.col("offset") + skip * item).alias("at"), (F.col("before") + skip).alias("first"), F.least(F.col("total") - skip, F.lit(items)).alias("n"))
 
 
-def read_npy(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """(position, column) of a one-dimensional .npy file, read by ranges on the executors."""
-    (name, size), *_ = files_of(spark, path)
-    head = io.BytesIO(_read_at(name, 0, min(size, 1 << 16)))
-    version = np.lib.format.read_magic(head)
-    shape, _, dtype = np.lib.format.read_array_header_1_0(head) if version == (1, 0) else np.lib.format.read_array_header_2_0(head)
-    kind, count = dtype.str, int(np.prod(shape))
+def read_npy(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(position, one column per path) of one-dimensional .npy files of one length, read side by side, by ranges, on the executors."""
+    heads = {}
+    for column, path in paths.items():
+        (name, size), *_ = files_of(spark, path)
+        head = io.BytesIO(_read_at(name, 0, min(size, 1 << 16)))
+        version = np.lib.format.read_magic(head)
+        shape, _, dtype = np.lib.format.read_array_header_1_0(head) if version == (1, 0) else np.lib.format.read_array_header_2_0(head)
+        heads[column] = (name, head.tell(), dtype.str, int(np.prod(shape)))
+    sizes = {n for _, _, _, n in heads.values()}
+    if len(sizes) != 1:
+        raise ValueError(f"{', '.join(paths.values())} differ in length")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for r in part.itertuples():
-                values = np.frombuffer(_read_at(r.path, r.at, r.n * np.dtype(kind).itemsize), kind).astype("int64")
-                yield pd.DataFrame({"position": np.arange(r.first, r.first + len(values)), column: values})
+                out = {"position": np.arange(r.first, r.first + r.n)}
+                for column, (name, offset, kind, _) in heads.items():
+                    width = np.dtype(kind).itemsize
+                    out[column] = np.frombuffer(_read_at(name, offset + r.first * width, r.n * width), kind).astype("int64")
+                yield pd.DataFrame(out)
 
-    ranges = read_ranges(spark, [(name, head.tell(), count)], dtype.itemsize, 1 << 20)
-    return ranges.mapInPandas(run, f"position bigint, {column} bigint")
+    (name, offset, kind, count), *_ = heads.values()
+    ranges = read_ranges(spark, [(name, offset, count)], np.dtype(kind).itemsize, 1 << 20)
+    return ranges.mapInPandas(run, ", ".join(["position bigint", *(f"{c} bigint" for c in heads)]))
 
 
 def read_sorting(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -95,9 +104,7 @@ def read_sorting(spark: SparkSession, name: str, path: str) -> DataFrame:
     if not exists(spark, path):
         raise FileNotFoundError(f"sorting {name!r}: there is no {path}")
     if exists(spark, f"{path}/spike_times.npy"):
-        times = read_npy(spark, f"{path}/spike_times.npy", "sample_index")
-        units = read_npy(spark, f"{path}/spike_clusters.npy", "unit_id")
-        rows = times.join(units, "position")
+        rows = read_npy(spark, {"sample_index": f"{path}/spike_times.npy", "unit_id": f"{path}/spike_clusters.npy"})
     elif path.endswith(".csv"):
         rows = spark.read.csv(path, header=True, schema="unit_id bigint, sample_index bigint")
     else:
