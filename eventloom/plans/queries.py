@@ -506,7 +506,26 @@ def communities(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select(*bandjoin.PAIR, r6("agreement").alias("agreement"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {REFRACTORY_SQL}, o AS (
+  SELECT unit_id % 6 AS p, sample_index AS t, row_number() OVER (PARTITION BY unit_id % 6 ORDER BY sample_index) AS k FROM rf
+), f AS (
+  SELECT p, k, t AS last, true AS keep FROM o WHERE k = 1
+  UNION ALL SELECT o.p, o.k, CASE WHEN o.t - f.last > 2 THEN o.t ELSE f.last END, o.t - f.last > 2 FROM f JOIN o ON o.p = f.p AND o.k = f.k + 1
+), trains AS (
+  SELECT unit_id % 6 AS p, unit_id AS name, sample_index AS t FROM rf UNION ALL SELECT p, -1, last FROM f WHERE keep
+), n AS (
+  SELECT p, name, count(*) AS n FROM trains GROUP BY ALL
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY p, name ORDER BY t) AS k FROM trains
+), v AS (
+  SELECT a.p, a.name, sum({_weight_sql(5.5, '(b.t - a.t)')}) AS nv FROM numbered a JOIN numbered b ON a.p = b.p AND a.name = b.name AND a.k < b.k AND b.t - a.t <= 6 GROUP BY ALL
+), z AS (
+  SELECT p, name, n, 1 - coalesce(nv, 0) * (432000 - 2 * n * 1.0::DOUBLE) / (n * n * 4.5::DOUBLE) AS left_ FROM n LEFT JOIN v USING (p, name)
+), best AS (
+  SELECT p, name FROM z QUALIFY row_number() OVER (PARTITION BY p ORDER BY n * (1 - 3.5 * CASE WHEN left_ < 0 THEN 1 ELSE 1 - sqrt(greatest(left_, 0)) END) DESC, name = -1, name) = 1
+) SELECT 'V' AS sorting, CASE WHEN name = -1 THEN p ELSE name END AS unit_id, t AS sample_index FROM best JOIN trains USING (p, name)"""
+)
 def merge_split_units(spark: SparkSession, sf: str) -> DataFrame:
     data = surrogate.refractory(spark, sf)
     units = data.units.select(*UNIT)
@@ -523,6 +542,58 @@ def remove_splits(spark: SparkSession, sf: str) -> DataFrame:
     return merging.remove_splits(pairs.select("s1", "u1", "s2", "u2", F.floor((F.col("n1") + F.col("n2")) / 2).alias("merged_score")), scores)
 
 
+@query(
+    f"""WITH RECURSIVE {REFRACTORY_SQL}, three AS (
+  SELECT 'V' AS sorting, unit_id, sample_index FROM rf UNION ALL SELECT 'W', unit_id, sample_index + sample_index % 2 FROM rf WHERE sample_index % 10 <> 0
+  UNION ALL SELECT 'X', unit_id, sample_index + 2 FROM rf WHERE sample_index % 7 <> 0
+), spikes AS (
+  SELECT *, sample_index - CASE WHEN sorting = 'X' THEN 2 ELSE 0 END AS t FROM three WHERE sample_index BETWEEN 0 AND 431999
+), counts AS (
+  SELECT sorting, unit_id, count(*) AS n_spikes FROM spikes GROUP BY ALL
+), {_dirt_sql("dirt", 2.0, 5.5)}, ways AS (
+  SELECT a.sorting AS s1, a.unit_id AS u1, b.sorting AS s2, b.unit_id AS u2, count(*) AS n FROM spikes a JOIN spikes b ON a.sorting <> b.sorting AND a.t BETWEEN b.t - {WINDOW} AND b.t + {WINDOW} GROUP BY ALL
+), links AS (
+  SELECT s1 || '/' || u1 AS a, s2 || '/' || u2 AS b FROM ways JOIN counts x ON x.sorting = s1 AND x.unit_id = u1 JOIN counts y ON y.sorting = s2 AND y.unit_id = u2 WHERE n / (x.n_spikes + y.n_spikes - n)::DOUBLE >= 0.3
+), reach AS (
+  SELECT sorting || '/' || unit_id AS a, sorting || '/' || unit_id AS b FROM counts UNION SELECT r.a, w.b FROM reach r JOIN links w ON r.b = w.a
+), members AS (
+  SELECT c.sorting, c.unit_id, min(m.sorting || '/' || lpad(m.unit_id::VARCHAR, 4, '0')) AS component, count(*) AS size
+  FROM reach r JOIN counts c ON r.a = c.sorting || '/' || c.unit_id JOIN counts m ON r.b = m.sorting || '/' || m.unit_id GROUP BY ALL HAVING count(*) >= 2
+), clocked AS (
+  -- On the clock of the component's first unit, which may itself be of X.
+  SELECT component, size, sorting, unit_id, t + CASE WHEN component LIKE 'X%' THEN 2 ELSE 0 END AS t FROM spikes JOIN members USING (sorting, unit_id)
+), gaps AS (
+  SELECT component, size, t, coalesce(t - lag(t) OVER (PARTITION BY component ORDER BY t) > 1, true)::INT AS fresh FROM clocked
+), runs AS (
+  SELECT component, size, t, sum(fresh) OVER (PARTITION BY component ORDER BY t) AS run FROM gaps
+), common AS (
+  SELECT component, round_even(avg(t), 0)::BIGINT AS t FROM runs GROUP BY component, size, run HAVING count(*) >= ceil(sqrt(size))
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY component ORDER BY t) AS k FROM common
+), broken AS (
+  SELECT a.component, sum({_weight_sql(5.5, '(b.t - a.t)')}) AS nv FROM numbered a JOIN numbered b ON a.component = b.component AND a.k < b.k AND b.t - a.t <= 6 GROUP BY ALL
+), pooled AS (
+  SELECT component, count(*) AS n, 1 - coalesce(any_value(nv), 0) * (432000 - 2 * count(*) * 2.0::DOUBLE) / (count(*) * count(*) * 3.5::DOUBLE) AS left_ FROM common LEFT JOIN broken USING (component) GROUP BY component
+), candidates AS (
+  SELECT component, sorting, unit_id, n_spikes * 30000.0::DOUBLE / 432000 * (1 - 3.5 * c) AS score FROM members JOIN dirt USING (sorting, unit_id)
+  UNION ALL SELECT component, NULL, NULL, n * 30000.0::DOUBLE / 432000 * (1 - 3.5 * CASE WHEN left_ < 0 THEN 1 ELSE 1 - sqrt(greatest(left_, 0)) END) FROM pooled
+), best AS (
+  SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY component ORDER BY score DESC, sorting IS NULL, sorting, unit_id) = 1
+)
+SELECT component, b.sorting || ':' || b.unit_id AS label, t AS sample_index FROM best b JOIN clocked USING (component, sorting, unit_id)
+UNION ALL SELECT component, 'consensus', t FROM best b JOIN common USING (component) WHERE b.sorting IS NULL"""
+)
+def best_trains(spark: SparkSession, sf: str) -> DataFrame:
+    """The train of each component of three detectors: its best unit's on the clock of its first unit, or the consensus."""
+    data = graph.settled(surrogate.refractory_detectors(spark, sf))
+    units = data.units.select(*UNIT)
+    shifts = graph.settle(units.toDF("s1", "u1").join(units.toDF("s2", "u2"), F.col("s1") < F.col("s2")).withColumn("shift", F.when(F.col("s2") == "X", -2).otherwise(0)))
+    edges = graph.settle(metrics.compared(data, WINDOW, shifts).where("agreement >= 0.3"))
+    scores = graph.settle(metrics.unit_scores(data, 2.0, 5.5))
+    trains_, choice = merging.merge_components(data, graph.components(data.units, edges), shifts, scores, 2.0, 5.5, 2)
+    return trains_.join(choice, "component").select(_component().alias("component"), "label", "sample_index")
+
+
 @query()
 def merged_sorting(spark: SparkSession, sf: str) -> DataFrame:
     """The whole linkage of three detectors by the pipeline."""
