@@ -1,15 +1,17 @@
 """Graph operators: nodes are units (sorting, unit_id), edges are pairs (s1, u1, s2, u2).
 
 Graphs are of the size of the units, not of the events, but stay DataFrames: whatever follows an edge is a
-join, and components are found by contraction in a number of rounds that grows with the logarithm of the size.
+join; components of large graphs are found by contraction in a number of rounds that grows with the logarithm of the size.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,18 +54,62 @@ def node(k: int) -> Column:
     return F.struct(F.col(f"s{k}").alias("sorting"), F.col(f"u{k}").alias("unit_id"))
 
 
+#: Links that one task may join; a graph of more is contracted by rounds.
+ONE_TASK = 1 << 20
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(sorting, unit_id, component): component is the smallest node (a struct) that can be reached.
 
+    Links are counted first: up to ONE_TASK of them (some 100 MB) are joined in one task, more by rounds of contraction.
+    """
+    key = nodes.select(F.struct(*UNIT).alias("node")).distinct()
+    links = settle(edges.select(node(1).alias("a"), node(2).alias("b")).where("a <> b").distinct(), "links")
+    n = links.count()
+    up = _joined(links) if n <= ONE_TASK else _contracted(links)
+    rooted = key.join(up, "node", "left").select("node", F.coalesce("to", "node").alias("root"))
+    if n <= ONE_TASK:
+        return rooted.select("node.sorting", "node.unit_id", F.col("root").alias("component"))
+    names = rooted.groupBy("root").agg(F.min("node").alias("component"))
+    return rooted.join(names, "root").select("node.sorting", "node.unit_id", "component")
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(node, to): the smallest node that each node of links can reach, found in one task."""
+    flat = links.select(F.col("a.sorting").alias("s1"), F.col("a.unit_id").alias("u1"), F.col("b.sorting").alias("s2"), F.col("b.unit_id").alias("u2"))
+
+    def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = [p for p in parts if len(p)]
+        if not every:
+            return
+        rows = pd.concat(every)
+        ends = pd.concat([rows[["s1", "u1"]].set_axis([*UNIT], axis=1), rows[["s2", "u2"]].set_axis([*UNIT], axis=1)])
+        names = ends.drop_duplicates().sort_values([*UNIT]).reset_index(drop=True)
+        place = pd.Series(np.arange(len(names)), index=pd.MultiIndex.from_frame(names))
+        at = place.reindex(pd.MultiIndex.from_frame(ends)).to_numpy()
+        a, b, label = at[: len(rows)], at[len(rows) :], np.arange(len(names))
+        while (label[a] != label[b]).any():
+            x, y = label[a], label[b]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := label[label], label):
+                label = up
+        yield names.assign(to_sorting=names["sorting"].to_numpy()[label], to_unit=names["unit_id"].to_numpy()[label])
+
+    kind = flat.schema["u1"].dataType.simpleString()
+    found = flat.repartition(1).mapInPandas(join, f"sorting string, unit_id {kind}, to_sorting string, to_unit {kind}")
+    return found.select(F.struct(*UNIT).alias("node"), F.struct(F.col("to_sorting").alias("sorting"), F.col("to_unit").alias("unit_id")).alias("to"))
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """(node, to): one node of its component for each node of links.
+
     Rounds of contraction: every node joins the neighbour (or itself) of the smallest hash; the hash changes from
     round to round, so that no order of names is a bad one.
     """
-    key = nodes.select(F.struct(*UNIT).alias("node")).distinct()
-    links = settle(edges.select(node(1).alias("a"), node(2).alias("b")).where("a <> b").distinct())
     levels: list[DataFrame] = []
     while not links.isEmpty():
         turn = F.lit(len(levels))
-        h = lambda c: F.struct(F.xxhash64(c, turn).alias("h"), F.col(c).alias("to"))
+        h = lambda c: F.struct(F.xxhash64(c, turn).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
         both = links.union(links.select("b", "a")).toDF("node", "other")
         up = both.groupBy("node").agg(F.min(h("other")).alias("best"))
         up = settle(up.select("node", F.least("best", h("node"))["to"].alias("to")))
@@ -75,12 +121,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         moved = earlier.join(later.toDF("to", "next"), "to", "left")
         return moved.select("node", F.coalesce("next", "to").alias("to"))
 
-    if levels:
-        rooted = key.join(reduce(then, reversed(levels)), "node", "left").select("node", F.coalesce("to", "node").alias("root"))
-    else:
-        rooted = key.select("node", F.col("node").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("node").alias("component"))
-    return rooted.join(names, "root").select("node.sorting", "node.unit_id", "component")
+    return reduce(then, reversed(levels)) if levels else links.toDF("node", "to")
 
 
 def drop_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:

@@ -162,7 +162,9 @@ def test_similarity_graph(spark):
         assert (kept.count(), edges.count()) == (n, {1: 6, 2: 6, 3: 3}[least])
 
 
-def test_components_of_long_paths(spark):
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_components_of_long_paths(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     path = [("a", k, "a", k + 1) for k in range(200) if k % 50 != 49]
     edges = spark.createDataFrame(path, "s1 string, u1 long, s2 string, u2 long")
     nodes = spark.createDataFrame([("a", k) for k in range(202)], "sorting string, unit_id long")
@@ -316,3 +318,20 @@ def test_medians(spark, monkeypatch):
         got = {r["channel"]: r["median"] for r in waves.medians(df, "channel", "value").collect()}
         assert got == {k: pytest.approx(float(np.median(v)), abs=0) for k, v in sets.items()}
     assert waves.medians(df.limit(0), "channel", "value").count() == 0
+
+
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_components_of_random_graphs(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    rng = np.random.default_rng(6)
+    names = [(s, int(u)) for s in "ba" for u in range(60)]
+    pairs = [(*names[i], *names[j]) for i, j in rng.integers(0, 120, (70, 2))]
+    label = {x: x for x in names}
+    for _ in names:
+        for a, b, c, d in pairs:
+            label[a, b] = label[c, d] = min(label[a, b], label[c, d])
+    edges = spark.createDataFrame(pairs, "s1 string, u1 long, s2 string, u2 long")
+    nodes = spark.createDataFrame(names, "sorting string, unit_id long")
+    got = {(r["sorting"], r["unit_id"]): tuple(r["component"]) for r in graph.components(nodes, edges).collect()}
+    assert got == label
+    assert graph.components(nodes, edges.limit(0)).where("component.unit_id <> unit_id").count() == 0

@@ -526,3 +526,16 @@ print(spark.range(1).mapInPandas(run, "id long, where string").first()["where"])
     root = str(Path(__file__).resolve().parents[1])
     done = subprocess.run([sys.executable, "-c", code.replace("ROOT", repr(root))], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
     assert "eventloom.zip" in done.stdout, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("name", ["synthetic", "cerebellar_cortex", "quick"])
+def test_bundled_parameters_are_known(name):
+    import warnings
+
+    from eventloom import config
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        for key, categories in config.fan_out(config.load_default(name, "/x")["pipeline"]).items():
+            for given in categories.values():
+                assert registry.find(key).params(given).keys() >= given.keys()
