@@ -181,7 +181,8 @@ def disclosing_terms(
     # Document frequencies of the candidate terms over the whole corpus.
     words = _keyed(docs, id_col, text_col).select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     words = passing(words, F.col("term"), pairs, "term")
-    terms = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # Counted before they meet the candidates, so that a task sends a term once.
+    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     pairs = pairs.join(terms, "term").where(risk(F.col("n_entity"), F.col("n_term")) >= generalise_at)
     pairs = cut(pairs, "rare")
 
