@@ -27,6 +27,8 @@ from eventloom.llm._common import give_back
 
 PROFILE = 400
 TRAIN_DOCS = 3000
+#: Profiles of all languages stand in every worker, so their number is checked.
+MOST_LANGUAGES = 1000
 CHUNK = 1 << 20
 BLANK = 32
 UNKNOWN = "und"
@@ -88,7 +90,9 @@ def training_rows(docs: DataFrame, may_learn: Column, id_col: str, text_col: str
     many = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     many = many.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("n"))
-    cuts = many.select("_lang", share.alias("share")).collect()
+    cuts = many.select("_lang", share.alias("share")).limit(MOST_LANGUAGES + 1).collect()
+    if len(cuts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels: {lang_col!r} doesn't look like a language")
     chosen = F.lit(False)
     for r in cuts:  # one row per language
         below = F.pmod(F.col("h"), F.lit(1 << 30)) < int(r["share"] * (1 << 30))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm._common import cut, give_back
+from eventloom.llm._common import cut, give_back, passing, salted_join
 
 SEED = 42
 PART_BYTES = 1 << 20
@@ -262,16 +262,16 @@ def near_duplicates(
     ignored, and an empty table gives no rows.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle), "prints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct")
+    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct")
     tree = cut(components(links(distinct, max_distance, blocks)), "tree")
     linked = cut(distinct.join(tree, distinct["fp"] == tree["node"]).select("fp", "root", "least_id"), "linked")
     names = cut(linked.groupBy("root").agg(F.min("least_id").alias("name")), "names")
-    named = linked.join(names, "root").select(F.col("fp").alias("_fp"), "name")
-    named = cut(
-        distinct.join(named, distinct["fp"] == named["_fp"], "left").select(
-            F.col("fp").alias("_fp"), F.coalesce("name", "least_id").alias("component_id")
-        ),
-        "components",
-    )
-    out = prints.join(named, prints["fp"] == named["_fp"])
+    named = salted_join(linked, names.withColumnRenamed("root", "_root"), "root", "_root", F.col("fp")).select(F.col("fp").alias("_fp"), "name")
+    # Fingerprints of one row that are linked with none need no join: the row is its own component.
+    copies = distinct.join(named, distinct["fp"] == named["_fp"], "left").where("n > 1 or _fp is not null")
+    shared = cut(copies.select(F.col("fp").alias("_fp"), F.coalesce("name", "least_id").alias("_name")), "components")
+    alone = passing(prints, F.col("fp"), shared, "_fp", how="left_anti").select("id", "fp", F.col("id").alias("component_id"))
+    maybe = salted_join(passing(prints, F.col("fp"), shared, "_fp"), shared.withColumn("_met", F.lit(True)), "fp", "_fp", F.col("id"), "left")
+    maybe = maybe.select("id", "fp", F.when(F.col("_met"), F.col("_name")).otherwise(F.col("id")).alias("component_id"))
+    out = alone.union(maybe)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
