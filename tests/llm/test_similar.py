@@ -66,6 +66,51 @@ def test_large_clusters_apart_from_their_hub(make_docs, monkeypatch):
     assert groups(make_docs(rows)) == brute(rows) == {k: 0 for k in range(20)}
 
 
+@pytest.mark.parametrize("limit, batch", [(4, 10_000), (4, 3), (1, 1)])
+def test_buckets_that_are_not_held(spark, make_docs, monkeypatch, limit, batch):
+    monkeypatch.setattr(similar, "LIMIT", limit)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rows = planted()[:49]
+        assert groups(make_docs(rows)) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_hot_buckets_lose_no_pair(spark, monkeypatch):
+    """Two clusters, and rows between them, agree in whole bands: candidates are those of all pairs that meet."""
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 1 << 63, similar.WORDS).astype(np.uint64)
+    prints = []
+    for flips in (0, 60, 90, 330):
+        base = centre.copy()
+        for bit in rng.choice(similar.BITS - 512, flips, replace=False):
+            base[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        for _ in range(40):
+            own = base.copy()
+            for bit in rng.choice(similar.BITS - 512, 25, replace=False):
+                own[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+            prints.append(own)
+    table = np.array(prints)
+    rows = [(k, *(int(x) - (1 << 64) if x >> np.uint64(63) else int(x) for x in p)) for k, p in enumerate(prints)]
+    frame = spark.createDataFrame(rows, "node long, " + ", ".join(f"w{k} long" for k in range(similar.WORDS)))
+    lanes = table.view("<u2")
+    near = sum(np.bitwise_count(table[:, None, k] ^ table[None, :, k]).astype(int) for k in (0, 1)) <= similar.CHECK_MOST
+    meet = np.array([[(x == y).any() for y in lanes] for x in lanes]) & near
+    label = np.arange(len(rows))
+    while (new := np.array([label[meet[i]].min() for i in range(len(rows))])).tolist() != label.tolist():
+        label = new
+    for limit in (16_384, 30, 7):
+        monkeypatch.setattr(similar, "LIMIT", limit)
+        from eventloom.llm.simhash import components
+
+        got = {r["node"]: r["root"] for r in components(similar.candidates(frame)).collect()}
+        sets = {}
+        for k in range(len(rows)):
+            sets.setdefault(got.get(k, ("alone", k)), set()).add(int(label[k]))
+        assert all(len(x) == 1 for x in sets.values()) and len(sets) == len(set(label.tolist()))
+
+
 def test_one_row_of_each_group_stays(spark, make_docs):
     rows = planted()
     left = similar.one_of_each(make_docs(rows)).collect()
