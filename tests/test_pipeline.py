@@ -539,3 +539,21 @@ def test_bundled_parameters_are_known(name):
         for key, categories in config.fan_out(config.load_default(name, "/x")["pipeline"]).items():
             for given in categories.values():
                 assert registry.find(key).params(given).keys() >= given.keys()
+
+
+def test_merged_trains_are_those_of_the_planted_neurons(spark, planted):
+    """Event by event: each merged unit has nearly all events of one neuron (as detector a found them), and no others."""
+    out = pipeline.Pipeline(planted, STEPS).run()
+    truth, got = {}, {}
+    for r in planted.spikes.where("sorting = 'a'").collect():
+        truth.setdefault(r["unit_id"], []).append(r["sample_index"])
+    for r in out.spikes.collect():
+        got.setdefault(r["unit_id"], []).append(r["sample_index"])
+    matched = set()
+    for times in got.values():
+        found = np.array(sorted(times))
+        near = {u: np.abs(found[:, None] - np.array(t)[None, :]).min(axis=1) <= 3 for u, t in truth.items()}
+        (best,) = [u for u, hit in near.items() if hit.mean() > 0.99]
+        assert len(found) >= 0.95 * len(truth[best])
+        matched.add(best)
+    assert matched == set(truth)
