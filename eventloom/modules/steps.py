@@ -200,8 +200,7 @@ def merge_sortings(data: Dataset, params: dict) -> Dataset:
     window = max(0, round(meta.samples(params["similarity"]["window"])))
     max_shift = max(1, round(meta.samples(params["max_shift"])))
     spikes = graph.settle(trains.drop_duplicates(data.spikes, t_c), "spikes")
-    units = data.units.join(spikes.select(*UNIT).distinct(), [*UNIT], "left_semi")
-    data = data.replace(spikes=spikes, units=units)
+    data = selection.without_empty(data.replace(spikes=spikes))
     shifts = graph.settle(trains.cross_shifts(spikes, max_shift), "shifts")
     compared = graph.settle(metrics.compared(data, window, shifts), "compared").join(shifts, list(PAIR), "left").fillna({"shift": 0})
 

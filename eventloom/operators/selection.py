@@ -32,6 +32,11 @@ def split_dataset(data: Dataset, condition: Column) -> tuple[Dataset, Dataset]:
     return data.only(inside), data.only(outside)
 
 
+def without_empty(data: Dataset) -> Dataset:
+    """The dataset without units that have no events."""
+    return data.replace(units=data.units.join(data.spikes.select(*UNIT).distinct(), [*UNIT], "left_semi"))
+
+
 def _measured(data: Dataset, rules: dict[str, dict]) -> DataFrame:
     """Units with a column m0, m1, ... for each metric of the rules."""
     out = data.units

@@ -125,6 +125,55 @@ def smoothed_rate(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(*UNIT, F.col("at").cast("long").alias("at"), r6("rate").alias("rate"))
 
 
+@query(
+    f"""WITH {SPIKES_SQL}, ends AS (
+  SELECT sorting, unit_id, min(sample_index) >= 2000 AS low, max(sample_index) <= 430000 AS high FROM spikes WHERE sample_index < 431000 GROUP BY ALL
+), mirrored AS (
+  SELECT sorting, unit_id, unnest([sample_index, CASE WHEN low THEN 4000 - sample_index END, CASE WHEN high THEN 860000 - sample_index END]) AS t FROM spikes JOIN ends USING (sorting, unit_id) WHERE sample_index < 431000
+), g AS (SELECT unnest(range(432)) * 1000 AS x)
+SELECT sorting, unit_id, x::BIGINT AS "at", round(sum(exp(-((t - x) / 400.0::DOUBLE) * ((t - x) / 400.0::DOUBLE) / 2)) / {400 * math.sqrt(2 * math.pi)!r}::DOUBLE, 6) AS rate
+FROM mirrored JOIN g ON t BETWEEN x - 2000 AND x + 2000 GROUP BY ALL"""
+)
+def smoothed_rate_mirrored(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates with the events mirrored at margins beyond which a train has none."""
+    early = surrogate.detectors(spark, sf).spikes.where("sample_index < 431000")
+    found = trains.smoothed_rate(early, [*UNIT], 0, 432_000, 1000, 400.0, reflect=(2000, 430_000))
+    return found.select(*UNIT, F.col("at").cast("long").alias("at"), r6("rate").alias("rate"))
+
+
+@query(f"WITH {SPIKES_SQL} SELECT sorting, unit_id FROM counts JOIN (SELECT DISTINCT sorting, unit_id FROM spikes WHERE sample_index < 300) USING (sorting, unit_id)")
+def empty_units(spark: SparkSession, sf: str) -> DataFrame:
+    """The units that are left when those without events early in the recording go."""
+    data = surrogate.detectors(spark, sf)
+    return selection.without_empty(data.replace(spikes=data.spikes.where("sample_index < 300"))).units.select(*UNIT)
+
+
+@query(f"WITH {SPIKES_SQL} SELECT sorting, unit_id FROM counts WHERE sorting = 'B' OR n_spikes * 30000.0::DOUBLE / 432000 >= 60")
+def sorting_subset(spark: SparkSession, sf: str) -> DataFrame:
+    """A step that is given some sortings leaves the others as they are."""
+    from eventloom.pipeline import Pipeline
+
+    steps = {"remove_bad_units": {"all": {"firing_rate": {"min": 60}, "sortings": ["A", "C"]}}}
+    return Pipeline(surrogate.detectors(spark, sf), steps).run().units.select(*UNIT)
+
+
+@query(
+    f"""WITH {SPIKES_SQL}, a AS (SELECT unit_id, sample_index FROM spikes WHERE sorting = 'A' AND unit_id % 3 = 0), b AS (SELECT unit_id // 2 AS unit_id, sample_index FROM spikes WHERE sorting = 'A' AND unit_id % 3 = 1),
+u AS (SELECT unit_id, EXISTS (FROM a WHERE a.unit_id = x.unit_id) AS clash FROM (SELECT DISTINCT unit_id FROM b) x), top AS (SELECT max(unit_id) AS m FROM (SELECT unit_id FROM a UNION ALL SELECT unit_id FROM b)),
+r AS (SELECT unit_id, CASE WHEN clash THEN m + row_number() OVER (PARTITION BY clash ORDER BY unit_id) ELSE unit_id END AS new_id FROM u, top)
+SELECT unit_id, sample_index FROM a UNION ALL SELECT new_id, sample_index FROM b JOIN r USING (unit_id)"""
+)
+def stacked_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of two categories as one sorting: only ids that clash are new."""
+    from eventloom.meta import dataset
+    from eventloom.pipeline import Pipeline
+
+    a = surrogate.detectors(spark, sf).spikes.where("sorting = 'A'")
+    first = dataset(a.where("unit_id % 3 = 0"), META)
+    second = dataset(a.where("unit_id % 3 = 1").withColumn("unit_id", F.floor(F.col("unit_id") / 2)), META)
+    return Pipeline._stacked(first, second).spikes.select("unit_id", "sample_index")
+
+
 # Pairs of trains.
 
 PAIRS_SQL = f"""{SPIKES_SQL}, pairs AS (
@@ -498,6 +547,29 @@ def remove_redundant(spark: SparkSession, sf: str) -> DataFrame:
     return merging.remove_redundant(graph.settled(surrogate.redundant_sorting(spark, sf)), WINDOW, 1.0, 5.5)
 
 
+@query(
+    f"""WITH RECURSIVE {REFRACTORY_SQL}, spikes AS (
+  SELECT unit_id, sample_index FROM rf UNION ALL SELECT unit_id + 100, sample_index FROM rf WHERE unit_id < 4 AND sample_index % 5 <> 0
+  UNION ALL SELECT unit_id + 200, sample_index FROM rf WHERE unit_id BETWEEN 4 AND 7 AND sample_index % 4 = 0
+), n AS (
+  SELECT unit_id, count(*) AS n FROM spikes GROUP BY ALL
+), near AS (
+  SELECT a.unit_id AS u1, b.unit_id AS u2, count(*) AS nc FROM spikes a JOIN spikes b ON a.unit_id < b.unit_id AND a.sample_index BETWEEN b.sample_index - {WINDOW} AND b.sample_index + {WINDOW} GROUP BY ALL
+), ranked AS (
+  SELECT u1, u2, a.n AS n1, b.n AS n2, row_number() OVER (ORDER BY u2, u1) AS k FROM near JOIN n a ON a.unit_id = u1 JOIN n b ON b.unit_id = u2
+  WHERE nc / least(a.n, b.n)::DOUBLE >= 0.7 AND nc / (a.n + b.n - nc)::DOUBLE >= 0.3
+), g AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS gone
+  UNION ALL SELECT r.k, CASE WHEN list_contains(gone, u1) OR list_contains(gone, u2) THEN gone ELSE list_append(gone, CASE WHEN n2 > n1 THEN u1 ELSE u2 END) END FROM g JOIN ranked r ON r.k = g.k + 1
+) SELECT 'V' AS sorting, unnest((SELECT gone FROM g ORDER BY k DESC LIMIT 1)) AS unit_id"""
+)
+def redundant_units(spark: SparkSession, sf: str) -> DataFrame:
+    """The units that go because a larger one of their sorting has most of their events."""
+    data = graph.settled(surrogate.redundant_sorting(spark, sf))
+    rank = unit_counts(data.spikes).withColumnRenamed("n_spikes", "value")
+    return merging.redundant_units(data, WINDOW, 0.7, rank, 0.3)[0]
+
+
 @query()
 def communities(spark: SparkSession, sf: str) -> DataFrame:
     data = surrogate.detectors(spark, sf)
@@ -715,6 +787,23 @@ def template_diff(spark: SparkSession, sf: str) -> DataFrame:
     return waves.template_differences(found, pairs).select("u1", "u2", r6("difference").alias("difference"))
 
 
+@query(
+    f"""WITH {TEMPLATES_SQL}, b AS (
+  SELECT x.unit_id AS u1, y.unit_id AS u2, lag, x.value AS v1, y.value AS v2 FROM templates x JOIN templates y ON x.unit_id < y.unit_id AND x.channel = y.channel, range(-2, 3) AS g(lag) WHERE x.sample = y.sample + lag
+), l AS (
+  SELECT u1, u2, lag, sum(abs(v1 - v2)) / sum(abs(v1) + abs(v2)) AS difference FROM b GROUP BY ALL
+) SELECT u1, u2, round(min(difference), 6) AS difference FROM l GROUP BY ALL"""
+)
+def lagged_template_diff(spark: SparkSession, sf: str) -> DataFrame:
+    found = graph.settle(surrogate.templates(spark, sf))
+    return waves.lagged_differences(found, merging.pairs_within(found.select(*UNIT).distinct()), 2).select("u1", "u2", r6("difference").alias("difference"))
+
+
+@query(f"WITH {PEAKS_SQL} SELECT unit_id, (arg_max(sample, (abs(value), -sample)) - 3)::INT AS shift FROM templates JOIN ranked USING (unit_id, channel) WHERE rank = 1 GROUP BY ALL")
+def extremum_shift(spark: SparkSession, sf: str) -> DataFrame:
+    return waves.extremum_shifts(surrogate.templates(spark, sf), 3).select("unit_id", "shift")
+
+
 @query(
     f"""WITH {SPIKES_SQL}, o AS (
   SELECT *, row_number() OVER () AS id FROM spikes
@@ -891,6 +980,24 @@ def sampled_spikes(spark: SparkSession, sf: str) -> DataFrame:
     return waves.sampled_spikes(surrogate.detectors(spark, sf).spikes, 50)
 
 
+@query(f"WITH {FRAMES_SQL} SELECT unit_id, t AS sample_index, s::INT AS sample, channel, round(v, 6) AS value FROM e, range(12) AS g(s) JOIN f ON f.frame = t - 5 + s")
+def event_waveforms(spark: SparkSession, sf: str) -> DataFrame:
+    """The frames around every event, which reach into the chunks before and after its own."""
+    data = _recorded(spark, sf)
+    rows = waves.event_frames(data.spikes, data.recording, 5, 7)
+    return rows.select("unit_id", "sample_index", "sample", F.posexplode("row").alias("channel", "value")).withColumn("value", r6("value"))
+
+
+@query(f"WITH {FRAMES_SQL}, m AS (SELECT median(noise) AS m FROM noise) SELECT channel FROM noise, m WHERE noise <= 1.01 * m AND noise * 1.01 >= m")
+def good_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """The channels whose noise is within 1% of the median channel's."""
+    from eventloom.sources.tables import remove_bad_channels
+
+    chunks, kept = remove_bad_channels(_recorded(spark, sf).recording, META, 1.01)
+    places = waves.long_recording(chunks).select("channel").distinct()
+    return places.select(F.get(F.array(*map(F.lit, kept)).cast("array<int>"), F.col("channel")).alias("channel"))
+
+
 @query(
     """WITH f AS (SELECT vec_id * 8 + k // 8 AS frame, (k % 8)::INT AS channel, v FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings))
 SELECT frame, CASE channel WHEN 6 THEN 0 WHEN 1 THEN 1 ELSE 2 END::INT AS channel, round(v, 6) AS value FROM f WHERE channel IN (1, 3, 6)"""
