@@ -107,9 +107,10 @@ SALTS = 8
 
 def salted_join(left: DataFrame, right: DataFrame, on: str, key: str, spread: Column, how: str = "inner") -> DataFrame:
     """left joined on left[on] = right[key] (nulls meet), right having one row per key: a key that many rows of left share is spread over
-    SALTS tasks by the hash of ``spread``, whatever adaptive execution makes of it.  key is dropped; right is written SALTS times, so it should be the smaller side."""
+    SALTS tasks by the hash of ``spread``, whatever adaptive execution makes of it.  key is dropped.  right is sent SALTS times, so it should be
+    the smaller side by far; it is merged, never broadcast, as it has no bound."""
     salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    copies = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     same = (F.col("_salt") == F.col("_salt2")) & F.col(on).eqNullSafe(F.col(key))
     return left.withColumn("_salt", salt).join(copies, same, how).drop("_salt", "_salt2", key)
 
