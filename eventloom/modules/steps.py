@@ -144,7 +144,7 @@ def merge_units(data: Dataset, params: dict) -> Dataset:
         waves = graph.settle(source.templates, "templates")
         if source.channels is not None:
             places = graph.settle(templates.unit_locations(waves, source.channels), "places")
-            pairs = templates.near_pairs(pairs, places, rules["unit_locations"]["max_distance_um"])
+            pairs = templates.near_units(places.join(counts.where("n_spikes > 0").select(*UNIT), [*UNIT]), rules["unit_locations"]["max_distance_um"])
         lag = int(round(data.meta.samples(rules["template_similarity"].get("max_lag_ms", 0.0))))
         alike = templates.lagged_differences(waves, graph.settle(pairs, "near"), lag)
         pairs = alike.where(F.col("difference") <= rules["template_similarity"]["template_diff_thresh"]).withColumnRenamed("difference", "temp_diff")

@@ -105,6 +105,20 @@ def unit_locations(templates: DataFrame, channels: DataFrame) -> DataFrame:
     return peaks.groupBy(*UNIT).agg(weighted("x"), weighted("y"))
 
 
+def near_units(locations: DataFrame, distance: float) -> DataFrame:
+    """All pairs (s1, u1, s2, u2), u1 < u2, of units of one sorting at most distance apart.
+
+    Units are dealt to square cells as wide as the distance, and meet those of the nine cells around them; units of unknown place are near none.
+    """
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(distance))).cast("bigint")
+    around = lambda c: F.explode(F.array(c - 1, c, c + 1))
+    one = locations.select(F.col("sorting").alias("s1"), F.col("unit_id").alias("u1"), F.col("x").alias("x1"), F.col("y").alias("y1"), cell("x").alias("cx"), cell("y").alias("cy"))
+    two = locations.select(F.col("sorting").alias("s2"), F.col("unit_id").alias("u2"), F.col("x").alias("x2"), F.col("y").alias("y2"), cell("y").alias("_y"), around(cell("x")).alias("_x"))
+    two = two.withColumn("_y", around(F.col("_y")))
+    met = one.join(two, (F.col("s1") == F.col("s2")) & (F.col("cx") == F.col("_x")) & (F.col("cy") == F.col("_y")) & (F.col("u1") < F.col("u2")))
+    return met.where(F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")) <= distance).select(*PAIR)
+
+
 def near_pairs(pairs: DataFrame, locations: DataFrame, distance: float) -> DataFrame:
     """Pairs (s1, u1, s2, u2) of units at most distance apart."""
     one, two = locations.toDF("s1", "u1", "x1", "y1"), locations.toDF("s2", "u2", "x2", "y2")

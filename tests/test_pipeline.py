@@ -127,6 +127,11 @@ def test_places(spark):
     assert {r["unit_id"]: r["y"] for r in places.collect()} == {0: 0.0, 1: 5.0, 2: 40.0}
     pairs = spark.createDataFrame([("a", 0, "a", 1), ("a", 0, "a", 2)], "s1 string, u1 long, s2 string, u2 long")
     assert [r["u2"] for r in templates.near_pairs(pairs, places, 10).collect()] == [1]
+    rng = np.random.default_rng(2)
+    spots = [(s, u, *map(float, rng.uniform(-60, 60, 2))) for s in "ab" for u in range(40)] + [("a", 99, None, None), ("a", 100, 0.0, 0.0), ("a", 101, 20.0, 0.0)]
+    found = templates.near_units(spark.createDataFrame(spots, "sorting string, unit_id long, x double, y double"), 20.0)
+    want = {(s, u, r, v) for s, u, x, y in spots for r, v, p, q in spots if s == r and u < v and x is not None and p is not None and np.hypot(x - p, y - q) <= 20.0}
+    assert {tuple(r) for r in found.collect()} == want and ("a", 100, "a", 101) in want
 
 
 def test_raw_recording_and_templates(spark, tmp_path):
