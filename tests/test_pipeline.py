@@ -267,7 +267,7 @@ def test_greedy_contraction_event_by_event(spark, seed):
     assert len(brute_merging(trains, pairs, t_max, 4.0, 40.0, 4.0)) < len(trains) - 3
 
 
-def test_merge_units_step(spark):
+def test_merge_units_step(spark, tmp_path):
     """Splits are merged, and a contaminated split that lowers the score goes."""
     rng, t_max = np.random.default_rng(5), 400_000
     whole = np.cumsum(rng.integers(60, 500, 1500))
@@ -286,6 +286,12 @@ def test_merge_units_step(spark):
     assert sorted(r["unit_id"] for r in out.units.collect()) == [0, 3]
     assert sorted(r["sample_index"] for r in out.spikes.where("unit_id = 0").collect()) == whole.tolist()
     assert {(r["unit_id"], r["reason"][:5]) for r in out.audit[-1].collect()} == {(1, "merge"), (2, "split")}
+    # With places known, and differences kept; units too far apart aren't compared.
+    placed = data.replace(channels=spark.createDataFrame([(c, 0.0, 20.0 * c) for c in range(3)], "channel int, x double, y double"))
+    near = pipeline.Pipeline(placed, {"merge_units": {"all": params | {"differences_folder": str(tmp_path)}}}).run()
+    assert sorted(r["unit_id"] for r in near.units.collect()) == [0, 3]
+    kept = spark.read.parquet(f"{tmp_path}/differences")
+    assert {(r["u1"], r["u2"]) for r in kept.collect()} == {(0, 1), (0, 2), (1, 2)} and kept.where("corr_diff is null or temp_diff > 0.25").count() == 0
 
 
 def test_merged_units_gives_every_verdict(spark):
