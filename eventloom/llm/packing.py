@@ -35,10 +35,11 @@ CAPACITY = 2048
 END_ID = 1
 MAX_OPEN = 2048
 #: Bytes of words and ids that a task remembers.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 48 << 20
 ENTRY_BYTES = 150
-#: Texts given to Arrow at a time.
+#: Texts given to Arrow at a time, and pieces that wait to be given back.
 CALL_BYTES, CALL_ROWS = 8 << 20, 4096
+WAITING = 1024
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 if array("I").itemsize != 4 or sys.byteorder != "little":
@@ -135,9 +136,9 @@ class WordIds:
             self._encode_letters(list(filterfalse(known.__contains__, set(keys))))
             self._encode_each(list(filterfalse(known.__contains__, set(others))))
             marks = {b",": known[b","], b".": known[b"."]}
-            more = [(w, known[k] + marks.get(w[-1:], b"")) for w, k in zip(plain, keys, strict=True) if w != k]
-            if more:
-                self._add(*zip(*more, strict=True))
+            # Forms of a known word are made again in each call: they would fill the memo.
+            forms = {w: known[k] + marks.get(w[-1:], b"") for w, k in zip(plain, keys, strict=True) if w != k}
+            return [known[w] if w in known else forms[w] for w in words]
         return list(map(known.__getitem__, words))
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
@@ -151,7 +152,10 @@ class WordIds:
         index = coded.indices.to_numpy(zero_copy_only=False)
         n = sizes[index]
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.arange(upto[-1]) + np.repeat(first[index] - upto[:-1], n)]
+        small = np.int32 if max(upto[-1], len(pool)) < 1 << 31 else np.int64
+        places = np.repeat((first[index] - upto[:-1]).astype(small), n)
+        places += np.arange(upto[-1], dtype=small)
+        ids = pool[places]
         ends = upto[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
         return [ids[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)]
 
@@ -302,7 +306,7 @@ def pack(
                 at += n
                 for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1)), strict=True):
                     packer.add(doc, ids + end)
-                if len(packer.out) > 4096:
+                if len(packer.out) > WAITING:
                     yield rows()
         packer.settle()
         if packer.out:

@@ -111,3 +111,14 @@ def test_edges(make_docs):
     rows = packing.pack(docs, PATH).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["doc_tokens"]) for r in rows) == [(False, 0, 1), (False, 1, 1), (False, 5, 2), (False, 5, 2), (True, 0, 2)]
     assert packing.pack(make_docs([]), PATH).count() == 0
+
+
+def test_forms_of_words_do_not_fill_the_memo():
+    words = packing.WordIds(PATH)
+    base = [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "klmnrst"]
+    texts = [" ".join(base), " ".join(f"{w.title()}, {w.upper()}. {w}." for w in base)]
+    got = words.encode(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokencount.load(PATH).encode(text, add_special_tokens=False).ids
+    assert len(words.known) <= len(base) + 2
+    assert [x.tobytes() if hasattr(x, "tobytes") else x for x in words.encode(texts)] == got
