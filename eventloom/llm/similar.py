@@ -11,18 +11,21 @@ as many bits of hashes of the distinct shingles, and are linked in three steps:
    distinct texts, take wider bands and more bits.)
 2. Of the pairs that meet, those whose first ``CHECK`` bits differ in more than ``CHECK_MOST`` places are
    discarded: chance pairs (64 +- 6 of 128), hardly a pair of similarity 0.8 (19 +- 4).  Only a forest leaves a
-   task, whose components are clusters of candidates.
+   task, whose components are clusters of candidates.  Clusters of more than ``GROUP`` nodes are loose chains that grow
+   with the corpus: in them, whole fingerprints are compared, and only pairs that differ in at most ``WIDE_MOST`` of
+   ``BITS`` bits (154 +- 11 at 0.8, so one pair in 10^9 is beyond) stay together.
 3. Survivors are verified on their whole sets: within a cluster, a link is a Jaccard similarity of ``least``
    or more.  Clusters of more than ``GROUP`` sets are dealt to parts, each with the cluster's first set (its
    hub); what a part links to its hub is one component at once, and only pairs of different components
-   meet in a second round, part by part.  A task holds at most about twice GROUP sets.
+   meet in a second round, in cells of the nodes that are apart from the hub by those of the cluster.  A task holds
+   at most about twice GROUP sets.
 
 Sets that are equal are one node throughout, so copies, however many, are never compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice, repeat
 
 import numpy as np
@@ -36,7 +39,10 @@ from eventloom.llm.simhash import SEED, _merge, _mixed, _words, components
 BITS, BAND = 1024, 16
 WORDS = BITS // 64
 CHECK, CHECK_MOST = 128, 38
+WIDE_MOST = 224
 GROUP = 128
+#: Fingerprints of one side of a cell in which large clusters are refined.
+CELL = 2048
 #: Buckets of more rows than this are compared block by block.
 SMALL = 64
 #: Rows of a bucket that a task holds.
@@ -98,13 +104,25 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     return rows.mapInArrow(run, f"id {kind}, body bigint, node bigint, " + ", ".join(f"{w} bigint" for w in words))
 
 
+def apart_by(words: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits of the words the rows a[i] and b[i] differ."""
+    return sum(np.bitwise_count(c[a] ^ c[b]).astype(np.int16) for c in words)
+
+
 def close(check: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Those pairs (a[i], b[i]) of rows whose check words differ in few enough bits."""
-    apart = sum(np.bitwise_count(c[a] ^ c[b]).astype(np.int16) for c in check)
-    return a[apart <= CHECK_MOST], b[apart <= CHECK_MOST]
+    keep = apart_by(check, a, b) <= CHECK_MOST
+    return a[keep], b[keep]
+
+
+def alike(words: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs of ``close`` whose whole fingerprints differ in few enough bits, too."""
+    a, b = close(words[: CHECK // 64], a, b)
+    keep = apart_by(words, a, b) <= WIDE_MOST
+    return a[keep], b[keep]
 
 
-def compared(label: np.ndarray, check: list[np.ndarray], low: int, high: int) -> np.ndarray:
+def compared(label: np.ndarray, check: list[np.ndarray], low: int, high: int, test: Callable = close) -> np.ndarray:
     """Labels after linking the close ones of the rows low to high - 1, of which only pairs of different labels are looked at, block by block."""
     for k in range(low, high, 256):
         rows = np.arange(k, min(k + 256, high))
@@ -112,7 +130,7 @@ def compared(label: np.ndarray, check: list[np.ndarray], low: int, high: int) ->
             cols = np.arange(c, min(c + 4096, high))
             a, b = np.nonzero(label[rows][:, None] != label[cols][None, :])
             if len(a):
-                label = _merge(label, *close(check, rows[a], cols[b]))
+                label = _merge(label, *test(check, rows[a], cols[b]))
     return label
 
 
@@ -223,6 +241,30 @@ def candidates(prints: DataFrame) -> DataFrame:
     return edges.union(more)
 
 
+def refined(clusters: DataFrame, prints: DataFrame) -> DataFrame:
+    """clusters (node, root) with those of more than GROUP nodes parted by ``alike``; nodes that it leaves alone go.
+
+    Each pair of a cluster meets in a cell of at most about twice CELL fingerprints, which are a fraction of the sets that are verified later.
+    """
+    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+    large = cut(sizes.select("root", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "loose")
+    if large.isEmpty():
+        return clusters
+    words = [f"w{k}" for k in range(WORDS)]
+
+    def cell(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        label = compared(np.arange(len(node)), [group.column(w).to_numpy().view(np.uint64) for w in words], 0, len(node), alike)
+        linked = np.flatnonzero(label != np.arange(len(node)))
+        return pa.table({"a": pa.array(node[linked]), "b": pa.array(node[label[linked]])})
+
+    inside = prints.join(clusters.join(large, "root"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = inside.select("root", F.least("part", "other").alias("line"), F.greatest("part", "other").alias("column"), "node", *words)
+    edges = cut(cells.groupBy("root", "line", "column").applyInArrow(cell, "a bigint, b bigint"), "alike")
+    return clusters.join(large, "root", "left_anti").select("node", "root").union(components(edges).toDF("node", "root"))
+
+
 def verified(nodes: np.ndarray, label: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the pairs of nodes of different labels whose sets have a similarity of least or more.
 
@@ -261,7 +303,7 @@ def _compared(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame:
     """a, b: edges whose components are those of the verified pairs; rows: what fingerprints gave."""
     prints = rows.where("node <> 0").select("node", *[f"w{k}" for k in range(WORDS)]).distinct()
-    clusters = cut(components(candidates(prints)), "clusters")
+    clusters = cut(refined(cut(components(candidates(prints)).toDF("node", "root"), "loose_clusters"), prints), "clusters")
 
     # One text a node, and its set made again: only candidates' texts are read.
     bodies = passing(rows.select("node", "body"), F.col("node"), clusters, "node").join(clusters, "node", "left_semi")
@@ -295,11 +337,14 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, least:
     inside = clusters.join(large, "root").join(tree, "node", "left").withColumn("label", F.coalesce("label", "node"))
     hubs = inside.where("node = root").select("root", F.col("label").alias("hub_label"))
     inside = cut(inside.join(hubs, "root"), "inside")
-    apart = inside.where("label <> hub_label").withColumn("part", part)
-    rows_of = apart.select("root", "part").distinct()
-    cells = inside.withColumn("column", part).join(rows_of, "root").select("root", "part", "column", "node", "label")
-    own = apart.withColumn("column", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", "part", "column", "node", "label")
-    second = cells.union(own).distinct().select(F.xxhash64("root", "part", "column").alias("group"), "node", "label")
+    apart = inside.where("label <> hub_label")
+    lines = cut(apart.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("lines")), "lines")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    line = F.pmod(F.xxhash64("node"), F.col("lines")).cast("int")
+    names = ["root", "line", "column", "node", "label"]
+    cells = inside.join(lines, "root").withColumn("column", part).withColumn("line", upto("lines")).select(*names)
+    own = apart.join(lines, "root").withColumn("line", line).withColumn("column", upto("parts")).select(*names)
+    second = cells.union(own).distinct().select(F.xxhash64("root", "line", "column").alias("group"), "node", "label")
     return found.union(_compared(second, sets, least))
 
 

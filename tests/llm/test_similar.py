@@ -169,3 +169,25 @@ def test_shingles_of_parts(monkeypatch, part):
     monkeypatch.setattr(simhash, "PART_BYTES", part)
     text = " ".join(f"w{i % 90}x{i % 7}" for i in range(1200))
     assert len(similar.shingles(text, 5)) == len(brute_set(text)) and np.all(np.diff(similar.shingles(text, 5).astype(float)) >= 0)
+
+
+def loose_cluster():
+    """Fingerprints that differ in a third of the bits, but for two close pairs; one cluster."""
+    rng = np.random.default_rng(5)
+    base = rng.random(similar.BITS) < 0.5
+    bits = base ^ (rng.random((300, similar.BITS)) < 0.2)
+    bits[1] = bits[0] ^ (rng.random(similar.BITS) < 0.1)
+    bits[201] = bits[200] ^ (rng.random(similar.BITS) < 0.1)
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
+@pytest.mark.parametrize("cell", [64, 2048])
+def test_loose_clusters_are_refined(spark, monkeypatch, cell):
+    monkeypatch.setattr(similar, "CELL", cell)
+    words = [f"w{k}" for k in range(similar.WORDS)]
+    prints = spark.createDataFrame([(i, *map(int, row)) for i, row in enumerate(loose_cluster())], ["node", *words])
+    clusters = spark.createDataFrame([(i, 0) for i in range(300)] + [(1000, 1000), (1001, 1000)], "node long, root long")
+    got = {}
+    for r in similar.refined(clusters, prints).collect():
+        got.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(sorted, got.values())) == [[0, 1], [200, 201], [1000, 1001]]
