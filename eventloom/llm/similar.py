@@ -9,8 +9,9 @@ as many bits of hashes of the distinct shingles, and are linked in three steps:
    band are equal.  A pair of similarity s meets with odds 1 - (1 - (1 - q)^BAND)^(BITS / BAND): 0.992 at
    0.8, 0.9999 at 0.85.  (Bands of b bits let chance pairs meet with odds 2^-b each; at many more than 10^8
    distinct texts, take wider bands and more bits.)
-2. Of the pairs that meet, those whose first ``CHECK`` bits differ in more than ``CHECK_MOST`` places are
-   discarded: chance pairs (64 +- 6 of 128), hardly a pair of similarity 0.8 (19 +- 4).  Only a forest leaves a
+2. Of the pairs that meet, those whose coordinates over mixed references (distances of the first ``CHECK`` bits)
+   differ by more than ``CHECK_MOST`` are discarded, then those whose bits themselves do: chance pairs (64 +- 6 of
+   128), hardly a pair of similarity 0.8 (19 +- 4).  Only a forest leaves a
    task, whose components are clusters of candidates.  Clusters of more than ``GROUP`` nodes are loose chains that grow
    with the corpus: in them, whole fingerprints are compared, and only pairs that differ in at most ``WIDE_MOST`` of
    ``BITS`` bits (154 +- 11 at 0.8, so one pair in 10^9 is beyond) stay together.
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm._common import cut, give_back, passing, salted_join
-from eventloom.llm.simhash import SEED, _merge, _mixed, _words, components
+from eventloom.llm.simhash import MIXED, SEED, _merge, _mixed, _words, components
 
 BITS, BAND = 1024, 16
 WORDS = BITS // 64
@@ -109,8 +110,18 @@ def apart_by(words: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     return sum(np.bitwise_count(c[a] ^ c[b]).astype(np.int16) for c in words)
 
 
+def within_reach(check: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs whose largest coordinate difference over mixed references is at most CHECK_MOST, as it is for all that differ in no more bits."""
+    for reference in MIXED.reshape(-1, CHECK // 64)[:2]:
+        at = sum(np.bitwise_count(c ^ p).astype(np.int16) for c, p in zip(check, reference, strict=True))
+        keep = np.abs(at[a] - at[b]) <= CHECK_MOST
+        a, b = a[keep], b[keep]
+    return a, b
+
+
 def close(check: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Those pairs (a[i], b[i]) of rows whose check words differ in few enough bits."""
+    a, b = within_reach(check, a, b)
     keep = apart_by(check, a, b) <= CHECK_MOST
     return a[keep], b[keep]
 

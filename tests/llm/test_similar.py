@@ -191,3 +191,16 @@ def test_loose_clusters_are_refined(spark, monkeypatch, cell):
     for r in similar.refined(clusters, prints).collect():
         got.setdefault(r["root"], set()).add(r["node"])
     assert sorted(map(sorted, got.values())) == [[0, 1], [200, 201], [1000, 1001]]
+
+
+def test_references_discard_before_bits_are_counted():
+    words = loose_cluster().view(np.uint64)
+    check = [words[:, 0].copy(), words[:, 1].copy()]
+    reference = similar.MIXED[:2]
+    for c, p in zip(check, reference, strict=True):
+        c[2], c[3] = p, ~p
+    a, b = similar.within_reach(check, np.array([0, 2, 2]), np.array([1, 3, 2]))
+    assert (a.tolist(), b.tolist()) == ([0, 2], [1, 2])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(300), np.arange(300)))
+    near = similar.apart_by(check, a, b) <= similar.CHECK_MOST
+    assert [x.tolist() for x in similar.close(check, a, b)] == [a[near].tolist(), b[near].tolist()]
