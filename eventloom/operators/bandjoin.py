@@ -11,8 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from eventloom.functions.stats import window_weight
 
@@ -98,11 +102,61 @@ def weighted_coincidences_of(spikes: DataFrame, wanted: DataFrame, windows: Sequ
     return wanted.join(found, [*PAIR, "shift"], "left").fillna(0.0, names)
 
 
+#: Up to so many bins, correlograms are counted by stretches of so many samples.
+FEW_BINS, LAID_OUT = 64, 4096
+
+
+def correlogram_by_stretches(spikes: DataFrame, wanted: DataFrame, max_time: int, bin_size: int) -> DataFrame:
+    """``correlogram_of`` without meeting events: trains are laid out by stretches of time, and the counts of all pairs of
+    units at a lag are one product of the trains and their running sums.
+
+    The work is that of the bins, units squared and samples, however many events there are.  max_time is a multiple of bin_size; wanted is of the size of a
+    graph and is sent to the tasks.
+    """
+    pairs = [tuple(r) for r in wanted.select(*PAIR, "shift").distinct().collect()]
+    halo = max_time + max((abs(r[4]) for r in pairs), default=0)
+    edges = range(-max_time, max_time + bin_size, bin_size)
+    kinds = {f.name: f.dataType.simpleString() for f in wanted.select(*PAIR, "shift").schema.fields}
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", bin int, n bigint"
+
+    def count(group: pa.Table) -> pa.Table:
+        start = group.column("stretch")[0].as_py() * LAID_OUT
+        names = list(zip(group.column("sorting").to_pylist(), group.column("unit_id").to_pylist(), strict=True))
+        row = {u: k for k, u in enumerate(dict.fromkeys(names))}
+        trains = np.zeros((len(row), LAID_OUT + 2 * halo + 1))
+        at = group.column("sample_index").to_numpy() - start + halo + 1
+        np.add.at(trains, ([row[u] for u in names], at), group.column("m").to_numpy())
+        upto, own = np.cumsum(trains, axis=1), trains[:, halo + 1 : halo + 1 + LAID_OUT]
+        found = []
+        for shift in {r[4] for r in pairs}:
+            first = halo + 1 - shift
+            sums = np.stack([own @ upto[:, first - e : first - e + LAID_OUT].T for e in edges])
+            # Of running sums up to both ends of a bin, the difference is what lies in it.
+            n = np.rint(sums[:-1] - sums[1:]).astype(np.int64)
+            for s1, u1, s2, u2, _ in (r for r in pairs if r[4] == shift):
+                if (s1, u1) not in row or (s2, u2) not in row:
+                    continue
+                counts = n[:, row[s1, u1], row[s2, u2]].copy()
+                if (s1, u1) == (s2, u2) and -max_time <= -shift < max_time:
+                    counts[(-shift + max_time) // bin_size] -= int(own[row[s1, u1]].sum())
+                found += [(s1, u1, s2, u2, shift, k - max_time // bin_size, int(counts[k])) for k in np.flatnonzero(counts).tolist()]
+        return pa.table([list(c) for c in zip(*found, strict=True)] if found else [[]] * 7, names=[*PAIR, "shift", "bin", "n"]).cast(to_arrow_schema(result))
+
+    result = StructType.fromDDL(schema)
+    counted = spikes.groupBy("sorting", "unit_id", "sample_index").agg(F.count(F.lit(1)).alias("m"))
+    stretch = lambda c: F.floor(c / F.lit(LAID_OUT)).cast("bigint")
+    dealt = counted.withColumn("stretch", F.explode(F.sequence(stretch(F.col("sample_index") - halo), stretch(F.col("sample_index") + halo))))
+    parts = dealt.select("stretch", "sorting", "unit_id", "sample_index", "m").groupBy("stretch").applyInArrow(count, result)
+    return parts.groupBy(*PAIR, "shift", "bin").agg(F.sum("n").cast("bigint").alias("n")).where("n > 0")
+
+
 def correlogram_of(spikes: DataFrame, wanted: DataFrame, max_time: int, bin_size: int) -> DataFrame:
     """n per wanted pair (s1, u1, s2, u2, shift) and bin = floor(d / bin_size), for -max_time <= d < max_time.
 
-    A unit with itself leaves out each event's pair with itself.
+    A unit with itself leaves out each event's pair with itself.  Few bins are counted by stretches, many by meeting events.
     """
+    if max_time % bin_size == 0 and 2 * max_time // bin_size <= FEW_BINS:
+        return correlogram_by_stretches(spikes, wanted, max_time, bin_size)
     pairs = events_of_pairs(spikes, wanted.select(*PAIR, "shift").distinct(), max_time).where(F.col("d") < max_time)
     own = (F.col("s1") == F.col("s2")) & (F.col("u1") == F.col("u2")) & (F.col("t1") == F.col("t2"))
     n = F.when(own, F.col("m1") * (F.col("m1") - 1)).otherwise(F.col("n"))

@@ -829,8 +829,9 @@ WHERE f.s1 <> f.s2 AND abs(f.bin) <= round((a.w * a.n + b.w * b.n) / (a.n + b.n)
 )
 def correlogram_diff(spark: SparkSession, sf: str) -> DataFrame:
     data = surrogate.detectors(spark, sf)
-    across = bandjoin.correlogram(data.spikes, 200, 20)
-    pairs = graph.settle(across.select(*bandjoin.PAIR).distinct())
+    units = graph.settle(data.units.select(*UNIT))
+    every = units.toDF("s1", "u1").join(units.toDF("s2", "u2"), F.col("s1") < F.col("s2")).withColumn("shift", F.lit(0))
+    pairs = graph.settle(bandjoin.correlogram_of(data.spikes, every, 200, 20).select(*bandjoin.PAIR).distinct())
     found = merging.pair_correlogram_differences(data.spikes, pairs, unit_counts(data.spikes), 10, 20, 0.5, 0.0)
     return found.select(*bandjoin.PAIR, r6("difference").alias("difference"))
 

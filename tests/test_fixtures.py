@@ -335,3 +335,15 @@ def test_components_of_random_graphs(spark, monkeypatch, one_task):
     got = {(r["sorting"], r["unit_id"]): tuple(r["component"]) for r in graph.components(nodes, edges).collect()}
     assert got == label
     assert graph.components(nodes, edges.limit(0)).where("component.unit_id <> unit_id").count() == 0
+
+
+def test_correlogram_by_stretches_counts_what_meeting_events_do(spark, monkeypatch):
+    from eventloom.operators import bandjoin
+
+    events = [(s, u, (t * 37 + 11 * u) % 900 - 40) for s in "AB" for u in (0, 1) for t in range(60)] + [("A", 0, 7)] * 3 + [("B", 1, 10_000)]
+    spikes = spark.createDataFrame(events, "sorting string, unit_id long, sample_index long")
+    wanted = spark.createDataFrame([("A", 0, "B", 0, 0), ("A", 0, "B", 1, 3), ("A", 0, "B", 1, -25), ("A", 0, "A", 0, 0), ("B", 1, "B", 1, 0), ("A", 9, "B", 0, 0)], "s1 string, u1 long, s2 string, u2 long, shift int")
+    monkeypatch.setattr(bandjoin, "FEW_BINS", 0)
+    want = sorted(map(tuple, bandjoin.correlogram_of(spikes, wanted, 60, 20).collect()))
+    monkeypatch.setattr(bandjoin, "LAID_OUT", 128)
+    assert sorted(map(tuple, bandjoin.correlogram_by_stretches(spikes, wanted, 60, 20).collect())) == want
