@@ -303,6 +303,22 @@ def test_merged_units_gives_every_verdict(spark):
     assert {("M", 0), ("M", 1), ("M", 2)} <= gone and all(s in "MY" for s, _ in gone)
 
 
+def test_binomial_tail_where_doubles_of_the_finite_sum_overflow():
+    from decimal import Decimal, localcontext
+
+    from eventloom.functions.stats import binomial_tail
+
+    # The SQL's sum for these gives infinity times zero; in decimals it is exact.
+    for x, n in ((13954, 81005717.42466305), (13414, 97461141.0), (1984, 6331444.340163529)):
+        with localcontext(prec=400) as context:
+            context.Emin, p, whole, term = -999_999, Decimal(60 / 432_000), Decimal(1), Decimal(1)
+            for i in range(x):
+                term *= (Decimal(n) - x + i) / (i + 1) * p
+                whole += term
+            want = 1 - ((Decimal(n) - x) * (1 - p).ln()).exp() * whole
+        assert binomial_tail(x, n, 60 / 432_000) == pytest.approx(float(want), rel=1e-6)
+
+
 # Redundant units.
 
 
