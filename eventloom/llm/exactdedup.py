@@ -1,11 +1,11 @@
 """Exact dedup with a log-structured merge index over text digests.
 
-Documents are digested and collected by key in memtables (Spark's map-side hash
+Documents are digested and collected by key in memtables of bounded size (Spark's map-side hash
 aggregation).  Before a memtable is flushed, its digests are looked up in the runs that are there: a run's Bloom
 filter passes the digests that it may hold, and only a run that has such digests is read.  The flush then
-writes a run: a Parquet table sorted by digest within its files, with the smallest identifier and the number of rows of
+writes a run: a Parquet table whose files are ranges of digests in order, with the smallest identifier and the number of rows of
 each digest, and beside it its filter.  Runs are never changed.  When a level has ``fanout`` runs,
-they are merged into one run of the next level, which keeps the smallest identifiers; a manifest names the
+they are merged into one run of the next level, which keeps the smallest identifiers (an input fills at least one level); a manifest names the
 runs of each version, so that an index can be opened again and added to.
 
 A digest that more than one row has, in a memtable or across runs, is only a hit: its rows are compared byte for
@@ -28,6 +28,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
+#: Rows (digest, id) that a memtable holds for each core, some 200 MB.
+MEMTABLE = 1 << 22
+
+
 class DigestIndex:
     """Levels of sorted digest runs below one folder; opens what is there.
 
@@ -58,7 +62,7 @@ class DigestIndex:
         name = f"run-{self.version:06d}-{level:02d}"
         data = f"{self.path}/{name}/data"
         merged = rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n_rows").alias("n_rows"))
-        merged.sortWithinPartitions("digest").write.mode("overwrite").parquet(data)
+        merged.sort("digest").write.mode("overwrite").parquet(data)
         written = self.spark.read.parquet(data)
         digests = written.count()
         words = bloom_words(digests)
@@ -119,7 +123,7 @@ def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    batches: int = 2,
+    batches: int | None = None,
     digest_bytes: int = 32,
 ) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
@@ -129,7 +133,8 @@ def exact_dedup(
     document and give one row, as an identifier can't be both kept and dropped; group_size counts all rows.
     A null id is larger than every other.  An empty table gives no rows; other columns are ignored.
 
-    batches: number of memtable flushes the input is dealt to, by a hash of the id.
+    batches: number of memtable flushes the input is dealt to, by a hash of the id.  By default as many as memtables of MEMTABLE
+    rows a core need, and no fewer than fill a level, so that runs are merged whatever the size.
     digest_bytes: length of the digests; short ones only serve to test collisions.
     """
     source = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"))
@@ -141,6 +146,9 @@ def exact_dedup(
         "digests",
     )
     index = DigestIndex(docs.sparkSession)
+    if batches is None:
+        room = MEMTABLE * docs.sparkSession.sparkContext.defaultParallelism
+        batches = max(index.fanout, -(-rows.count() // room))
     met = []
     for k in range(batches):
         memtable = rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k).select("digest", "id", "n_rows")

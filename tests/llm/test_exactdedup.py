@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.llm import exactdedup
 
@@ -103,3 +104,33 @@ def test_large_group_and_filter_without_room(make_docs, monkeypatch):
     assert run(make_docs(rows)) == want
     monkeypatch.setattr(_common, "MOST_BITS", 64)
     assert run(make_docs(rows)) == want
+
+
+def test_the_operator_fills_memtables_and_merges_levels(make_docs, monkeypatch):
+    built = []
+
+    class Watched(exactdedup.DigestIndex):
+        def __init__(self, *args, **options):
+            super().__init__(*args, **options)
+            built.append(self)
+
+    monkeypatch.setattr(exactdedup, "DigestIndex", Watched)
+    rows = [(i, f"t{i % 150}") for i in range(600)]
+    assert run(make_docs(rows)) == brute(rows)
+    # Four runs filled level 0 and were merged; memtables were looked up in the runs before them.
+    assert built[0].version == 4 and [r[1:3] for r in built[0].runs] == [(1, 150)] and len(set(built[0].read)) == 4
+    monkeypatch.setattr(exactdedup, "MEMTABLE", 600 // (6 * make_docs([]).sparkSession.sparkContext.defaultParallelism))
+    assert run(make_docs(rows)) == brute(rows)
+    assert built[1].version == 6 and sorted(r[1] for r in built[1].runs) == [0, 0, 1]
+
+
+def test_a_run_is_sorted_over_its_files(spark):
+    index = exactdedup.DigestIndex(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index.flush(spark.range(400).selectExpr("unhex(sha2(string(id), 256)) as digest", "id", "1L as n_rows"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ends = index.data(index.runs[0][0]).selectExpr("input_file_name() as f", "hex(digest) as d").groupBy("f").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    found = [d for r in ends.orderBy("f").collect() for d in (r["low"], r["high"])]
+    assert len(found) > 2 and found == sorted(found)
